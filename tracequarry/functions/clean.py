@@ -57,7 +57,7 @@ def cwe(col: Column) -> Column:
 def tool_list(col: Column) -> Column:
     """The different tools of a list written with commas, semicolons or as JSON; null gives an empty list."""
     bare = F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), r'[\[\]"\']', "")
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(bare, r"[,;]"), F.trim), lambda t: t != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(bare, r"[,;]"), lambda t: F.trim(t)), lambda t: t != "")))
 
 
 def source_lines(col: Column) -> Column:
