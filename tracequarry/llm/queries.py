@@ -1,6 +1,6 @@
 """The queries of the training-data operators, with their SQL where SQL can state them."""
 
-from tracequarry.llm import survivors, topn
+from tracequarry.llm import bpe, survivors, topn
 from tracequarry.plans.changes import FINGERPRINT_SQL
 from tracequarry.session import table
 
@@ -50,9 +50,14 @@ def p2_sources(spark, sf_dir):
     return survivors.source_quality(table(spark, sf_dir, "findings"))
 
 
+def p6_ids(spark, sf_dir):
+    return bpe.encode_corpus(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "p1_found": (p1_found, P1_SQL),
     "p2_found": (p2_found, P2_SQL),
     "p2_survivors": (p2_survivors, None),
     "p2_sources": (p2_sources, None),
+    "p6_ids": (p6_ids, None),
 }
