@@ -53,7 +53,8 @@ class ByteBpe:
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.size = {r: len(t) for t, r in self.ranks.items()}
-        self.tokens = {r: t for t, r in self.ranks.items()}
+        self.sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        self.sizes[list(self.size)] = list(self.size.values())
         self.halves = {r: self._halves(t, r) for t, r in self.ranks.items() if len(t) > 1}
         self.merged = {pair: r for r, pair in self.halves.items()}
         self.shorter = {r: self._shorter(t) for t, r in self.ranks.items()}
@@ -168,3 +169,17 @@ def encode_corpus(docs: DataFrame, ident: str = "doc_id", text: str = "text", pa
     slim = docs.select(docs[ident].alias("k"), docs[text].alias("t"))
     kind = slim.schema["k"].dataType.simpleString()
     return slim.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", ident)
+
+
+def count_tokens(docs: DataFrame, ident: str = "doc_id", text: str = "text", path: str = BYTE_BPE_50K) -> DataFrame:
+    """(ident, tokens) of every row; 0 for null and empty texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(path)
+        for batch in batches:
+            sizes = pa.array([len(bpe.encode(t)) // 4 for t in batch.column(1).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes], names=["k", "tokens"])
+
+    slim = docs.select(docs[ident].alias("k"), docs[text].alias("t"))
+    kind = slim.schema["k"].dataType.simpleString()
+    return slim.mapInArrow(run, f"k {kind}, tokens int").withColumnRenamed("k", ident)

@@ -1,6 +1,6 @@
 """The queries of the training-data operators, with their SQL where SQL can state them."""
 
-from tracequarry.llm import bpe, survivors, topn
+from tracequarry.llm import bpe, matching, packing, splitting, survivors, topn
 from tracequarry.plans.changes import FINGERPRINT_SQL
 from tracequarry.session import table
 
@@ -50,14 +50,45 @@ def p2_sources(spark, sf_dir):
     return survivors.source_quality(table(spark, sf_dir, "findings"))
 
 
+def _tables(spark, sf_dir, *names):
+    return [table(spark, sf_dir, n) for n in names]
+
+
+P5_TABLES = ("scanner_results", "findings", "runs", "projects", "cwe_catalog")
+
+
+def p5_found(spark, sf_dir):
+    return matching.match_results(*_tables(spark, sf_dir, *P5_TABLES), exact=True).select("result_id", "fingerprint")
+
+
+def p5_matches(spark, sf_dir):
+    return matching.match_results(*_tables(spark, sf_dir, *P5_TABLES))
+
+
 def p6_ids(spark, sf_dir):
     return bpe.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+#: Production sizes in tokens: a container, and the pieces of texts with what neighbours share.
+CAPACITY, LIMIT, OVERLAP = 4096, 512, 64
+
+
+def p7_containers(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), CAPACITY)
+
+
+def p8_pieces(spark, sf_dir):
+    return splitting.split_documents(table(spark, sf_dir, "documents"), LIMIT, OVERLAP)
+
+
 QUERIES = {
     "p1_found": (p1_found, P1_SQL),
     "p2_found": (p2_found, P2_SQL),
     "p2_survivors": (p2_survivors, None),
     "p2_sources": (p2_sources, None),
+    "p5_found": (p5_found, None),
+    "p5_matches": (p5_matches, None),
     "p6_ids": (p6_ids, None),
+    "p7_containers": (p7_containers, None),
+    "p8_pieces": (p8_pieces, None),
 }
