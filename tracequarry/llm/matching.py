@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.functions import clean
-from tracequarry.session import cut
+from tracequarry.session import broadcast_if_small, cut
 
 RADIUS = 3
 REACH = 3
+#: Lines a block of the join key spans; a result looks into the one or two blocks in its reach.
+BLOCK = 16
 #: What each field's agreement counts.
 WEIGHTS = {"name": 4.0, "place": 2.0, "lines": 2.0, "weakness": 1.5, "tool": 0.5}
 #: Lines that decoys are moved by, far beyond REACH.
@@ -31,31 +33,31 @@ def grams(text: Column, q: int = 2) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - q + 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(q)))
 
 
-def bits(items: Column, word: int = 0, words: int = 1) -> Column:
-    """One 64-bit word of the vector in which each item sets the bit of its hash; 0 for null."""
-    place = lambda x: F.pmod(F.xxhash64(x), F.lit(64 * words))
-    mark = lambda acc, x: F.when(F.floor(place(x) / 64) == word, acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (place(x) % 64).cast("int")))).otherwise(acc)
-    return F.coalesce(F.aggregate(items, F.lit(0).cast("long"), mark), F.lit(0).cast("long"))
+def hashed(items: Column, width: int) -> Column:
+    """The bits that items set in a vector of that width."""
+    return F.transform(items, lambda x: F.pmod(F.xxhash64(x), F.lit(width)).cast("int"))
 
 
-def _parts(path: Column) -> tuple[Column, Column]:
-    return F.regexp_extract(path, "[^/]*$", 0), F.regexp_extract(path, "([^/]+)/[^/]*$", 1)
+def as_word(places: Column) -> Column:
+    """A 64-bit word with these bits set, each taken modulo 64; 0 for null."""
+    mark = lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x))
+    return F.coalesce(F.aggregate(places, F.lit(0).cast("long"), mark), F.lit(0).cast("long"))
 
 
 def _vectors(df: DataFrame, tools: Column) -> DataFrame:
-    """Adds the bit vectors of path, line, cwe and family, and tools."""
-    name, place = _parts(F.col("path"))
-    around = F.transform(F.sequence(F.col("line") - REACH, F.col("line") + REACH), lambda x: x.cast("string"))
-    weakness = F.array_compact(F.array(F.concat(F.lit("family "), "family"), F.concat(F.lit("cwe "), F.col("cwe").cast("string"))))
-    return df.withColumns(
-        {
-            "b_name0": bits(grams(name), 0, 2),
-            "b_name1": bits(grams(name), 1, 2),
-            "b_place": bits(grams(place)),
-            "b_lines": bits(around),
-            "b_weakness": bits(weakness),
-            "b_tool": bits(tools),
-        }
+    """Adds the bit vectors of the file's name (128 bits), its folder and its tools (64 bits each)."""
+    name, place = F.regexp_extract("path", "[^/]*$", 0), F.regexp_extract("path", "([^/]+)/[^/]*$", 1)
+    return (
+        df.withColumn("_h", hashed(grams(name), 128))
+        .withColumns(
+            {
+                "b_name0": as_word(F.filter("_h", lambda x: x < 64)),
+                "b_name1": as_word(F.filter("_h", lambda x: x >= 64)),
+                "b_place": as_word(hashed(grams(place), 64)),
+                "b_tool": as_word(hashed(tools, 64)),
+            }
+        )
+        .drop("_h")
     )
 
 
@@ -77,43 +79,44 @@ def families(catalog: DataFrame) -> DataFrame:
 def defects(findings: DataFrame, runs: DataFrame, projects: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row per project and fingerprint: path in the project, line, cwe, family and vectors.
 
-    Each attribute is the least usable one that the fingerprint's rows give.
+    Of the rows of a fingerprint each attribute is the least usable one, the tools are those of
+    the longest list. Rows meet once, by project and fingerprint, after partial aggregation.
     """
     f = F.col
-    rows = findings.select(
+    owner = runs.select(f("id").alias("run_id"), "project_id").where("run_id is not null and project_id is not null").distinct()
+    known = projects.select(f("id").alias("project_id"), F.lower(F.trim("root_path")).alias("root"), project_word(f("project_name")).alias("project"))
+    rows = findings.where("run_id is not null").select(
         "run_id",
         clean.fingerprint(f("fingerprint")).alias("fingerprint"),
-        F.lower(clean.posix_path(f("file_path"))).alias("path"),
+        F.when(F.trim("file_path") != "", f("file_path")).alias("path"),
         F.when(f("line") > 0, f("line")).alias("line"),
         clean.cwe_number(f("cwe")).alias("cwe"),
-        clean.tool_list(f("tools")).alias("tools"),
-    ).where(f("run_id").isNotNull() & f("fingerprint").isNotNull())
-    owner = runs.select(f("id").alias("run_id"), "project_id").dropDuplicates(["run_id"])
-    known = projects.select(f("id").alias("project_id"), F.lower(F.trim("root_path")).alias("root"), project_word(f("project_name")).alias("project"))
-    # Tools have few spellings: they meet as bits, not as lists.
+        "tools",
+    )
     grouped = (
-        rows.withColumn("b_tool", bits(F.flatten(F.transform("tools", lambda t: grams(t)))))
-        .groupBy("run_id", "fingerprint")
-        .agg(F.min("path").alias("path"), F.min("line").alias("line"), F.min("cwe").alias("cwe"), F.bit_or("b_tool").alias("b_tool"))
-        .join(owner, "run_id")
+        rows.where("fingerprint is not null")
+        .join(broadcast_if_small(owner), "run_id")
         .groupBy("project_id", "fingerprint")
-        .agg(F.max("path").alias("path"), F.min("line").alias("line"), F.min("cwe").alias("cwe"), F.bit_or("b_tool").alias("b_tool"))
-        .join(known.dropDuplicates(["project_id"]), "project_id", "left")
+        .agg(F.min("path").alias("path"), F.min("line").alias("line"), F.min("cwe").alias("cwe"), F.max(F.struct(F.length("tools").alias("n"), "tools"))["tools"].alias("tools"))
+        .dropna(subset=["path", "line", "cwe"])
+        .join(families(catalog), "cwe")
+        .join(broadcast_if_small(known.dropDuplicates(["project_id"])), "project_id", "left")
     )
-    root = F.concat("root", F.lit("/"))
-    inside = F.when(F.startswith("path", root), F.substring(f("path"), F.length(root) + 1, F.length("path"))).otherwise(F.ltrim(f("path"), F.lit("/")))
-    shaped = grouped.withColumn("path", inside).join(families(catalog), "cwe").dropna(subset=["path", "line"])
-    return _vectors(shaped.withColumnRenamed("b_tool", "b_t"), F.array().cast("array<string>")).drop("b_tool").withColumnRenamed("b_t", "b_tool")
+    path, root = F.lower(clean.posix_path(f("path"))), F.concat("root", F.lit("/"))
+    shaped = grouped.withColumn("path", path).withColumn(
+        "path", F.when(F.startswith("path", root), F.substring(f("path"), F.length(root) + 1, F.length("path"))).otherwise(F.ltrim(f("path"), F.lit("/")))
+    )
+    tools = F.flatten(F.transform(clean.tool_list(f("tools")), lambda t: grams(t)))
+    return _vectors(shaped.dropna(subset=["path"]), tools).drop("tools").withColumn("defect", F.monotonically_increasing_id())
 
 
-def told_families(results: DataFrame) -> DataFrame:
-    """(result_id, told): the family that msg tells where the weakness gives none.
+def told_families(rows: DataFrame) -> DataFrame:
+    """(result_id, told): the family that the words of msg tell where the weakness gives none.
 
-    Naive Bayes over the words of messages, counted over all results whose weakness is known.
+    Naive Bayes over words, counted over all results whose weakness is known. rows: result_id,
+    family (null if not known), words.
     """
-    quoted = r"'[^']*'|\([^)]*\)|\[[^\]]*\]"
-    words = F.filter(F.array_distinct(F.split(F.lower(F.regexp_replace("msg", quoted, " ")), "[^a-z]+")), lambda w: F.length(w) > 1)
-    said = results.select("result_id", "family", words.alias("words")).where(F.size("words") > 0)
+    said = rows.where(F.size("words") > 0)
     known = said.where("family is not null")
     sizes = known.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     counts = known.select("family", F.explode("words").alias("word")).groupBy("family", "word").agg(F.log((F.count(F.lit(1)) + 0.5) / 0.5).alias("gain"))
@@ -131,14 +134,18 @@ def told_families(results: DataFrame) -> DataFrame:
 def reports(results: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row per scanner result that has a file, a line and a family, with its vectors."""
     f = F.col
-    rows = (
-        results.where("result_id is not null")
-        .dropDuplicates(["result_id"])
-        .select("result_id", _bare_path(f("reported_path")).alias("path"), F.when(f("line_no") > 0, f("line_no")).alias("line"), clean.cwe_number(f("weakness")).alias("cwe"), "msg", "tool")
+    quoted = r"'[^']*'|\([^)]*\)|\[[^\]]*\]"
+    words = F.filter(F.array_distinct(F.split(F.lower(F.regexp_replace("msg", quoted, " ")), "[^a-z]+")), lambda w: F.length(w) > 1)
+    rows = cut(
+        results.where("result_id is not null and line_no > 0 and reported_path is not null")
+        .groupBy("result_id")
+        .agg(*[F.min(c).alias(c) for c in ("reported_path", "line_no", "weakness", "msg", "tool")])
+        .withColumn("cwe", clean.cwe_number(f("weakness")))
         .join(families(catalog), "cwe", "left")
+        .select("result_id", _bare_path(f("reported_path")).alias("path"), f("line_no").alias("line"), "cwe", "family", "tool", words.alias("words"))
     )
-    whole = rows.join(told_families(rows), "result_id", "left").withColumn("family", F.coalesce("family", "told"))
-    return _vectors(whole.drop("told", "msg").dropna(subset=["path", "line", "family"]), grams(f("tool")))
+    whole = rows.drop("words").join(told_families(rows), "result_id", "left").withColumn("family", F.coalesce("family", "told"))
+    return _vectors(whole.dropna(subset=["path", "family"]), grams(f("tool"))).drop("tool", "told")
 
 
 def _chunks() -> Column:
@@ -149,36 +156,54 @@ def _chunks() -> Column:
 
 def dice(field: str) -> Column:
     """Dice similarity of a field's two vectors; 0.5 (no evidence) where either is empty."""
-    a, b = F.col(f"r.b_{field}"), F.col(f"d.b_{field}")
+    a, b = F.col(f"r_{field}"), F.col(f"d_{field}")
     both = F.bit_count(a) + F.bit_count(b)
     return F.when((a == 0) | (b == 0), F.lit(0.5)).otherwise(2.0 * F.bit_count(a.bitwiseAND(b)) / both)
 
 
-def candidates(reports_: DataFrame, defects_: DataFrame) -> DataFrame:
-    """Pairs of a family whose lines are at most REACH apart and whose names differ in RADIUS bits at most, scored.
+def near_pairs(reports_: DataFrame, defects_: DataFrame) -> DataFrame:
+    """(result_id, decoy, defect, away): pairs of a family at most REACH lines apart whose names differ in RADIUS bits at most.
 
-    Such a pair is found by every chunk that it shares and kept by the first alone.
+    Such a pair is found by every chunk that it shares and kept by the first alone. Only keys,
+    lines and the name's vector are shuffled. Each result is also sought as a decoy, moved by
+    DECOY_SHIFT lines.
     """
-    block = lambda c: F.floor(c / (REACH + 1)).cast("int")
-    r = reports_.withColumn("block", F.explode(F.array(*[block(F.col("line")) + i for i in (-1, 0, 1)]))).select("*", F.posexplode(_chunks()).alias("nth", "chunk"))
-    d = defects_.withColumn("block", block(F.col("line"))).select("*", F.posexplode(_chunks()).alias("nth", "chunk"))
-    on = ["family", "block", "nth", "chunk"]
-    c = lambda side, col: F.col(f"{side}.{col}")
-    x0, x1 = c("r", "b_name0").bitwiseXOR(c("d", "b_name0")), c("r", "b_name1").bitwiseXOR(c("d", "b_name1"))
+    line = F.col("line")
+    block = lambda x: F.floor(x / BLOCK).cast("int")
+    chunks = F.posexplode(_chunks()).alias("nth", "chunk")
+    seek = F.explode(F.array(F.struct(F.lit(False).alias("decoy"), line.alias("at")), F.struct(F.lit(True).alias("decoy"), (line + DECOY_SHIFT).alias("at")))).alias("x")
+    r = (
+        reports_.select("result_id", "family", "b_name0", "b_name1", seek)
+        .select("result_id", "family", "x.*", F.col("b_name0").alias("r0"), F.col("b_name1").alias("r1"), "b_name0", "b_name1")
+        .withColumn("block", F.explode(F.sequence(block(F.col("at") - REACH), block(F.col("at") + REACH))))
+        .select("result_id", "decoy", "family", "at", "block", "r0", "r1", chunks)
+    )
+    d = defects_.select("defect", "family", "line", block(line).alias("block"), F.col("b_name0").alias("d0"), F.col("b_name1").alias("d1"), chunks)
+    x0, x1 = F.col("r0").bitwiseXOR(F.col("d0")), F.col("r1").bitwiseXOR(F.col("d1"))
     low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
     first = F.when(low(x0) == 0, 0).when(F.shiftrightunsigned(x0, 32) == 0, 1).when(low(x1) == 0, 2).otherwise(3)
-    near = (
-        r.alias("r")
-        .join(d.alias("d"), on)
-        .where((F.abs(c("r", "line") - c("d", "line")) <= REACH) & (F.bit_count(x0) + F.bit_count(x1) <= RADIUS) & (F.col("nth") == first))
-    )
-    names = 2.0 * (F.bit_count(c("r", "b_name0").bitwiseAND(c("d", "b_name0"))) + F.bit_count(c("r", "b_name1").bitwiseAND(c("d", "b_name1"))))
-    names = names / (F.bit_count(c("r", "b_name0")) + F.bit_count(c("d", "b_name0")) + F.bit_count(c("r", "b_name1")) + F.bit_count(c("d", "b_name1")))
-    score = sum((w * (names if k == "name" else dice(k)) for k, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values())
-    return near.select(
-        "result_id", "decoy", "project_id", "fingerprint", "project", "root",
-        c("r", "path").alias("r_path"), c("d", "path").alias("d_path"), F.round(score, 6).alias("score"),
-    )
+    away = F.abs(F.col("at") - F.col("line"))
+    pairs = r.join(d, ["family", "block", "nth", "chunk"])
+    return pairs.where((away <= REACH) & (F.bit_count(x0) + F.bit_count(x1) <= RADIUS) & (F.col("nth") == first)).select("result_id", "decoy", "defect", away.alias("away"))
+
+
+def scored_pairs(reports_: DataFrame, defects_: DataFrame) -> DataFrame:
+    """The near pairs with both sides' attributes and their field-weighted Dice score."""
+    named = lambda df, side, keep: df.select(*keep, *[F.col(c).alias(f"{side}_{c.removeprefix('b_')}") for c in ("path", "cwe", "b_name0", "b_name1", "b_place", "b_tool")])
+    pairs = near_pairs(reports_, defects_).join(named(reports_, "r", ["result_id"]), "result_id").join(named(defects_, "d", ["defect", "project_id", "fingerprint", "project", "root"]), "defect")
+    ones = lambda a, b: F.bit_count(a) + F.bit_count(b)
+    c = F.col
+    shared = ones(c("r_name0").bitwiseAND(c("d_name0")), c("r_name1").bitwiseAND(c("d_name1")))
+    fields = {
+        "name": 2.0 * shared / (ones(c("r_name0"), c("r_name1")) + ones(c("d_name0"), c("d_name1"))),
+        "place": dice("place"),
+        # Dice of the two sets of lines within REACH, and of the sets {family} or {family, cwe}.
+        "lines": F.greatest(F.lit(0.0), 1.0 - c("away") / (2 * REACH + 1)),
+        "weakness": F.when(c("r_cwe").isNull(), 2.0 / 3).when(c("r_cwe") == c("d_cwe"), 1.0).otherwise(0.5),
+        "tool": dice("tool"),
+    }
+    score = sum((w * fields[k] for k, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values())
+    return pairs.select("result_id", "decoy", "project_id", "fingerprint", "project", "root", "r_path", "d_path", F.round(score, 6).alias("score"))
 
 
 def same_file() -> Column:
@@ -213,13 +238,7 @@ def match_results(results: DataFrame, findings: DataFrame, runs: DataFrame, proj
     fingerprints without one, match nothing; repeated rows count once; empty tables give an
     empty table.
     """
-    found = reports(results, catalog)
-    moved = _vectors(found.drop(*[c for c in found.columns if c.startswith("b_")]).withColumn("line", F.col("line") + DECOY_SHIFT), F.lit(None).cast("array<string>"))
-    keep = ["result_id", "path", "line", "family", "decoy", "b_name0", "b_name1", "b_place", "b_lines", "b_weakness", "b_tool"]
-    tools = found.select("result_id", "b_tool")
-    moved = moved.drop("b_tool").join(tools, "result_id").withColumn("decoy", F.lit(True))
-    both = found.withColumn("decoy", F.lit(False)).select(keep).unionAll(moved.select(keep))
-    near = candidates(both, defects(findings, runs, projects, catalog))
+    near = scored_pairs(cut(reports(results, catalog)), cut(defects(findings, runs, projects, catalog)))
     if exact:
         near = near.where(same_file())
     best = cut(
