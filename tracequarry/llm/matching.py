@@ -27,15 +27,15 @@ DECOY_SHIFT = 41
 _BINS = 100
 
 
-def grams(text: Column, q: int = 2) -> Column:
-    """The q-grams of a text's letters and digits, marked at both ends; none for null."""
-    bare = F.concat(F.lit("^"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", ""), F.lit("$"))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - q + 1, F.lit(1))), lambda i: F.substring(bare, i, F.lit(q)))
+def _bare(text: Column) -> Column:
+    """Letters and digits in lower case, marked at both ends."""
+    return F.concat(F.lit("^"), F.regexp_replace(F.lower(text), "[^a-z0-9]+", ""), F.lit("$"))
 
 
-def hashed(items: Column, width: int) -> Column:
-    """The bits that items set in a vector of that width."""
-    return F.transform(items, lambda x: F.pmod(F.xxhash64(x), F.lit(width)).cast("int"))
+def gram_places(bare: str, width: int, q: int = 2) -> Column:
+    """The bits that the q-grams of a column of bare texts set in a vector of that width; none for null."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(bare) - q + 1, F.lit(1)))
+    return F.transform(at, lambda i: F.pmod(F.xxhash64(F.substring(F.col(bare), i, F.lit(q))), F.lit(width)).cast("int"))
 
 
 def as_word(places: Column) -> Column:
@@ -48,16 +48,17 @@ def _vectors(df: DataFrame, tools: Column) -> DataFrame:
     """Adds the bit vectors of the file's name (128 bits), its folder and its tools (64 bits each)."""
     name, place = F.regexp_extract("path", "[^/]*$", 0), F.regexp_extract("path", "([^/]+)/[^/]*$", 1)
     return (
-        df.withColumn("_h", hashed(grams(name), 128))
+        df.withColumns({"_name": _bare(name), "_place": _bare(place), "_tool": _bare(tools)})
+        .withColumn("_h", gram_places("_name", 128))
         .withColumns(
             {
                 "b_name0": as_word(F.filter("_h", lambda x: x < 64)),
                 "b_name1": as_word(F.filter("_h", lambda x: x >= 64)),
-                "b_place": as_word(hashed(grams(place), 64)),
-                "b_tool": as_word(hashed(tools, 64)),
+                "b_place": as_word(gram_places("_place", 64)),
+                "b_tool": as_word(gram_places("_tool", 64)),
             }
         )
-        .drop("_h")
+        .drop("_h", "_name", "_place", "_tool")
     )
 
 
@@ -106,8 +107,7 @@ def defects(findings: DataFrame, runs: DataFrame, projects: DataFrame, catalog:
     shaped = grouped.withColumn("path", path).withColumn(
         "path", F.when(F.startswith("path", root), F.substring(f("path"), F.length(root) + 1, F.length("path"))).otherwise(F.ltrim(f("path"), F.lit("/")))
     )
-    tools = F.flatten(F.transform(clean.tool_list(f("tools")), lambda t: grams(t)))
-    return _vectors(shaped.dropna(subset=["path"]), tools).drop("tools").withColumn("defect", F.monotonically_increasing_id())
+    return _vectors(shaped.dropna(subset=["path"]), F.array_join(clean.tool_list(f("tools")), " ")).drop("tools").withColumn("defect", F.monotonically_increasing_id())
 
 
 def told_families(rows: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def reports(results: DataFrame, catalog: DataFrame) -> DataFrame:
         .select("result_id", _bare_path(f("reported_path")).alias("path"), f("line_no").alias("line"), "cwe", "family", "tool", words.alias("words"))
     )
     whole = rows.drop("words").join(told_families(rows), "result_id", "left").withColumn("family", F.coalesce("family", "told"))
-    return _vectors(whole.dropna(subset=["path", "family"]), grams(f("tool"))).drop("tool", "told")
+    return _vectors(whole.dropna(subset=["path", "family"]), f("tool")).drop("tool", "told")
 
 
 def _chunks() -> Column:
