@@ -72,5 +72,5 @@ def posix_path(col: Column) -> Column:
     path = F.regexp_replace(path, r"/(?:\./|/)+", "/")
     path = F.regexp_replace(path, r"^(?:\./)+", "")
     for _ in range(4):
-        path = F.regexp_replace(path, r"(^|/)(?!\.\./)[^/]+/\.\.(?:/|$)", "$1")
+        path = F.regexp_replace(path, r"(^|/)[^/.][^/]*/\.\.(?:/|$)", "$1")
     return _or_null(path)
