@@ -1,6 +1,6 @@
 """All registered core queries."""
 
-from tracequarry.plans import changes
+from tracequarry.plans import changes, finding_queries, rule_queries
 
-QUERIES = {**changes.QUERIES}
-FLAGSHIP = "p3_found"
+QUERIES = {**changes.QUERIES, **rule_queries.QUERIES, **finding_queries.QUERIES}
+FLAGSHIP = "q_ranked_findings"
