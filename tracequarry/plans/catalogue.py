@@ -1,6 +1,6 @@
 """All registered core queries."""
 
-from tracequarry.plans import changes, finding_queries, rule_queries
+from tracequarry.plans import changes, code_queries, finding_queries, rule_queries
 
-QUERIES = {**changes.QUERIES, **rule_queries.QUERIES, **finding_queries.QUERIES}
+QUERIES = {**changes.QUERIES, **rule_queries.QUERIES, **finding_queries.QUERIES, **code_queries.QUERIES}
 FLAGSHIP = "q_ranked_findings"

@@ -172,7 +172,8 @@ def _sql() -> dict[str, str]:
         "line", _say("use", "ptr", "start"), "'medium'", "0.5", "event = 'used'", "printf('freed at line %d', start)",
     )
     bare = f"bare as (select *, {strip} as s, len(replace(t, '}}', '')) - len(replace(t, '{{', '')) as opens from every_line)"
-    return {name: f"with {CODE}, {bare}, {FUNCTIONS} {sql}" if name in ("use-after-free", "race-condition", "stack-recursion") else f"with {CODE} {sql}" for name, sql in out.items()}
+    out["bare"] = bare
+    return out
 
 
 _CONTROL = ", ".join(map(_q, P.CONTROL_WORDS))
@@ -203,5 +204,6 @@ def _query(name: str):
     return query
 
 
-SQL = _sql()
-QUERIES = {f"q_rule_{name.replace('-', '_')}": (_query(name), SQL[name]) for name, _, _ in P.RULES}
+BODIES = _sql()
+WITH = f"with recursive {CODE}, {BODIES['bare']}, {FUNCTIONS}"
+QUERIES = {f"q_rule_{name.replace('-', '_')}": (_query(name), f"{WITH} {BODIES[name]}") for name, _, _ in P.RULES}
