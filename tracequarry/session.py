@@ -32,11 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the session's spark.checkpoint.dir; a temporary one is set only where
     none is named, which is the case in local tests alone.
     """
-    spark = df.sparkSession
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors share."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
