@@ -29,12 +29,11 @@ def function_at(places: DataFrame, functions_: DataFrame) -> DataFrame:
 
     places: file, line and more. An equi-join on the file with the range as a residual.
     """
-    keyed = places.withColumn("_id", F.monotonically_increasing_id())
-    spans = functions_.select(F.col("file").alias("_file"), "name", "start", "end")
-    hit = keyed.select("_id", "file", "line").join(spans, (F.col("file") == F.col("_file")) & (F.col("start") <= F.col("line")))
-    last = hit.groupBy("_id").agg(F.max_by(F.struct("name", "end"), F.struct("start", "end")).alias("f"))
-    name = F.when(F.col("f.end") >= F.col("line"), F.col("f.name")).otherwise(F.lit(""))
-    return keyed.join(last, "_id", "left").withColumn("function", F.coalesce(name, F.lit(""))).drop("_id", "f")
+    spans = functions_.select("file", "name", "start", "end")
+    hit = places.select("file", "line").distinct().join(spans, "file").where("start <= line")
+    last = hit.groupBy("file", "line").agg(F.max_by(F.struct("name", "end"), F.struct("start", "end")).alias("_f"))
+    name = F.when(F.col("_f.end") >= F.col("line"), F.col("_f.name")).otherwise(F.lit(""))
+    return places.join(last, ["file", "line"], "left").withColumn("function", F.coalesce(name, F.lit(""))).drop("_f")
 
 
 def snippet(lines: Column, line: Column, around: int = 15) -> Column:

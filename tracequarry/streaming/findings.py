@@ -9,9 +9,13 @@ from tracequarry.functions import clean
 
 
 def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """A stream over the Parquet files of a findings table, existing ones first."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A stream over the Parquet files of a findings table, existing ones first; the table is a folder or one file."""
+    table = spark.read.parquet(path)
+    some = table.select("_metadata.file_path").first()
+    folder, _, name = path.rstrip("/").rpartition("/")
+    single = some is not None and some[0].rstrip("/").endswith("/" + name)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
+    return reader.option("pathGlobFilter", name).parquet(folder) if single else reader.parquet(path)
 
 
 def severity_counts(findings: DataFrame, window: str = "1 day", late: str = "30 days") -> DataFrame:
