@@ -192,10 +192,10 @@ def rank_within(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """Adds `rank`, 1 for the first row of each group in a total order.
 
     Rows are range-partitioned by group and order; each partition numbers its rows of a group,
-    and the counts of the partitions before it are added. The partitioned rows are written
-    once, because range bounds are sampled anew in every run.
+    and the counts of the partitions before it are added. The rows are written before, as
+    sampling the bounds reads them twice, and after, as the bounds may differ in every run.
     """
-    ranged = df.repartitionByRange(F.col(group).asc_nulls_first(), *order)
+    ranged = cut(df).repartitionByRange(F.col(group).asc_nulls_first(), *order)
     rows = cut(ranged.withColumn("_part", F.spark_partition_id()))
     local = Window.partitionBy("_part", group).orderBy(*order)
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracequarry.functions.regexes import every
+from tracequarry.functions import patterns as P
+from tracequarry.functions.regexes import every, has
 from tracequarry.operators.rules import functions_in
 from tracequarry.session import cut
 
@@ -49,6 +50,34 @@ def snippets(places: DataFrame, files: DataFrame, around: int = 15) -> DataFrame
     return places.join(with_lines(files), "file", "left").withColumn("snippet", snippet(F.col("lines"), F.col("line"), around)).drop("lines")
 
 
+def enrich(findings: DataFrame, files: DataFrame, around: int = 15, window: int = 80) -> DataFrame:
+    """Findings (file, line and more) with what their file says of them, in one join with the texts.
+
+    Adds function (see `function_at`), snippet, lines (those up to `window` around), at (the
+    finding's place among them, from 1) and guarded (a size guard within 15 lines). A file's
+    findings meet its text as one list, so no text is repeated for each of them.
+    """
+    own = [c for c in findings.columns if c != "file"]
+    nested = findings.groupBy("file").agg(F.collect_list(F.struct(*own)).alias("_f"))
+    joined = nested.join(with_lines(files), "file", "left").withColumn("_d", functions_in(F.col("lines")))
+    lines = F.col("lines")
+
+    def told(f):
+        line = f["line"]
+        near = lambda k: (F.greatest(line - k, F.lit(1)), F.greatest(line + k - F.greatest(line - k, F.lit(1)) + 1, F.lit(0)))
+        last = F.try_element_at(F.filter("_d", lambda d: d["start"] <= line), F.lit(-1))
+        return F.struct(
+            *[f[c].alias(c) for c in own],
+            F.coalesce(F.when(last["end"] >= line, last["name"]), F.lit("")).alias("function"),
+            snippet(lines, line, around).alias("snippet"),
+            F.coalesce(F.slice(lines, *near(window)), F.array().cast("array<string>")).alias("lines"),
+            (line - near(window)[0] + 1).alias("at"),
+            F.coalesce(F.exists(F.slice(lines, *near(15)), lambda t: has(t, P.SIZE_GUARD)), F.lit(False)).alias("guarded"),
+        )
+
+    return joined.select("file", F.explode(F.transform("_f", told)).alias("_f")).select("file", "_f.*")
+
+
 def call_edges(files: DataFrame) -> DataFrame:
     """(file, src, dst): calls in a function's body of other functions defined in the same file, each once."""
     ready = with_lines(files).withColumn("fs", functions_in(F.col("lines"))).where(F.size("fs") > 1)

@@ -79,7 +79,6 @@ SINKS = {
     "setenv": ([0], "CWE-77"),
     "strlen": ([0], "CWE-190"),
 }
-SIZE_GUARD = r"(?i)\bif\s*\([^)]*(?:sizeof\s*\(|len(?:gth)?\s*[<>=]|size\s*[<>=]|n\s*[<>=]|MAX_|<=\s*(?:sizeof))"
 ROUNDS = 4
 
 _STATEMENT = re.compile(r"(\w+)[ \t\r\n]*(?:(\()|=(?!=))", re.ASCII)
@@ -242,18 +241,16 @@ def seeds(files: DataFrame) -> DataFrame:
     return each.where(has(F.col("function"), NETWORK_FUNCTION) | has(F.col("param"), SOURCE_NAME))
 
 
-def bind(findings: DataFrame, hits: DataFrame, files: DataFrame) -> DataFrame:
-    """Findings (file, line, function and more) with the taint that reaches their line.
+def bind(findings: DataFrame, hits: DataFrame) -> DataFrame:
+    """Findings (file, line, function, guarded and more) with the taint that reaches their line.
 
-    Adds sink, tainted, controllability: low if an if with a size guard stands within 15 lines,
-    else high; unknown without taint. Of several hits on a line the least sink counts.
+    Adds sink, tainted and controllability: low if a size guard stands near (guarded), else high;
+    unknown without taint. Of several hits on a line the least sink counts.
     """
-    best = hits.groupBy("file", "function", "line").agg(F.min(F.struct("sink", "tainted")).alias("t"))
-    joined = findings.join(best, ["file", "function", "line"], "left").join(with_lines(files), "file", "left")
-    start = F.greatest(F.col("line") - 15, F.lit(1))
-    guarded = F.exists(F.slice("lines", start, F.greatest(F.col("line") + 15 - start + 1, F.lit(0))), lambda t: has(t, SIZE_GUARD))
-    level = F.when(F.col("t").isNull(), "unknown").when(guarded, "low").otherwise("high")
-    return joined.withColumn("controllability", level).select(*findings.columns, F.col("t.sink").alias("sink"), F.col("t.tainted").alias("tainted"), "controllability")
+    best = hits.groupBy("file", "function", "line").agg(F.min(F.struct("sink", "tainted")).alias("_t"))
+    level = F.when(F.col("_t").isNull(), "unknown").when(F.col("guarded"), "low").otherwise("high")
+    joined = findings.join(best, ["file", "function", "line"], "left")
+    return joined.withColumns({"sink": F.col("_t.sink"), "tainted": F.col("_t.tainted"), "controllability": level}).drop("_t", "guarded")
 
 
 def standalone(hits: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ conditions are SQL text, evaluated by Spark here and by any SQL engine elsewhere
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,29 @@ VALIDATORS = {
 }
 
 
+#: Which texts the features that aren't in FEATURES read.
+READS = {
+    "w80": ["leak_var", "leak_freed", "leak_given", "deref_var"],
+    "w80s": ["const_bound", "fits_array"],
+    "w40": ["deref_guarded", "deref_asserted"],
+}
+
+
+def weaknesses_for(*names: str) -> list[str]:
+    """The weaknesses whose validators ask for any of these features."""
+    asks = lambda rows: any(re.search(rf"\b{n}\b", c) for c, _ in rows for n in names)
+    return sorted({cwe for cwes, rows in VALIDATORS.values() if asks(rows) for cwe in cwes})
+
+
+def _for(names: list[str] | str, value: Column) -> Column:
+    """A feature, worked out only for the weaknesses that need it."""
+    return F.when(F.col("cwe").isin(weaknesses_for(*([names] if isinstance(names, str) else names))), value)
+
+
+def _readers(around: int, bare: bool, others: list[str]) -> list[str]:
+    return [n for n, (where, k, b, _) in FEATURES.items() if where == "window" and (k, b) == (around, bare)] + others
+
+
 def window(around: int) -> Column:
     """The lines so far around the flagged one, joined."""
     start = F.greatest(F.col("at") - around, F.lit(1))
@@ -120,7 +145,11 @@ def features(df: DataFrame, strict: bool = False) -> DataFrame:
     """
     tags = F.array_distinct(F.flatten(F.transform("flow_steps", lambda d: every(d, TAG))))
     known = df.withColumns({"snippet": F.coalesce("snippet", F.lit("")), "flow_steps": F.coalesce("flow", F.array().cast("array<string>"))}).withColumns(
-        {"tags": F.filter(tags, lambda t: t != "line"), "w80": window(80), "w80s": strip_comments(window(80)), "w40": window(40), "flagged": _flagged()}
+        {"tags": F.filter(tags, lambda t: t != "line"), "flagged": _flagged(),
+            "w80": _for(_readers(80, False, READS["w80"]), window(80)),
+            "w80s": _for(_readers(80, True, READS["w80s"]), strip_comments(window(80))),
+            "w40": _for(_readers(40, False, READS["w40"]), window(40)),
+        }
     )
     attacker = F.arrays_overlap("tags", F.array(*map(F.lit, ATTACKER_TAGS)))
     known = known.withColumns(
@@ -141,14 +170,14 @@ def features(df: DataFrame, strict: bool = False) -> DataFrame:
             text = texts[where]
         return has(text, pattern)
 
-    known = known.withColumns({name: found(*spec) for name, spec in FEATURES.items()})
+    known = known.withColumns({name: _for(name, found(*spec)) for name, spec in FEATURES.items()})
     w80, w40 = F.col("w80"), F.col("w40")
     # Leak: the allocated pointer, whether it is released, how often it is assigned.
     source = F.when(F.col("snippet") != "", F.col("snippet")).otherwise(w80)
     by_line = F.when(has(F.col("flagged"), LEAK_LINE), first(F.col("flagged"), r"([A-Za-z_]\w*)\s*=")).otherwise("")
-    known = known.withColumn("leak_var", F.when(first(source, LEAK_POINTER) != "", first(source, LEAK_POINTER)).otherwise(by_line))
+    known = known.withColumn("leak_var", _for(READS["w80"][:3], F.when(first(source, LEAK_POINTER) != "", first(source, LEAK_POINTER)).otherwise(by_line)))
     # Null dereference: the pointer, a guard or an assertion near it.
-    known = known.withColumn("deref_var", F.when(has(F.col("snippet"), DEREF), first(F.col("snippet"), DEREF)).otherwise(first(w80, DEREF)))
+    known = known.withColumn("deref_var", _for("deref_var", F.when(has(F.col("snippet"), DEREF), first(F.col("snippet"), DEREF)).otherwise(first(w80, DEREF))))
     var = F.col("deref_var")
     guard = (r"if\s*(?:\(|UNLIKELY\s*\()\s*[!]?\s*\(?\s*", var, r"\s*(?:==|!=|\)|,)|if\s*[!(]\s*", var, r"\s*\)")
     # Array index: the array, a constant bound, a declared size that holds it.
@@ -156,13 +185,13 @@ def features(df: DataFrame, strict: bool = False) -> DataFrame:
     declared = first(F.col("w80s"), FIXED_ARRAY)
     known = known.withColumns(
         {
-            "array_var": F.coalesce(F.get(into, F.lit(0)), F.when(declared != "", declared)),
-            "const_bound": first(F.col("w80s"), CONST_BOUND).try_cast("long"),
+            "array_var": _for("fits_array", F.coalesce(F.get(into, F.lit(0)), F.when(declared != "", declared))),
+            "const_bound": _for("const_bound", first(F.col("w80s"), CONST_BOUND).try_cast("long")),
             "uaf_var": first(F.col("title"), TITLE_POINTER),
             "uaf_start": first(F.col("title"), TITLE_POINTER, 2).try_cast("int"),
-            "risky_call": F.when(has(F.col("snippet"), RISKY), first(F.col("snippet"), RISKY)).otherwise(first(strip_comments(window(6)), RISKY)),
-            "format_arg": F.trim(first(strip_comments(F.col("flagged")), FORMAT_ARG)),
-            "before": F.array_join(F.slice("lines", F.greatest(F.col("at") - 80, F.lit(1)), F.col("at") - F.greatest(F.col("at") - 80, F.lit(1))), "\n"),
+            "risky_call": _for("probe_call", F.when(has(F.col("snippet"), RISKY), first(F.col("snippet"), RISKY)).otherwise(first(strip_comments(window(6)), RISKY))),
+            "format_arg": _for("const_format", F.trim(first(strip_comments(F.col("flagged")), FORMAT_ARG))),
+            "before": _for(["uaf_nulled", "uaf_freed_before"], F.array_join(F.slice("lines", F.greatest(F.col("at") - 80, F.lit(1)), F.col("at") - F.greatest(F.col("at") - 80, F.lit(1))), "\n")),
         }
     )
     sizes = F.regexp_extract_all("w80s", F.concat(F.lit(r"\b"), "array_var", F.lit(r"\s*\[\s*(\d+)\s*\]\s*[=;{]")), F.lit(1))
@@ -171,23 +200,22 @@ def features(df: DataFrame, strict: bool = False) -> DataFrame:
         F.regexp_extract_all("flagged", F.concat(F.lit(r"\b([A-Za-z_]\w*)\s*\(\s*"), ptr, F.lit(r"\s*[,)]")), F.lit(1)), lambda c: ~c.isin(P.NOT_CALLEES)
     )
     null_check = (first(flagged, P.NULL_CHECK) == ptr) | (first(flagged, P.NULL_EQUAL) == ptr) | has_dynamic(flagged, r"\b(?:if|while|assert)\s*\(\s*!?\s*", ptr, r"\s*\)")
-    return known.withColumns(
-        {
-            "leak_freed": F.array_contains(every(w80, LEAK_RELEASE), F.col("leak_var")),
-            "leak_given": F.size(F.regexp_extract_all("w80", F.concat(F.lit(r"\b"), "leak_var", F.lit(r"\s*=\s*")), F.lit(0))),
-            "deref_guarded": has_dynamic(w40, *guard),
-            "deref_asserted": F.contains(first(w40, ASSERTED, 0), var) & has(w40, ASSERTED),
-            "fits_array": F.coalesce(F.exists(sizes, lambda s: s.try_cast("long") >= F.col("const_bound")), F.lit(False)),
-            "uaf_nulled": F.array_contains(every(F.col("before"), NULLED), ptr),
-            "uaf_deref": deref,
-            "uaf_named": has_dynamic(flagged, r"\b", ptr, r"\b"),
-            "uaf_released": has(flagged, RELEASED),
-            "uaf_null_check": null_check,
-            "uaf_freed_before": has(F.col("before"), RELEASED) | F.coalesce(F.col("uaf_start") < F.col("line"), F.lit(False)),
-            "probe_call": F.lower("risky_call").isin(PROBES),
-            "const_format": (F.col("format_arg") != "") & has(F.col("format_arg"), CONST_FORMAT),
-        }
-    )
+    late = {
+        "leak_freed": F.array_contains(every(w80, LEAK_RELEASE), F.col("leak_var")),
+        "leak_given": F.size(F.regexp_extract_all("w80", F.concat(F.lit(r"\b"), "leak_var", F.lit(r"\s*=\s*")), F.lit(0))),
+        "deref_guarded": has_dynamic(w40, *guard),
+        "deref_asserted": F.contains(first(w40, ASSERTED, 0), var) & has(w40, ASSERTED),
+        "fits_array": F.coalesce(F.exists(sizes, lambda s: s.try_cast("long") >= F.col("const_bound")), F.lit(False)),
+        "uaf_nulled": F.array_contains(every(F.col("before"), NULLED), ptr),
+        "uaf_deref": deref,
+        "uaf_named": has_dynamic(flagged, r"\b", ptr, r"\b"),
+        "uaf_released": has(flagged, RELEASED),
+        "uaf_null_check": null_check,
+        "uaf_freed_before": has(F.col("before"), RELEASED) | F.coalesce(F.col("uaf_start") < F.col("line"), F.lit(False)),
+        "probe_call": F.lower("risky_call").isin(PROBES),
+        "const_format": (F.col("format_arg") != "") & has(F.col("format_arg"), CONST_FORMAT),
+    }
+    return known.withColumns({name: _for(name, value) for name, value in late.items()})
 
 
 def verdicts(df: DataFrame, strict: bool = False) -> DataFrame:
@@ -236,11 +264,3 @@ def from_snippets(findings: DataFrame) -> DataFrame:
         "id", "cwe", "title", F.col("source_snippet").alias("snippet"), F.when(F.col("at") > 0, code).otherwise(F.array(F.lit(""))).alias("lines"),
         F.greatest("at", F.lit(1)).alias("at"), "line", F.transform(steps, lambda s: F.coalesce(s["description"], F.lit(""))).alias("flow"), "controllability", "status", "notes",
     )
-
-
-def from_files(findings: DataFrame, files: DataFrame, around: int = 80) -> DataFrame:
-    """Findings (file, line and more) with the lines around them out of the files."""
-    lines = files.where("text is not null").select("file", F.split("text", "\n", -1).alias("_all"))
-    start = F.greatest(F.col("line") - around, F.lit(1))
-    cut_ = F.slice("_all", start, F.greatest(F.col("line") - start + around + 1, F.lit(0)))
-    return findings.join(lines, "file").withColumns({"lines": cut_, "at": F.col("line") - start + 1}).drop("_all")

@@ -56,13 +56,11 @@ def analyse(files: DataFrame, outputs: dict[str, DataFrame] | None = None, confi
     """
     config = config or Config()
     merged = C.merge(C.deduplicate(candidates(files, outputs, config)))
-    placed = structure.function_at(merged.drop("function", "controllability"), structure.functions(files))
+    placed = structure.enrich(merged.drop("function", "controllability"), files, config.around)
     hits = taint.taint_hits(taint.tainted_functions(files))
-    bound = taint.bind(placed, hits, files).withColumn("vendor_source", vendored_hint(F.col("file")))
-    shown = structure.snippets(bound, files, config.around)
+    bound = taint.bind(placed, hits).withColumn("vendor_source", vendored_hint(F.col("file")))
     flow = F.when(F.size("tainted") > 0, F.transform("tainted", lambda t: F.concat(t, F.lit(" reaches "), F.col("sink"), F.lit(" (network)"))))
-    judged = validate.verdicts(validate.from_files(shown.withColumn("flow", flow), files), config.strict)
-    applied = validate.apply_verdicts(judged).drop("lines", "at", "flow")
+    applied = validate.apply_verdicts(validate.verdicts(bound.withColumn("flow", flow), config.strict)).drop("lines", "at", "flow")
     n = F.size("tools")
     confidence = C.adjusted(F.col("confidence"), n, F.size("doubts"), n, F.col("reachability"))
     scored = applied.withColumn("confidence", confidence).withColumns(

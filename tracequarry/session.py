@@ -56,3 +56,12 @@ BROADCAST_ROWS = 500_000
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, to be broadcast if counting shows no more than so many rows; else joined by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many tasks as there are cores, for costly work on rows of few large files.
+
+    Where the scan gives enough tasks, which is the case for large tables, nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

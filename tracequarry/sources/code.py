@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracequarry.session import spread
+
 # Fixed values
 RULE_EXTENSIONS = ["c", "cpp", "cc", "cxx", "h", "hpp"]
 CALLGRAPH_EXTENSIONS = ["c", "cpp", "cc"]
@@ -29,7 +31,7 @@ def read_tree(spark: SparkSession, root: str, extensions: list[str] = RULE_EXTEN
 
 def document_files(documents: DataFrame) -> DataFrame:
     """(file, text) of every document that has an id and a text."""
-    return documents.where("doc_id is not null and text is not null").select(F.format_string("doc-%d.c", "doc_id").alias("file"), "text")
+    return spread(documents.where("doc_id is not null and text is not null").select(F.format_string("doc-%d.c", "doc_id").alias("file"), "text"))
 
 
 def lines(files: DataFrame) -> DataFrame:
