@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracequarry.functions import clean
-from tracequarry.operators import analytics, correlate, narrate, validate
+from tracequarry.operators import analytics, correlate, narrate, ordering, validate
 from tracequarry.plans import report
 from tracequarry.sources import code, scanners, store
 from tracequarry.streaming import findings as stream
@@ -92,7 +92,7 @@ def test_scores(spark):
 
 def test_rank_within_matches_a_plain_sort(spark):
     rows = [(k % 3 if k % 7 else None, k, (k * 37) % 10) for k in range(500)]
-    got = {r.id: r.rank for r in correlate.rank_within(spark.createDataFrame(rows, "g int, id int, s int").repartition(5), "g", [F.desc("s"), F.asc("id")]).collect()}
+    got = {r.id: r.rank for r in ordering.rank_within(spark.createDataFrame(rows, "g int, id int, s int").repartition(5), "g", [F.desc("s"), F.asc("id")]).collect()}
     want = {}
     for g in {r[0] for r in rows}:
         want |= {r[1]: k for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])), 1)}
@@ -178,7 +178,7 @@ def test_summaries_reports_and_store(spark, tmp_path):
     assert dist == {1: (2, 1, 3), 2: (1, 0, 1)}
     total = next(r for r in analytics.validation_summary(rows).collect() if r.cwe is None)
     assert (total.findings, total.demoted, total.rate) == (4, 1, 0.25)
-    ranked = correlate.rank_within(scored, "run_id", [F.desc("priority"), F.asc("id")]).withColumn("finding_no", F.format_string("F-%05d", "rank"))
+    ranked = ordering.rank_within(scored, "run_id", [F.desc("priority"), F.asc("id")]).withColumn("finding_no", F.format_string("F-%05d", "rank"))
     texts = {(r.run_id, r.format): r.text for r in report.reports(ranked).collect()}
     assert len(texts) == 6 and "&lt;b&gt;" in texts[1, "html"] and "<b>" in texts[1, "markdown"] and '"total":3' in texts[1, "json"]
     assert narrate.run_summaries(rows, "run_id").where("run_id = 2").first().summary == "1 candidate findings (critical=0, high=1, medium=0, low=0); 1 need review first."

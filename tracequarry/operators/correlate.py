@@ -10,11 +10,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.functions import clean
-from tracequarry.session import broadcast_if_small, cut
+from tracequarry.operators.ordering import rank_within
 
 # Fixed values
 SEVERITY_WEIGHT = {"critical": 4, "high": 3, "medium": 2, "low": 1}
@@ -188,27 +188,6 @@ def score(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def rank_within(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
-    """Adds `rank`, 1 for the first row of each group in a total order.
-
-    Rows are range-partitioned by group and order; each partition numbers its rows of a group,
-    and the counts of the partitions before it are added. The rows are written before, as
-    sampling the bounds reads them twice, and after, as the bounds may differ in every run.
-    """
-    ranged = cut(df).repartitionByRange(F.col(group).asc_nulls_first(), *order)
-    rows = cut(ranged.withColumn("_part", F.spark_partition_id()))
-    local = Window.partitionBy("_part", group).orderBy(*order)
-    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    offsets = broadcast_if_small(offsets.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), "_before"))
-    numbered = rows.withColumn("_k", F.row_number().over(local))
-    return (
-        numbered.join(offsets, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
-        .withColumn("rank", F.col("_k") + F.col("_before"))
-        .drop("_part", "_k", "_g", "_p", "_before")
-    )
-
-
 def ranked(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     """The whole way: staged findings deduplicated, merged, scored, ranked within their run and numbered."""
     scored = score(merge(deduplicate(stage(findings).where("run_id is not null"))), evidence)

@@ -6,9 +6,11 @@ branches are converted into one table, and differences between neighbouring file
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.operators.ordering import neighbour, rank_within
+
 #: Which names mean a field: without letter case, '_' and '-', the last step of a path.
 FIELDS = {
     "attack_surface": ["attacksurface", "entrysurface", "exposure", "surface"],
@@ -83,12 +85,8 @@ def schema_changes(exports: DataFrame, fields: dict[str, list[str]] = FIELDS) ->
     files = exports.dropna(subset=["file_id", "feed", "exported_at"]).groupBy("file_id").agg(
         F.min("feed").alias("feed"), F.min("exported_at").alias("exported_at")
     )
-    order = Window.partitionBy("feed").orderBy("exported_at", "file_id")
-    paired = (
-        files.join(per_file, "file_id", "left")
-        .withColumns({"was": F.lag("now").over(order), "nth": F.row_number().over(order)})
-        .where("nth > 1")
-    )
+    ranked = rank_within(files.join(per_file, "file_id", "left"), "feed", [F.asc("exported_at"), F.asc("file_id")])
+    paired = neighbour(ranked, "feed", -1, {"was": "now"}).where("rank > 1")
     each = paired.select("feed", "file_id", "was", "now", F.explode(F.array(*map(F.lit, fields))).alias("field_name")).select(
         "feed", "file_id", "field_name", F.expr("was[field_name]").alias("a"), F.expr("now[field_name]").alias("b")
     )

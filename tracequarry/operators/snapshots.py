@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracequarry.functions import clean
+from tracequarry.operators.ordering import neighbour, rank_within
 
 
 def snapshot_runs(runs: DataFrame) -> DataFrame:
@@ -15,21 +16,18 @@ def snapshot_runs(runs: DataFrame) -> DataFrame:
     (run_ts, id). Of neighbours that scan the same commit only the last stays; a missing hash
     equals none, an abbreviated hash equals the one it begins.
     """
-    order = Window.partitionBy("project_id").orderBy("run_ts", "run_id")
+    order = [F.asc("run_ts"), F.asc("run_id")]
     done = (
         runs.where(clean.word(F.col("status")) == "completed")
         .select(F.col("id").alias("run_id"), "project_id", "run_ts", clean.commit(F.col("commit_hash")).alias("hash"))
         .dropna(subset=["run_id", "project_id", "run_ts"])
         .dropDuplicates(["run_id"])
     )
-    last = done.withColumn("after", F.lead("hash").over(order)).where(~clean.same_commit(F.col("hash"), F.col("after")))
-    return last.select(
-        "run_id",
-        "project_id",
-        F.row_number().over(order).alias("snap"),
-        F.count(F.lit(1)).over(Window.partitionBy("project_id")).alias("snaps"),
-        F.lead("run_id").over(order).alias("next_run_id"),
-    )
+    beside = neighbour(rank_within(done, "project_id", order), "project_id", 1, {"after": "hash"})
+    last = beside.where(~clean.same_commit(F.col("hash"), F.col("after"))).select("run_id", "project_id", "run_ts")
+    placed = neighbour(rank_within(last, "project_id", order), "project_id", 1, {"next_run_id": "run_id"})
+    sizes = placed.groupBy("project_id").agg(F.max("rank").alias("snaps"))
+    return placed.join(sizes, "project_id").select("run_id", "project_id", F.col("rank").cast("int").alias("snap"), F.col("snaps").cast("int").alias("snaps"), "next_run_id")
 
 
 def diff_snapshots(rows: DataFrame, snapshots: DataFrame, key: str, state: list[Column], prefer: str = "id") -> DataFrame:

@@ -53,7 +53,7 @@ with done as (
 ), led as (select *, lead(h) over (partition by project_id order by run_ts, run_id) as h2 from done)
 select run_id, project_id,
   cast(row_number() over (partition by project_id order by run_ts, run_id) as int) as snap,
-  count(*) over (partition by project_id) as snaps,
+  cast(count(*) over (partition by project_id) as int) as snaps,
   lead(run_id) over (partition by project_id order by run_ts, run_id) as next_run_id
 from led where not coalesce(starts_with(h, h2) or starts_with(h2, h), false)
 """

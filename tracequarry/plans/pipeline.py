@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.operators import correlate as C
 from tracequarry.operators import rules, structure, taint, validate
+from tracequarry.operators.ordering import rank_within
 from tracequarry.sources.code import vendored_hint
 from tracequarry.sources.scanners import PARSERS
 
@@ -66,4 +67,4 @@ def analyse(files: DataFrame, outputs: dict[str, DataFrame] | None = None, confi
     scored = applied.withColumn("confidence", confidence).withColumns(
         {"bucket": C.bucket(F.col("cwe")), "priority": C.priority(F.col("severity"), F.col("confidence"), F.col("reachability"), F.col("controllability"), n)}
     )
-    return C.rank_within(scored, "run_id", [F.desc("priority"), F.asc("file"), F.asc("line"), F.asc("id")]).withColumn("finding_no", F.format_string("F-%05d", "rank"))
+    return rank_within(scored, "run_id", [F.desc("priority"), F.asc("file"), F.asc("line"), F.asc("id")]).withColumn("finding_no", F.format_string("F-%05d", "rank"))
