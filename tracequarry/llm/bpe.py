@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tracequarry.session import spread
+
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE_50K = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: How the tokenizer divides a text into words (fixed by the vocabulary; \s is White_Space).
@@ -156,8 +158,9 @@ def encode_corpus(docs: DataFrame, ident: str = "doc_id", text: str = "text", pa
     """(ident, ids) of every row: the token ids of its whole text, without special tokens.
 
     Null and empty texts give an empty list; strings of special tokens are ordinary text.
-    Repeated rows come out as often as they came in; other columns are not looked at. No
-    shuffle: each task encodes its part of the scan, in Arrow batches.
+    Repeated rows come out as often as they came in; other columns are not looked at. Each
+    task encodes its part of the scan, in Arrow batches; texts are moved only where the scan
+    gives fewer tasks than there are cores.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +169,7 @@ def encode_corpus(docs: DataFrame, ident: str = "doc_id", text: str = "text", pa
             ids = as_lists([bpe.encode(t) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["k", "ids"])
 
-    slim = docs.select(docs[ident].alias("k"), docs[text].alias("t"))
+    slim = spread(docs.select(docs[ident].alias("k"), docs[text].alias("t")))
     kind = slim.schema["k"].dataType.simpleString()
     return slim.mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", ident)
 
@@ -180,6 +183,6 @@ def count_tokens(docs: DataFrame, ident: str = "doc_id", text: str = "text", pat
             sizes = pa.array([len(bpe.encode(t)) // 4 for t in batch.column(1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes], names=["k", "tokens"])
 
-    slim = docs.select(docs[ident].alias("k"), docs[text].alias("t"))
+    slim = spread(docs.select(docs[ident].alias("k"), docs[text].alias("t")))
     kind = slim.schema["k"].dataType.simpleString()
     return slim.mapInArrow(run, f"k {kind}, tokens int").withColumnRenamed("k", ident)

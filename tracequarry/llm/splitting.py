@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracequarry.llm import bpe
+from tracequarry.session import spread
 
 #: Where texts pause, strongest first: after these bytes. Sentence ends of other scripts in UTF-8.
 KINDS = ("paragraph", "line", "sentence", "word", "cut")
@@ -116,8 +117,9 @@ def split_documents(
     twice as many (fewer by less than a character's tokens if it had to be cut between
     tokens). boundary: what the piece ends with: paragraph, line, sentence, word or cut (the
     text's own end is a paragraph). Texts within the limit, null and empty ones give no row
-    or, with keep_short, one piece if they aren't empty. Each row is split where it is read:
-    no shuffle, and a text of any length needs memory in proportion to itself alone.
+    or, with keep_short, one piece if they aren't empty. Each row is split by itself,
+    so a text of any length needs memory in proportion to itself alone; texts are moved only
+    where the scan gives fewer tasks than there are cores.
     """
     if not 0 <= 2 * overlap < limit:
         raise ValueError("overlap must be less than half the limit")
@@ -144,5 +146,5 @@ def split_documents(
             names = ["k", "piece", "start_token", "n_tokens", "shared", "boundary", "text"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    slim = docs.select(docs[ident].cast("long").alias("k"), docs[text].alias("t"))
+    slim = spread(docs.select(docs[ident].cast("long").alias("k"), docs[text].alias("t")))
     return slim.mapInArrow(run, _OUT).withColumnRenamed("k", ident)
