@@ -6,6 +6,8 @@ branches are converted into one table, and differences between neighbouring file
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,22 +38,26 @@ def type_tag(value: Column) -> Column:
     )
 
 
-def json_leaves(lines: DataFrame, payload: str = "payload", depth: int = 3) -> DataFrame:
+def json_leaves(lines: DataFrame, payload: str = "payload", depth: int = 3, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per path and value of each JSON object line: the line's columns, path, value, tag.
 
     Objects are opened down to `depth` levels, their names joined with dots; lists are leaves.
-    Unreadable lines, lines that are no object and null values give no row.
+    Unreadable lines, lines that are no object and null values give no row. `wanted` tells by
+    the path which leaves to keep. Each line is parsed once.
     """
     keep = [c for c in lines.columns if c != payload]
-    level = lines.select(*keep, F.lit("").alias("_in"), F.try_parse_json(F.col(payload)).alias("_v"))
-    out = None
-    for _ in range(depth):
-        opened = level.select(*keep, "_in", F.explode(F.expr("try_variant_get(_v, '$', 'map<string,variant>')")).alias("_k", "_x"))
-        opened = opened.select(*keep, F.concat("_in", "_k").alias("path"), F.col("_x").alias("value"), type_tag(F.col("_x")).alias("tag"))
-        leaves = opened.where(F.col("tag").isNotNull() & (F.col("tag") != "object"))
-        out = leaves if out is None else out.unionAll(leaves)
-        level = opened.where(F.col("tag") == "object").select(*keep, F.concat("path", F.lit(".")).alias("_in"), F.col("value").alias("_v"))
-    return out
+    is_object = lambda x: F.startswith(F.schema_of_variant(x["value"]), F.lit("OBJECT"))
+    opened = lambda value: F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    inside = lambda x: F.transform(opened(x["value"]), lambda e: F.struct(F.concat(x["path"], F.lit("."), e["key"]).alias("path"), e["value"].alias("value")))
+    level = F.transform(opened(F.col("_v")), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
+    parsed = lines.withColumn("_v", F.try_parse_json(payload)).select(*keep, level.alias("_l1"))
+    for k in range(2, depth + 1):
+        parsed = parsed.withColumn(f"_l{k}", F.flatten(F.transform(F.filter(f"_l{k - 1}", is_object), inside)))
+    found = F.concat(*[f"_l{k}" for k in range(1, depth + 1)])
+    if wanted is not None:
+        found = F.filter(found, lambda x: wanted(x["path"]))
+    each = parsed.select(*keep, F.explode(found).alias("_x")).select(*keep, "_x.path", "_x.value").withColumn("tag", type_tag(F.col("value")))
+    return each.where(F.col("tag").isNotNull() & (F.col("tag") != "object"))
 
 
 def canonical_field(path: Column, fields: dict[str, list[str]] = FIELDS) -> Column:
@@ -66,7 +72,7 @@ def canonical_field(path: Column, fields: dict[str, list[str]] = FIELDS) -> Colu
 def field_values(exports: DataFrame, fields: dict[str, list[str]] = FIELDS) -> DataFrame:
     """file_id, line_no, field_name, path, tag, value of every usable value of the fields."""
     lines = exports.select("file_id", "line_no", "payload").where(F.col("file_id").isNotNull())
-    wanted = json_leaves(lines).withColumn("field_name", canonical_field(F.col("path"), fields))
+    wanted = json_leaves(lines, wanted=lambda p: canonical_field(p, fields).isNotNull()).withColumn("field_name", canonical_field(F.col("path"), fields))
     return wanted.where(F.col("field_name").isNotNull() & F.col("tag").isin(TAGS))
 
 
