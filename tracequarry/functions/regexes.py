@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def ascii_words(pattern: str) -> str:
+    """With word boundaries between ASCII words; Java's own take the letters of all scripts for words."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def java(pattern: str) -> str:
-    """The pattern for Java: only a line feed ends a line, and repeated groups run without recursion.
+    """The pattern for Java: only a line feed ends a line, words are ASCII, and repeated groups run without recursion.
 
     A possessive group is matched in a loop; a plain one takes stack for every repetition and
     fails on very long lines. Nothing that follows one here could match within it.
     """
-    return "(?d)" + pattern.replace(r"\\.)*", r"\\.)*+").replace("){3,}", "){3,}+")
+    return "(?d)" + ascii_words(pattern).replace(r"\\.)*", r"\\.)*+").replace("){3,}", "){3,}+")
 
 
 def has(text: Column, pattern: str) -> Column:
@@ -20,7 +25,7 @@ def has(text: Column, pattern: str) -> Column:
 
 
 def _joined(parts: tuple[str | Column, ...]) -> Column:
-    return F.concat(F.lit("(?d)"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return F.concat(F.lit("(?d)"), *[F.lit(ascii_words(p)) if isinstance(p, str) else p for p in parts])
 
 
 def has_dynamic(text: Column, *parts: str | Column) -> Column:
@@ -28,6 +33,11 @@ def has_dynamic(text: Column, *parts: str | Column) -> Column:
     return F.regexp_like(text, _joined(parts))
 
 
+def every_dynamic(text: Column, group: int, *parts: str | Column) -> Column:
+    """A group of all matches of such a pattern."""
+    return F.regexp_extract_all(text, _joined(parts), F.lit(group))
+
+
 def extract_dynamic(text: Column, group: int, *parts: str | Column) -> Column:
     """A group of the first match of such a pattern; empty for none."""
     return F.call_function("regexp_extract", text, _joined(parts), F.lit(group))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.functions import clean
+from tracequarry.functions.regexes import has
 from tracequarry.operators.ordering import rank_within
 
 # Fixed values
@@ -154,7 +155,7 @@ def input_source(text: Column) -> Column:
     """Which boundary a line of code reads from, the first that fits; 'unknown' for none."""
     out = F.lit("unknown")
     for name, pattern in reversed(INPUT_SOURCES.items()):
-        out = F.when(text.rlike("(?d)" + pattern), F.lit(name)).otherwise(out)
+        out = F.when(has(text, pattern), F.lit(name)).otherwise(out)
     return out
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.functions import patterns as P
-from tracequarry.functions.regexes import after, every, extract_dynamic, first, has, has_dynamic, strip_comments
+from tracequarry.functions.regexes import after, every, every_dynamic, extract_dynamic, first, has, has_dynamic, strip_comments
 
 T = P.TITLES
 
@@ -215,7 +215,7 @@ def stack_recursion(lines: Column) -> Column:
 
     def recursive(f):
         body = F.slice(lines, f["head"], f["end"] - f["head"] + 1)
-        calls = F.aggregate(body, F.lit(0), lambda n, t: n + F.regexp_count(t, F.concat(F.lit(r"\b"), f["name"], F.lit(r"\s*\("))))
+        calls = F.aggregate(body, F.lit(0), lambda n, t: n + F.size(every_dynamic(t, 0, r"\b", f["name"], r"\s*\(")))
         return (calls > 1) & ~F.exists(body, lambda t: has(t, P.RECURSION_GUARD))
 
     # Of definitions of one name the last counts.
@@ -306,7 +306,7 @@ def sign_conversion(lines: Column) -> Column:
 def _dereferenced(text: Column, ptr: Column) -> Column:
     """ptr->x, ptr[i], ptr.x, *ptr, or ptr as the first argument of a call."""
     direct = has_dynamic(text, r"\b", ptr, r"\s*(?:->|\[|\.)|\*\s*", ptr, r"\b")
-    callees = F.regexp_extract_all(text, F.concat(F.lit(r"\b([A-Za-z_]\w*)\s*\(\s*"), ptr, F.lit(r"\s*[,)]")), F.lit(1))
+    callees = every_dynamic(text, 1, r"\b([A-Za-z_]\w*)\s*\(\s*", ptr, r"\s*[,)]")
     return direct | F.exists(callees, lambda c: ~c.isin(P.NOT_CALLEES))
 
 

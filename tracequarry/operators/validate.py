@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.functions import patterns as P
-from tracequarry.functions.regexes import every, first, has, has_dynamic, strip_comments
+from tracequarry.functions.regexes import every, every_dynamic, first, has, has_dynamic, strip_comments
 
 FP, SUSPICIOUS, CONFIRMED = "likely_fp", "suspicious", "confirmed"
 
@@ -194,15 +194,15 @@ def features(df: DataFrame, strict: bool = False) -> DataFrame:
             "before": _for(["uaf_nulled", "uaf_freed_before"], F.array_join(F.slice("lines", F.greatest(F.col("at") - 80, F.lit(1)), F.col("at") - F.greatest(F.col("at") - 80, F.lit(1))), "\n")),
         }
     )
-    sizes = F.regexp_extract_all("w80s", F.concat(F.lit(r"\b"), "array_var", F.lit(r"\s*\[\s*(\d+)\s*\]\s*[=;{]")), F.lit(1))
+    sizes = every_dynamic(F.col("w80s"), 1, r"\b", F.col("array_var"), r"\s*\[\s*(\d+)\s*\]\s*[=;{]")
     ptr, flagged = F.col("uaf_var"), F.col("flagged")
     deref = has_dynamic(flagged, r"\b", ptr, r"\s*(?:->|\[|\.)|\*\s*", ptr, r"\b") | F.exists(
-        F.regexp_extract_all("flagged", F.concat(F.lit(r"\b([A-Za-z_]\w*)\s*\(\s*"), ptr, F.lit(r"\s*[,)]")), F.lit(1)), lambda c: ~c.isin(P.NOT_CALLEES)
+        every_dynamic(flagged, 1, r"\b([A-Za-z_]\w*)\s*\(\s*", ptr, r"\s*[,)]"), lambda c: ~c.isin(P.NOT_CALLEES)
     )
     null_check = (first(flagged, P.NULL_CHECK) == ptr) | (first(flagged, P.NULL_EQUAL) == ptr) | has_dynamic(flagged, r"\b(?:if|while|assert)\s*\(\s*!?\s*", ptr, r"\s*\)")
     late = {
         "leak_freed": F.array_contains(every(w80, LEAK_RELEASE), F.col("leak_var")),
-        "leak_given": F.size(F.regexp_extract_all("w80", F.concat(F.lit(r"\b"), "leak_var", F.lit(r"\s*=\s*")), F.lit(0))),
+        "leak_given": F.size(every_dynamic(w80, 0, r"\b", F.col("leak_var"), r"\s*=\s*")),
         "deref_guarded": has_dynamic(w40, *guard),
         "deref_asserted": F.contains(first(w40, ASSERTED, 0), var) & has(w40, ASSERTED),
         "fits_array": F.coalesce(F.exists(sizes, lambda s: s.try_cast("long") >= F.col("const_bound")), F.lit(False)),

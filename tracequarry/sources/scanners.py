@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracequarry.functions.regexes import has
 from tracequarry.operators.correlate import lookup
 
 # Fixed values
@@ -161,7 +162,7 @@ def parse_sanitizer(outputs: DataFrame, kind: str = "address") -> DataFrame:
     """One row per kind of error that a runtime log names; the first stack frame is the place, 'runtime' without one."""
     text = F.col("payload")
     kinds = [
-        F.when(text.rlike("(?d)" + p), F.struct(F.lit(title).alias("title"), F.lit(cwe).alias("cwe"), F.lit(severity).alias("severity")))
+        F.when(has(text, p), F.struct(F.lit(title).alias("title"), F.lit(cwe).alias("cwe"), F.lit(severity).alias("severity")))
         for p, cwe, severity, title in SANITIZER_KINDS
     ]
     frame = lambda n: F.regexp_extract(text, FRAME, n)
