@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def ascii_words(pattern: str) -> str:
-    """With word boundaries between ASCII words; Java's own take the letters of all scripts for words."""
+    """With word boundaries between ASCII words; Java's own take the letters of all scripts for words.
+
+    A boundary before a name, a group of names or [A-Za-z is a plain look-behind.
+    """
+    pattern = re.sub(r"\\b(?=[A-Za-z_(]|\[A-Za-z|\\w)", lambda _: r"(?<!\w)", pattern)
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 

@@ -34,9 +34,19 @@ def _comment(text: Column) -> Column:
     return has(text, P.COMMENT_LINE)
 
 
-def _each(lines: Column, rule: Callable[[Column, Column], Column]) -> Column:
-    """Hits of a rule that gives one hit or null for each line that isn't a comment."""
-    return F.array_compact(F.transform(lines, lambda t, i: F.when(~_comment(t), rule(t, i))))
+def _calls(lines: Column) -> Column:
+    """The lines that can hold a call, comments apart, with their (0-based) places: what most rules look at."""
+    return F.array_compact(F.transform(lines, lambda t, i: F.when(F.contains(t, F.lit("(")) & ~_comment(t), F.struct(t.alias("t"), i.alias("i")))))
+
+
+def _each(rule: Callable[[Column, Column], Column]) -> Column:
+    """Hits of a rule that gives one hit or null for each line with a call."""
+    return F.array_compact(F.transform("_calls", lambda c: rule(c["t"], c["i"])))
+
+
+def _each_with(lines: Column, mark: Callable[[Column], Column], rule: Callable[[Column, Column], Column]) -> Column:
+    """The same for the lines that fulfil a cheap condition."""
+    return F.array_compact(F.transform(lines, lambda t, i: F.when(mark(t) & ~_comment(t), rule(t, i))))
 
 
 def _back(lines: Column, i: Column, k: int) -> Column:
@@ -61,7 +71,7 @@ def crypto_misuse(lines: Column) -> Column:
             .when(has(t, P.WEAK_RAND), _hit(i + 1, T["prng"], "low", 0.35))
         )
 
-    return _each(lines, rule)
+    return _each_with(lines, lambda t: has(t, r"(?i)md5|sha1|des|rc4|blowfish|bf_|cast|aes_encrypt|char|rand"), rule)
 
 
 def _literal_follows(t: Column, call: str) -> Column:
@@ -76,11 +86,11 @@ def command_injection(lines: Column) -> Column:
             F.when(~literal, _hit(i + 1, T["shell"], "high", 0.45)).when(has(t, P.SHELL_USER), _hit(i + 1, T["shell-user"], "medium", 0.4)),
         )
 
-    return _each(lines, rule)
+    return _each(rule)
 
 
 def format_string(lines: Column) -> Column:
-    return _each(lines, lambda t, i: F.when(has(t, P.PRINTF_SINK) & ~has(t, P.SAFE_FORMAT) & ~has(t, P.LITERAL_FORMAT), _hit(i + 1, T["format"], "high", 0.5)))
+    return _each(lambda t, i: F.when(has(t, P.PRINTF_SINK) & ~has(t, P.SAFE_FORMAT) & ~has(t, P.LITERAL_FORMAT), _hit(i + 1, T["format"], "high", 0.5)))
 
 
 def path_hijacking(lines: Column) -> Column:
@@ -91,7 +101,7 @@ def path_hijacking(lines: Column) -> Column:
             F.when((has(t, P.PATH_SET) | has(t, P.PATH_ASSIGN)) & ~has(value, r"^\s*" + P.QUOTED), _hit(i + 1, T["path-set"], "medium", 0.45)),
         )
 
-    return F.array_compact(F.flatten(_each(lines, rule)))
+    return F.array_compact(F.flatten(_each_with(lines, lambda t: F.contains(t, F.lit("(")) | F.contains(t, F.lit("PATH")), rule)))
 
 
 def path_traversal(lines: Column) -> Column:
@@ -102,7 +112,7 @@ def path_traversal(lines: Column) -> Column:
             _hit(i + 1, T["traversal"], "high", F.when(up, 0.5).otherwise(0.4)),
         )
 
-    return _each(lines, rule)
+    return _each(rule)
 
 
 def unchecked_length(lines: Column) -> Column:
@@ -110,11 +120,11 @@ def unchecked_length(lines: Column) -> Column:
         guarded = F.exists(_back(lines, i, 7), lambda x: has(x, P.LENGTH_GUARD))
         return F.when(has(t, P.LENGTH_SINK) & ~guarded, _hit(i + 1, _say("length", first(t, P.LENGTH_SINK)), "medium", 0.4))
 
-    return _each(lines, rule)
+    return _each(rule)
 
 
 def unsafe_deserialization(lines: Column) -> Column:
-    return _each(lines, lambda t, i: F.when(has(t, P.DESERIALIZER), _hit(i + 1, _say("dangerous", first(t, P.DESERIALIZER)), "high", 0.5)))
+    return _each(lambda t, i: F.when(has(t, P.DESERIALIZER), _hit(i + 1, _say("dangerous", first(t, P.DESERIALIZER)), "high", 0.5)))
 
 
 def untrusted_input(lines: Column) -> Column:
@@ -123,7 +133,7 @@ def untrusted_input(lines: Column) -> Column:
         used = F.exists(_ahead(lines, i, 15), lambda x: has(x, P.INPUT_SINK) & has_dynamic(x, r"\b", var, r"\b"))
         return F.when(has(t, P.INPUT_SOURCE) & (var != "") & used, _hit(i + 1, _say("input", var, first(t, P.INPUT_SOURCE)), "medium", 0.5))
 
-    return _each(lines, rule)
+    return _each(rule)
 
 
 def null_deref(lines: Column) -> Column:
@@ -135,7 +145,7 @@ def null_deref(lines: Column) -> Column:
         )
         return F.when(has(t, P.NULL_ALLOC) & (var != "") & ~checked, _hit(i + 1, _say("null", var, first(t, P.NULL_ALLOC)), "medium", 0.4))
 
-    return _each(lines, rule)
+    return _each(rule)
 
 
 HEAD = r"^[ \t]*(?:[A-Za-z_][\w \t\*]*[ \t\*])?([A-Za-z_]\w*)[ \t]*\([^;{}]*\)\s*(?:const\s*)?(\{.*)?$"
@@ -153,8 +163,10 @@ def functions_in(lines: Column) -> Column:
 
     def head(t, i):
         name, here = first(t, HEAD), first(t, HEAD, 2) != ""
-        brace = F.when(here, i + 1).when(has(F.get(lines, i + 1), r"^\s*\{"), i + 2)
-        is_head = F.contains(t, F.lit("(")) & (name != "") & ~name.isin(P.CONTROL_WORDS) & brace.isNotNull()
+        below = has(F.coalesce(F.get(lines, i + 1), F.lit("")), r"^\s*\{")
+        likely = F.contains(t, F.lit("(")) & (F.contains(t, F.lit("{")) | below)
+        brace = F.when(here, i + 1).when(below, i + 2)
+        is_head = likely & (name != "") & ~name.isin(P.CONTROL_WORDS) & brace.isNotNull()
         return F.when(is_head, F.struct(name.alias("name"), (i + 1).alias("head"), brace.alias("start")))
 
     def whole(f):
@@ -173,7 +185,8 @@ def functions_in(lines: Column) -> Column:
 
 
 def race_condition(lines: Column) -> Column:
-    named = F.flatten(F.transform(lines, lambda t: F.array(first(t, P.SIGNAL_CALL), first(t, P.SIGNAL_DECL))))
+    paired = lambda t: F.array(first(t, P.SIGNAL_CALL), first(t, P.SIGNAL_DECL))
+    named = F.flatten(F.transform(F.filter(lines, lambda t: F.contains(t, F.lit("(")) & (F.contains(F.lower(t), F.lit("signal")) | F.contains(t, F.lit("static")))), paired))
     handlers = F.array_distinct(F.filter(named, lambda n: n != ""))
 
     def calls(f):
@@ -192,9 +205,9 @@ def _last_of(events: Column) -> Column:
     return F.transform(names, lambda v: F.struct(v.alias("var"), last(v).alias("line")))
 
 
-def _events(lines: Column, wanted: Callable[[Column], Column], var: str) -> Column:
-    row = lambda t, i: F.when(~_comment(t) & wanted(t) & (first(t, var) != ""), F.struct(first(t, var).alias("var"), (i + 1).alias("line")))
-    return F.array_compact(F.transform(lines, row))
+def _events(wanted: Callable[[Column], Column], var: str) -> Column:
+    row = lambda c: F.when(wanted(c["t"]) & (first(c["t"], var) != ""), F.struct(first(c["t"], var).alias("var"), (c["i"] + 1).alias("line")))
+    return F.array_compact(F.transform("_calls", row))
 
 
 def _never(events: Column, ended: Column, title: str) -> Column:
@@ -204,10 +217,10 @@ def _never(events: Column, ended: Column, title: str) -> Column:
 
 
 def resource_lifecycle(lines: Column) -> Column:
-    opened = _events(lines, lambda t: has(t, rf"\b(?:{'|'.join(P.RESOURCES)})\s*\("), P.ASSIGNED)
+    opened = _events(lambda t: has(t, rf"\b(?:{'|'.join(P.RESOURCES)})\s*\("), P.ASSIGNED)
     ends = sorted(set(P.RESOURCES.values()))
-    closing = lambda t: F.array(*[F.when(~_comment(t) & has(t, rf"\b{e}\s*\("), first(t, rf"{e}\s*\(\s*(\w+)")) for e in ends])
-    return _never(opened, F.array_compact(F.flatten(F.transform(lines, closing))), "resource")
+    closing = lambda c: F.array(*[F.when(has(c["t"], rf"\b{e}\s*\("), first(c["t"], rf"{e}\s*\(\s*(\w+)")) for e in ends])
+    return _never(opened, F.array_compact(F.flatten(F.transform("_calls", closing))), "resource")
 
 
 def stack_recursion(lines: Column) -> Column:
@@ -231,7 +244,7 @@ def toctou(lines: Column) -> Column:
         used = F.exists(soon, lambda x: has(x, P.USE_CALL) & has_dynamic(x, r"\b\Q", given, r"\E\b"))
         return F.when(has(t, P.CHECK_CALL) & has(given, P.PLAIN_ARGUMENT) & used, _hit(i + 1, _say("toctou", given), "medium", 0.5))
 
-    return _each(lines, rule)
+    return _each(rule)
 
 
 def unchecked_return(lines: Column) -> Column:
@@ -239,7 +252,7 @@ def unchecked_return(lines: Column) -> Column:
         plain = ~has(t, r"^\s*while") & ~F.contains(t, F.lit("=")) & ~F.contains(t, F.lit("if"))
         return F.when(has(t, P.RETURN_CALL) & plain, _hit(i + 1, _say("return", first(t, P.RETURN_CALL)), "low", 0.35))
 
-    return _each(lines, rule)
+    return _each(rule)
 
 
 def buffer_overflow(lines: Column) -> Column:
@@ -248,14 +261,14 @@ def buffer_overflow(lines: Column) -> Column:
         severity, confidence = F.when(guarded, "low").otherwise("high"), F.when(guarded, 0.3).otherwise(0.6)
         sinks = [F.when(has(t, rf"\b{s}\s*\("), F.lit(s)) for s in P.COPY_SINKS]
         hits = F.transform(F.array_compact(F.array(*sinks)), lambda s: _hit(i + 1, _say("copy", s), severity, confidence))
-        return F.when(F.contains(t, F.lit("(")), hits)
+        return hits
 
-    return F.flatten(_each(lines, rule))
+    return F.flatten(_each(rule))
 
 
 def double_free(lines: Column) -> Column:
-    at = lambda t, i: F.when(~_comment(t), F.transform(every(t, P.FREED), lambda p: F.struct(p.alias("var"), (i + 1).alias("line"))))
-    frees = F.flatten(F.array_compact(F.transform(lines, at)))
+    at = lambda c: F.when(F.contains(c["t"], F.lit("ree")), F.transform(every(c["t"], P.FREED), lambda p: F.struct(p.alias("var"), (c["i"] + 1).alias("line"))))
+    frees = F.flatten(F.array_compact(F.transform("_calls", at)))
 
     def pointer(v):
         return F.struct(v.alias("var"), F.transform(F.filter(frees, lambda e: e["var"] == v), lambda e: e["line"]).alias("at"))
@@ -276,18 +289,17 @@ def integer_overflow(lines: Column) -> Column:
         a, b = first(t, P.PRODUCT, 1), first(t, P.PRODUCT, 2)
         checked = F.exists(_back(lines, i, 4), lambda x: has(x, P.OVERFLOW_WORD))
         plain = (a != b) & ~has(a, P.NUMBER) & ~has(b, P.NUMBER)
-        product = F.contains(t, F.lit("*")) & has(t, P.PRODUCT)
         return F.when(
-            product,
+            has(t, P.PRODUCT),
             F.when(has(t, P.SIZE_ALLOC), _hit(i + 1, T["size"], "medium", 0.45)).when(~checked & plain, _hit(i + 1, _say("product", a, b), "low", 0.3)),
         )
 
-    return _each(lines, rule)
+    return _each_with(lines, lambda t: F.contains(t, F.lit("*")) & F.contains(t, F.lit("=")), rule)
 
 
 def memory_leak(lines: Column) -> Column:
-    freed = _events(lines, lambda t: has(t, P.LEAK_FREE), P.LEAK_FREED)
-    return _never(_events(lines, lambda t: has(t, P.LEAK_ALLOC), P.ASSIGNED_CALL), F.transform(freed, lambda e: e["var"]), "leak")
+    freed = _events(lambda t: has(t, P.LEAK_FREE), P.LEAK_FREED)
+    return _never(_events(lambda t: has(t, P.LEAK_ALLOC), P.ASSIGNED_CALL), F.transform(freed, lambda e: e["var"]), "leak")
 
 
 def sign_conversion(lines: Column) -> Column:
@@ -300,7 +312,7 @@ def sign_conversion(lines: Column) -> Column:
             F.when(has(t, P.TO_UNSIGNED), _hit(i + 1, T["sign"], "medium", 0.45)).when((size != "") & odd, _hit(i + 1, _say("sign-size", size), "low", 0.4)),
         )
 
-    return _each(lines, rule)
+    return _each(rule)
 
 
 def _dereferenced(text: Column, ptr: Column) -> Column:
@@ -369,7 +381,7 @@ def rule_findings(files: DataFrame, names: list[str] | None = None) -> DataFrame
     Columns: rule, rule_ord, file, line, nth (among the rule's hits in the file), title, category,
     cwe, severity, confidence, tools, notes. A file without text gives none.
     """
-    ready = files.where("text is not null").select("file", F.split("text", "\n", -1).alias("lines"))
+    ready = files.where("text is not null").select("file", F.split("text", "\n", -1).alias("lines")).withColumn("_calls", _calls(F.col("lines")))
     chosen = [(n, *REGISTRY[n]) for n in (names or REGISTRY)]
 
     def tagged(name: str, order: int, cwe: str, category: str, body: Callable[[Column], Column]) -> Column:

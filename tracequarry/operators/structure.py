@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import patterns as P
 from tracequarry.functions.regexes import every, has
 from tracequarry.operators.rules import functions_in
-from tracequarry.session import cut
+from tracequarry.session import cut, width
 
 # Fixed values
 ENTRY_HINTS = ["main", "exit", "hook", "dispatch", "poll", "loop", "event", "handle", "init"]
@@ -58,8 +58,9 @@ def enrich(findings: DataFrame, files: DataFrame, around: int = 15, window: int
     findings meet its text as one list, so no text is repeated for each of them.
     """
     own = [c for c in findings.columns if c != "file"]
-    nested = findings.groupBy("file").agg(F.collect_list(F.struct(*own)).alias("_f"))
-    joined = nested.join(with_lines(files), "file", "left").withColumn("_d", functions_in(F.col("lines")))
+    tasks = width(findings.sparkSession)
+    nested = findings.repartition(tasks, "file").groupBy("file").agg(F.collect_list(F.struct(*own)).alias("_f"))
+    joined = nested.join(with_lines(files.repartition(tasks, "file")), "file", "left").withColumn("_d", functions_in(F.col("lines")))
     lines = F.col("lines")
 
     def told(f):

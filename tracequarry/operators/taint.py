@@ -242,15 +242,19 @@ def seeds(files: DataFrame) -> DataFrame:
 
 
 def bind(findings: DataFrame, hits: DataFrame) -> DataFrame:
-    """Findings (file, line, function, guarded and more) with the taint that reaches their line.
+    """Findings (file, line and more) with the taint that reaches their line: sink and tainted, null for none.
 
-    Adds sink, tainted and controllability: low if a size guard stands near (guarded), else high;
-    unknown without taint. Of several hits on a line the least sink counts.
+    Of several hits on a line the least sink counts. A line lies in one function, so the join
+    needs none; it comes before texts are fetched, so that only small rows are shuffled.
     """
-    best = hits.groupBy("file", "function", "line").agg(F.min(F.struct("sink", "tainted")).alias("_t"))
-    level = F.when(F.col("_t").isNull(), "unknown").when(F.col("guarded"), "low").otherwise("high")
-    joined = findings.join(best, ["file", "function", "line"], "left")
-    return joined.withColumns({"sink": F.col("_t.sink"), "tainted": F.col("_t.tainted"), "controllability": level}).drop("_t", "guarded")
+    best = hits.groupBy("file", "line").agg(F.min(F.struct("sink", "tainted")).alias("_t"))
+    joined = findings.join(best, ["file", "line"], "left")
+    return joined.withColumns({"sink": F.col("_t.sink"), "tainted": F.col("_t.tainted")}).drop("_t")
+
+
+def controllability(tainted: Column, guarded: Column) -> Column:
+    """unknown without taint; low if a size guard stands near, else high."""
+    return F.when(tainted.isNull(), "unknown").when(guarded, "low").otherwise("high")
 
 
 def standalone(hits: DataFrame) -> DataFrame:

@@ -57,9 +57,9 @@ def analyse(files: DataFrame, outputs: dict[str, DataFrame] | None = None, confi
     """
     config = config or Config()
     merged = C.merge(C.deduplicate(candidates(files, outputs, config)))
-    placed = structure.enrich(merged.drop("function", "controllability"), files, config.around)
     hits = taint.taint_hits(taint.tainted_functions(files))
-    bound = taint.bind(placed, hits).withColumn("vendor_source", vendored_hint(F.col("file")))
+    placed = structure.enrich(taint.bind(merged.drop("function", "controllability"), hits), files, config.around)
+    bound = placed.withColumns({"controllability": taint.controllability(F.col("tainted"), F.col("guarded")), "vendor_source": vendored_hint(F.col("file"))}).drop("guarded")
     flow = F.when(F.size("tainted") > 0, F.transform("tainted", lambda t: F.concat(t, F.lit(" reaches "), F.col("sink"), F.lit(" (network)"))))
     applied = validate.apply_verdicts(validate.verdicts(bound.withColumn("flow", flow), config.strict)).drop("lines", "at", "flow")
     n = F.size("tools")
