@@ -194,8 +194,9 @@ def race_condition(lines: Column) -> Column:
         at = lambda t, i: F.transform(every(t, P.NOT_SIGNAL_SAFE), lambda c: _hit(f["start"] + i, _say("race", c, f["name"]), "medium", 0.5))
         return F.flatten(F.transform(body, at))
 
-    hit = F.flatten(F.transform(F.filter(functions_in(lines), lambda f: F.array_contains(handlers, f["name"])), calls))
-    return F.when(F.size(handlers) > 0, hit).otherwise(F.filter(hit, lambda x: F.lit(False)))
+    hit = F.flatten(F.transform(F.filter("_functions", lambda f: F.array_contains(handlers, f["name"])), calls))
+    none = F.array().cast("array<struct<line: int, title: string, severity: string, confidence: double, notes: string>>")
+    return F.when(F.size(handlers) > 0, hit).otherwise(none)
 
 
 def _last_of(events: Column) -> Column:
@@ -224,7 +225,7 @@ def resource_lifecycle(lines: Column) -> Column:
 
 
 def stack_recursion(lines: Column) -> Column:
-    functions = functions_in(lines)
+    functions = F.col("_functions")
 
     def recursive(f):
         body = F.slice(lines, f["head"], f["end"] - f["head"] + 1)
@@ -381,7 +382,7 @@ def rule_findings(files: DataFrame, names: list[str] | None = None) -> DataFrame
     Columns: rule, rule_ord, file, line, nth (among the rule's hits in the file), title, category,
     cwe, severity, confidence, tools, notes. A file without text gives none.
     """
-    ready = files.where("text is not null").select("file", F.split("text", "\n", -1).alias("lines")).withColumn("_calls", _calls(F.col("lines")))
+    ready = files.where("text is not null").select("file", F.split("text", "\n", -1).alias("lines")).withColumns({"_calls": _calls(F.col("lines")), "_functions": functions_in(F.col("lines"))})
     chosen = [(n, *REGISTRY[n]) for n in (names or REGISTRY)]
 
     def tagged(name: str, order: int, cwe: str, category: str, body: Callable[[Column], Column]) -> Column:
