@@ -135,6 +135,19 @@ def test_taint(spark):
     assert {tuple(r) for r in taint.seeds(files).collect()} == {("a.c", "parse_header", "line"), ("a.c", "parse_header", "n")}
 
 
+def test_return_taint_traits_and_signatures(spark):
+    from tracequarry.sources import code
+
+    files = spark.createDataFrame([("a.c", SOURCE), ("b.c", None), ("c.c", "")], "file string, text string")
+    back = {r.function: (r.possible, r.sources) for r in taint.returns_taint(taint.tainted_functions(files)).collect()}
+    assert back == {"helper": (False, []), "parse_header": (True, [])}
+    traits = {r.file: (r.network, r.parser, r.ipc, r.privileged) for r in code.code_traits(files).collect()}
+    assert traits == {"a.c": (False, True, False, False), "c.c": (False, False, False, False)}
+    places = spark.createDataFrame([("a.c", 9), ("a.c", 3), ("c.c", 1)], "file string, line int")
+    above = {(r.file, r.line): r.signature for r in structure.signatures(places, files).collect()}
+    assert above == {("a.c", 9): "static char *parse_header(char *line, int n) {", ("a.c", 3): "int helper(int a)", ("c.c", 1): ""}
+
+
 def test_taint_index_and_rounds():
     calls, assigns = taint.take_apart("a = getenv(x);\nb = tab[a];\nsprintf(buf2, fmt, b);\nif (a == b) f(g(h), i);\n", 10)
     assert assigns == [("a", "getenv(x)", 10), ("b", "tab[a]", 11)]

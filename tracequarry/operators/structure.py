@@ -14,6 +14,7 @@ from tracequarry.session import cut, width
 ENTRY_HINTS = ["main", "exit", "hook", "dispatch", "poll", "loop", "event", "handle", "init"]
 REACH_WORDS = ["handler", "process", "parse", "main", "entry"]
 CALL = r"\b(\w+)\s*\("
+SIGNATURE = r"^(static\s+|extern\s+|inline\s+)*(void|int|char|unsigned|size_t|ssize_t|bool|float|double|const\s+\w+|struct\s+\w+|enum\s+\w+|\w+\s*\*)"
 
 
 def with_lines(files: DataFrame) -> DataFrame:
@@ -50,6 +51,18 @@ def snippets(places: DataFrame, files: DataFrame, around: int = 15) -> DataFrame
     return places.join(with_lines(files), "file", "left").withColumn("snippet", snippet(F.col("lines"), F.col("line"), around)).drop("lines")
 
 
+def signature_above(lines: Column, line: Column, reach: int = 30) -> Column:
+    """The nearest line, from the given one up to `reach` lines upwards, that begins like a declaration and has a parenthesis; '' for none."""
+    start = F.greatest(line - reach + 1, F.lit(1))
+    near = F.transform(F.reverse(F.slice(lines, start, F.greatest(line - start + 1, F.lit(0)))), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+    return F.coalesce(F.get(F.filter(near, lambda t: F.contains(t, F.lit("(")) & has(t, SIGNATURE)), F.lit(0)), F.lit(""))
+
+
+def signatures(places: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds `signature` to places (file, line and more)."""
+    return places.join(with_lines(files), "file", "left").withColumn("signature", signature_above(F.col("lines"), F.col("line"))).drop("lines")
+
+
 def enrich(findings: DataFrame, files: DataFrame, around: int = 15, window: int = 80) -> DataFrame:
     """Findings (file, line and more) with what their file says of them, in one join with the texts.
 

@@ -231,6 +231,12 @@ def taint_hits(functions: DataFrame) -> DataFrame:
     return known.select("file", "function", F.explode(F.concat(classic, index, overflow)).alias("h")).select("file", "function", "h.*")
 
 
+def returns_taint(functions: DataFrame) -> DataFrame:
+    """(file, function, possible, sources): whether a function can return tainted data, and by which source calls."""
+    called = F.array_sort(F.array_distinct(F.filter(F.transform("calls", lambda c: c["callee"]), lambda n: n.isin(list(SOURCE_CALLS)))))
+    return functions.select("file", "function", ((F.size("tainted") > 0) | (F.size(called) > 0)).alias("possible"), called.alias("sources"))
+
+
 def seeds(files: DataFrame) -> DataFrame:
     """(file, function, param): parameters that are tainted from the start."""
     ready = with_lines(files).select("file", "lines", F.explode(functions_in(F.col("lines"))).alias("f"))

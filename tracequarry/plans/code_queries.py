@@ -114,6 +114,14 @@ def q_trust_lines(spark, sf_dir):
     return lines.groupBy("file", C.input_source(F.col("text")).alias("input")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+def q_code_traits(spark, sf_dir):
+    return code.code_traits(_files(spark, sf_dir))
+
+
+def q_signature(spark, sf_dir):
+    return S.signatures(_places(spark, sf_dir), _files(spark, sf_dir))
+
+
 def _context(spark, sf_dir):
     findings = table(spark, sf_dir, "findings")
     staged = C.stage(findings).select("id", "cwe", "title", "controllability", "status", "notes", "line")
@@ -310,6 +318,19 @@ QUERIES = {
         q_trust_lines,
         f"with {CODE} select file, case {' '.join(f'when {m(chr(116), p)} then {_q(n)}' for n, p in C.INPUT_SOURCES.items())} else 'unknown' end as input, count(*) as lines from every_line group by 1, 2",
     ),
+    "q_code_traits": (
+        q_code_traits,
+        "select printf('doc-%d.c', doc_id) as file, "
+        + ", ".join("(" + " or ".join(f"contains(text, '{w}')" for w in words) + f") as {kind}" for kind, words in code.TRAITS.items())
+        + " from documents where doc_id is not null and text is not null",
+    ),
+    "q_signature": (
+        q_signature,
+        rf"""{WITH}, places as ({BODIES[PLACES]}), near as (
+          select p.file, p.line, n.line as pos, regexp_replace(n.t, '^\s+|\s+$', '', 'g') as s from places p join every_line n on n.file = p.file and n.line between p.line - 29 and p.line),
+          sigs as (select file, line, arg_max(s, pos) as signature from near where contains(s, '(') and {m('s', S.SIGNATURE)} group by 1, 2)
+          select p.file, p.line, coalesce(signature, '') as signature from places p left join sigs h on h.file = p.file and h.line = p.line""",
+    ),
     "q_verdicts": (q_verdicts, f"{_context_sql(False)} select id, cwe, {_VERDICT} as verdict, cast(len(verdicts_) as int) as validators from said"),
     "q_apply_verdicts": (
         q_apply_verdicts,

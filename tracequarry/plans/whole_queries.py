@@ -25,6 +25,11 @@ def q_taint_closure(spark, sf_dir):
     return rows.select("file", "function", "head", F.explode("tainted").alias("t")).select("file", "function", "head", "t.*")
 
 
+def q_return_taint(spark, sf_dir):
+    rows = taint.returns_taint(taint.tainted_functions(_files(spark, sf_dir)))
+    return rows.withColumn("sources", F.array_join("sources", ","))
+
+
 def q_sink_match(spark, sf_dir):
     hits = taint.taint_hits(taint.tainted_functions(_files(spark, sf_dir)))
     return hits.select("file", "function", "line", "sink", "cwe", F.array_join("tainted", ",").alias("tainted"))
@@ -74,6 +79,7 @@ QUERIES = {
           select file, function, param from named where param not in ('', 'void') and ({m('function', taint.NETWORK_FUNCTION)} or {m('param', taint.SOURCE_NAME)})""",
     ),
     "q_taint_closure": (q_taint_closure, None),
+    "q_return_taint": (q_return_taint, None),
     "q_sink_match": (q_sink_match, None),
     "q_taint_standalone": (q_taint_standalone, None),
     "q_pipeline": (q_pipeline, None),

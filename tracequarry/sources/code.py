@@ -12,6 +12,19 @@ RULE_EXTENSIONS = ["c", "cpp", "cc", "cxx", "h", "hpp"]
 CALLGRAPH_EXTENSIONS = ["c", "cpp", "cc"]
 VENDOR_DIRS = ["3rdparty", "third_party", "third-party", "vendor", "vendored", "external", "deps", "contrib", "lib", "libs", "extern", "thirdparty", "bundled"]
 
+TRAITS = {
+    "network": ["socket", "recv", "send", "bind", "listen", "accept", "connect"],
+    "parser": ["parse", "tokenizer", "lexer", "decoder", "deserialize"],
+    "ipc": ["pipe", "shmget", "mmap", "fork", "msgget"],
+    "privileged": ["setuid", "setgid", "sudo", "capability", "privilege"],
+}
+
+
+def code_traits(files: DataFrame) -> DataFrame:
+    """(file, network, parser, ipc, privileged): whether the whole text holds one of the words of each kind."""
+    held = lambda words: F.greatest(*[F.contains("text", F.lit(w)) for w in words])
+    return files.where("text is not null").select("file", *[held(words).alias(kind) for kind, words in TRAITS.items()])
+
 
 def read_tree(spark: SparkSession, root: str, extensions: list[str] = RULE_EXTENSIONS, limit: int | None = None) -> DataFrame:
     """(file, text) of the source files under a folder, paths relative to it.
