@@ -2,6 +2,7 @@
 
 from tracequarry.llm import bpe, matching, packing, splitting, survivors, topn
 from tracequarry.plans.changes import FINGERPRINT_SQL
+from tracequarry.plans.finding_queries import posix_sql
 from tracequarry.session import table
 
 
@@ -61,6 +62,43 @@ def p5_found(spark, sf_dir):
     return matching.match_results(*_tables(spark, sf_dir, *P5_TABLES), exact=True).select("result_id", "fingerprint")
 
 
+_NUMBER = r"try_cast(regexp_extract({c}, '(?i)^\s*(?:cwe)?[\s_:-]*0*([1-9][0-9]*)\b', 1) as int)"
+_PROJECT = r"regexp_replace(lower(trim({c})), '-(?:main|master|trunk|v?[0-9]+(?:\.[0-9]+)*)$', '')"
+_BEFORE = "regexp_extract(left('/' || r.path, greatest(length(r.path) - length(d.path), 0)), '[^/]*$')"
+P5_SQL = rf"""
+with cat as (select distinct {_NUMBER.format(c='cwe')} as cwe, family from cwe_catalog),
+proj as (select distinct id as project_id, lower(trim(root_path)) as root, {_PROJECT.format(c='project_name')} as project from projects),
+own as (select distinct id as run_id, project_id from runs where id is not null and project_id is not null),
+d0 as (
+  select project_id, fp, min(case when trim(file_path) <> '' then file_path end) as raw, min(case when line > 0 then line end) as line, min(number) as cwe
+  from (select *, {FINGERPRINT_SQL} as fp, {_NUMBER.format(c='cwe')} as number from findings) join own using (run_id) where fp is not null group by 1, 2
+), d1 as (
+  select project_id, fp, line, family, root, project, lower({posix_sql('raw')}) as p from d0 join cat using (cwe) left join proj using (project_id) where raw is not null and line is not null
+), d as (select *, case when starts_with(p, root || '/') then substr(p, length(root) + 2) else ltrim(p, '/') end as path from d1),
+r0 as (
+  select result_id, min(reported_path) as raw, min(line_no) as line, {_NUMBER.format(c='min(weakness)')} as cwe, min(msg) as msg
+  from scanner_results where result_id is not null and line_no > 0 and reported_path is not null group by 1
+), r1 as (
+  select r0.*, family, regexp_replace(lower({posix_sql('raw')}), '^(?:[a-z]:)?/*(?:\.\.?/+)*', '') as path,
+    list_distinct(list_filter(string_split_regex(lower(regexp_replace(coalesce(msg, ''), '''[^'']*''|\([^)]*\)|\[[^\]]*\]', ' ', 'g')), '[^a-z]+'), lambda w: length(w) > 1)) as words
+  from r0 left join cat using (cwe)
+), sizes as (select family, count(*) as n from r1 where family is not null and len(words) > 0 group by 1),
+gains as (select family, word, ln((count(*) + 0.5) / 0.5) as gain from (select family, unnest(words) as word from r1 where family is not null) group by 1, 2),
+scored as (
+  select result_id, g.family, round(sum(gain) + ln(any_value(n)) + any_value(k) * ln(0.5 / (any_value(n) + 1)), 9) as score
+  from (select result_id, len(words) as k, unnest(words) as word from r1 where family is null) o join gains g using (word) join sizes z on z.family = g.family group by 1, 2
+), told as (select result_id, arg_max(family, (score, family)) as told from scored group by 1),
+r as (select result_id, path, line, coalesce(family, told) as family from r1 left join told using (result_id) where path is not null),
+pairs as (
+  select r.result_id, d.fp, row_number() over (partition by r.result_id order by abs(r.line - d.line), d.project_id, d.fp) as k
+  from r join d on d.family = r.family and regexp_extract(d.path, '[^/]*$') = regexp_extract(r.path, '[^/]*$') and abs(r.line - d.line) <= 3
+  where (ends_with('/' || r.path, '/' || d.path) and ({_BEFORE} = '' or {_PROJECT.format(c=_BEFORE)} in (d.project, regexp_extract(d.root, '[^/]*$'))))
+    or ends_with('/' || d.path, '/' || r.path)
+)
+select result_id, fp as fingerprint from pairs where k = 1
+"""
+
+
 def p5_matches(spark, sf_dir):
     return matching.match_results(*_tables(spark, sf_dir, *P5_TABLES))
 
@@ -86,7 +124,7 @@ QUERIES = {
     "p2_found": (p2_found, P2_SQL),
     "p2_survivors": (p2_survivors, None),
     "p2_sources": (p2_sources, None),
-    "p5_found": (p5_found, None),
+    "p5_found": (p5_found, P5_SQL),
     "p5_matches": (p5_matches, None),
     "p6_ids": (p6_ids, None),
     "p7_containers": (p7_containers, None),
