@@ -164,3 +164,24 @@ def test_pipeline(spark):
     assert (copy.function, copy.line, copy.controllability, copy.vendor_source) == ("parse_header", 12, "low", "vendor (vendored/third-party)")
     assert ">>>   12 |" in copy.snippet and all(0 <= r.confidence <= 1 and 0 <= r.priority <= 10 for r in done)
     assert pipeline.Config.of({"rules": ["toctou"], "unknown": 1}).rules == ["toctou"]
+
+
+def test_pipeline_has_chains_standalone_taint_and_scanner_outputs(spark, monkeypatch):
+    more = "static int deep(int n) {\n  strcpy(a, b);\n}\n\nint main(int argc) {\n  deep(argc);\n}\n\nint far(int z) {\n  strcpy(c, d);\n}\n"
+    files = spark.createDataFrame([("a.c", SOURCE), ("m.c", more), ("b.c", "")], "file string, text string")
+    log = "ERROR: AddressSanitizer: heap-use-after-free\n"
+    hit = '{"results": [{"check_id": "k%d", "path": "", "start": {"line": %d}, "extra": {"message": "m", "metadata": {"cwe": ["CWE-78"]}}}]}'
+    outputs = {
+        "semgrep": spark.createDataFrame([(hit % (k, k),) for k in range(40)], "payload string"),
+        "sanitizer": spark.createDataFrame([(log,), (log + "    #0 0x1f in go m.c:2\n",)], "payload string"),
+    }
+    monkeypatch.setattr(structure, "LISTED", 10)
+    done = pipeline.analyse(files, outputs).collect()
+    by = {(r.file, r.line, r.cwe): r for r in done}
+    assert len(by) == len(done) and {r.finding_no for r in done} == {f"F-{k:05d}" for k in range(1, len(done) + 1)}
+    assert [(by["m.c", k, "CWE-120"].reachability, by["m.c", k, "CWE-120"].call_chain) for k in (2, 10)] == [("high", ["main", "deep"]), ("unknown", [])]
+    assert by["m.c", 2, "CWE-120"].priority == by["m.c", 10, "CWE-120"].priority + 1.9
+    alone = [r for r in done if r.tools == ["taint:alloc_overflow"]]
+    assert [(r.file, r.line, r.function, r.category, r.controllability, r.tainted) for r in alone] == [("a.c", 14, "parse_header", "taint", "high", ["n"])]
+    assert ("runtime", 0, "CWE-416") in by and by["m.c", 2, "CWE-416"].function == "go" and ">>>    2 |" in by["m.c", 2, "CWE-416"].snippet
+    assert sum(r.file == "" and r.tools == ["semgrep"] for r in done) == 40

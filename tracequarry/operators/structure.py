@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from tracequarry.functions import patterns as P
 from tracequarry.functions.regexes import every, has
 from tracequarry.operators.rules import functions_in
-from tracequarry.session import cut, width
+from tracequarry.session import broadcast_if_small, cut, width
 
 # Fixed values
 ENTRY_HINTS = ["main", "exit", "hook", "dispatch", "poll", "loop", "event", "handle", "init"]
 REACH_WORDS = ["handler", "process", "parse", "main", "entry"]
+#: No set has more entry points (see `entry_points`).
+ENTRIES = 16
+#: Findings of a file that meet its text as one list; a file with more has several lists.
+LISTED = 5_000
 CALL = r"\b(\w+)\s*\("
 SIGNATURE = r"^(static\s+|extern\s+|inline\s+)*(void|int|char|unsigned|size_t|ssize_t|bool|float|double|const\s+\w+|struct\s+\w+|enum\s+\w+|\w+\s*\*)"
 
@@ -66,13 +70,17 @@ def signatures(places: DataFrame, files: DataFrame) -> DataFrame:
 def enrich(findings: DataFrame, files: DataFrame, around: int = 15, window: int = 80) -> DataFrame:
     """Findings (file, line and more) with what their file says of them, in one join with the texts.
 
-    Adds function (see `function_at`), snippet, lines (those up to `window` around), at (the
-    finding's place among them, from 1) and guarded (a size guard within 15 lines). A file's
-    findings meet its text as one list, so no text is repeated for each of them.
+    Adds snippet, lines (those up to `window` around), at (the finding's place among them, from
+    1, or 0 without a line), guarded (a size guard within 15 lines) and, where it is missing or '', function (see
+    `function_at`). A file's findings meet its text as lists of some LISTED, so no text is
+    repeated for each of them and no file that many findings name is gathered in one list.
     """
+    findings = cut(findings if "function" in findings.columns else findings.withColumn("function", F.lit("")))
     own = [c for c in findings.columns if c != "file"]
     tasks = width(findings.sparkSession)
-    nested = findings.repartition(tasks, "file").groupBy("file").agg(F.collect_list(F.struct(*own)).alias("_f"))
+    hot = broadcast_if_small(findings.groupBy("file").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LISTED))
+    parts = F.pmod(F.xxhash64(*own), F.ceil(F.coalesce("_n", F.lit(1)) / LISTED)).alias("_part")
+    nested = findings.join(hot, "file", "left").select("file", F.struct(*own).alias("_f"), parts).repartition(tasks, "file", "_part").groupBy("file", "_part").agg(F.collect_list("_f").alias("_f"))
     joined = nested.join(with_lines(files.repartition(tasks, "file")), "file", "left").withColumn("_d", functions_in(F.col("lines")))
     lines = F.col("lines")
 
@@ -81,11 +89,11 @@ def enrich(findings: DataFrame, files: DataFrame, around: int = 15, window: int
         near = lambda k: (F.greatest(line - k, F.lit(1)), F.greatest(line + k - F.greatest(line - k, F.lit(1)) + 1, F.lit(0)))
         last = F.try_element_at(F.filter("_d", lambda d: d["start"] <= line), F.lit(-1))
         return F.struct(
-            *[f[c].alias(c) for c in own],
-            F.coalesce(F.when(last["end"] >= line, last["name"]), F.lit("")).alias("function"),
+            *[f[c].alias(c) for c in own if c != "function"],
+            F.when(F.coalesce(f["function"], F.lit("")) != "", f["function"]).otherwise(F.coalesce(F.when(last["end"] >= line, last["name"]), F.lit(""))).alias("function"),
             snippet(lines, line, around).alias("snippet"),
             F.coalesce(F.slice(lines, *near(window)), F.array().cast("array<string>")).alias("lines"),
-            (line - near(window)[0] + 1).alias("at"),
+            F.greatest(line - near(window)[0] + 1, F.lit(0)).alias("at"),
             F.coalesce(F.exists(F.slice(lines, *near(15)), lambda t: has(t, P.SIZE_GUARD)), F.lit(False)).alias("guarded"),
         )
 
@@ -105,6 +113,21 @@ def call_edges(files: DataFrame) -> DataFrame:
     return ready.select("file", F.explode(F.array_distinct(F.flatten(F.transform("fs", calls)))).alias("e")).select("file", "e.src", "e.dst")
 
 
+def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, entries) of files as one set: (files, src, dst) and (files, name, nth), functions known by their name.
+
+    `files` is a constant. The entries are those of `entry_points` in order of file and
+    definition; only the first are kept before they are numbered, so no task sorts all names.
+    """
+    one = F.lit(0).alias("files")
+    edges = call_edges(files).select(one, "src", "dst").distinct()
+    low = F.lower("name")
+    kind = F.when(F.col("name") == "main", 0).when(F.greatest(*[F.contains(low, F.lit(h)) for h in ENTRY_HINTS]), 1).otherwise(2)
+    named = functions(files).groupBy("name").agg(F.min(F.struct("file", "ord")).alias("ord"))
+    first_ = named.orderBy(kind, "ord", "name").limit(ENTRIES)
+    return edges, entry_points(first_.select(one, "name", "ord"), "files")
+
+
 def chain_edges(chains: DataFrame, group: str, chain: str) -> DataFrame:
     """(group, src, dst), each once: neighbours in call chains given as JSON lists of {function, file, line}."""
     steps = F.transform(F.from_json(chain, "array<struct<function: string, file: string, line: int>>"), lambda s: s["function"])
@@ -174,6 +197,19 @@ def reach_level(chain_length: Column, function: Column) -> Column:
     )
 
 
+def reach(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with call_chain, from an entry point of the files to the finding's function, and the reachability by its length.
+
+    Without a chain reachability stays as it is and call_chain is empty.
+    """
+    edges, entries = call_graph(files)
+    entries = cut(entries)
+    found = cut(call_chains(paths_from(edges, entries, "files", 2**31 - 1), entries, "files"))
+    chains = broadcast_if_small(found.select(F.col("node").alias("function"), F.col("chain").alias("call_chain")))
+    level = F.when(F.size("call_chain") > 0, reach_level(F.size("call_chain"), F.col("function"))).otherwise(F.col("reachability"))
+    return findings.join(chains, "function", "left").withColumns({"reachability": level, "call_chain": F.coalesce("call_chain", F.array().cast("array<string>"))})
+
+
 def describe_chain(chain: Column) -> Column:
     """A chain of {function, file, line} as text."""
     place = lambda s: F.when(F.coalesce(s["file"], F.lit("")) != "", F.concat(s["file"], F.lit(":"), s["line"].cast("string"))).otherwise("")

@@ -79,6 +79,8 @@ SINKS = {
     "setenv": ([0], "CWE-77"),
     "strlen": ([0], "CWE-190"),
 }
+#: Category of the findings that `standalone` gives.
+CATEGORY = "taint"
 ROUNDS = 4
 
 _STATEMENT = re.compile(r"(\w+)[ \t\r\n]*(?:(\()|=(?!=))", re.ASCII)
@@ -263,11 +265,11 @@ def controllability(tainted: Column, guarded: Column) -> Column:
     return F.when(tainted.isNull(), "unknown").when(guarded, "low").otherwise("high")
 
 
-def standalone(hits: DataFrame) -> DataFrame:
-    """Hits that no rule covers, as findings of their own."""
+def standalone(hits: DataFrame, *more: str) -> DataFrame:
+    """Hits that no rule covers, as findings of their own; `more` names columns of the hits to keep."""
     index = F.col("sink") == "array_index"
     title = F.when(index, "Array index derived from attacker-influenced data").otherwise("Allocation size derived from attacker-controlled factor")
     return hits.where(F.col("sink").isin("array_index", "alloc_overflow")).select(
-        "file", "line", "function", title.alias("title"), F.lit("taint").alias("category"), "cwe", F.lit("medium").alias("severity"), F.lit(0.6).alias("confidence"),
-        F.array(F.concat(F.lit("taint:"), "sink")).alias("tools"),
+        "file", "line", "function", title.alias("title"), F.lit(CATEGORY).alias("category"), "cwe", F.lit("medium").alias("severity"), F.lit(0.6).alias("confidence"),
+        F.array(F.concat(F.lit("taint:"), "sink")).alias("tools"), *more,
     )

@@ -191,7 +191,7 @@ def features(df: DataFrame, strict: bool = False) -> DataFrame:
             "uaf_start": first(F.col("title"), TITLE_POINTER, 2).try_cast("int"),
             "risky_call": _for("probe_call", F.when(has(F.col("snippet"), RISKY), first(F.col("snippet"), RISKY)).otherwise(first(strip_comments(window(6)), RISKY))),
             "format_arg": _for("const_format", F.trim(first(strip_comments(F.col("flagged")), FORMAT_ARG))),
-            "before": _for(["uaf_nulled", "uaf_freed_before"], F.array_join(F.slice("lines", F.greatest(F.col("at") - 80, F.lit(1)), F.col("at") - F.greatest(F.col("at") - 80, F.lit(1))), "\n")),
+            "before": _for(["uaf_nulled", "uaf_freed_before"], F.array_join(F.slice("lines", F.greatest(F.col("at") - 80, F.lit(1)), F.greatest(F.col("at") - F.greatest(F.col("at") - 80, F.lit(1)), F.lit(0))), "\n")),
         }
     )
     sizes = every_dynamic(F.col("w80s"), 1, r"\b", F.col("array_var"), r"\s*\[\s*(\d+)\s*\]\s*[=;{]")

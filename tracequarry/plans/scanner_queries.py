@@ -48,6 +48,12 @@ def native_output(rows: DataFrame, tool: str) -> DataFrame:
     return rows.select("result_id", body.alias("payload"))
 
 
+def captured(spark, sf_dir) -> dict[str, DataFrame]:
+    """The outputs that the queries below parse, by tool: results as their tools print them and all documents as logs."""
+    logs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", F.col("text").alias("payload"))
+    return {tool: logs if tool == "sanitizer" else native_output(_results(spark, sf_dir, tool), tool) for tool in N.PARSERS}
+
+
 def _query(tool: str):
     def query(spark, sf_dir):
         return N.PARSERS[tool](native_output(_results(spark, sf_dir, tool), tool)).select(*COLUMNS)

@@ -12,6 +12,7 @@ from tracequarry.plans import pipeline, report
 from tracequarry.plans.code_queries import _files
 from tracequarry.plans.finding_queries import STAGED, _ranked, _with
 from tracequarry.plans.rule_queries import WITH, m
+from tracequarry.plans.scanner_queries import captured
 from tracequarry.session import shared_folder, table
 from tracequarry.streaming import findings as stream
 
@@ -40,8 +41,8 @@ def q_taint_standalone(spark, sf_dir):
 
 
 def q_pipeline(spark, sf_dir):
-    done = pipeline.analyse(_files(spark, sf_dir))
-    return done.select("finding_no", "file", "line", "function", "cwe", "severity", F.col("confidence").cast("double").alias("confidence"), "priority", "verdict", "status", "controllability", F.array_join("tools", ",").alias("tools"))
+    done = pipeline.analyse(_files(spark, sf_dir), captured(spark, sf_dir))
+    return done.select("finding_no", "file", "line", "function", "cwe", "severity", F.col("confidence").cast("double").alias("confidence"), "priority", "verdict", "status", "reachability", "controllability", F.array_join("tools", ",").alias("tools"))
 
 
 def q_reports(spark, sf_dir):
