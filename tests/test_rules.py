@@ -185,3 +185,13 @@ def test_pipeline_has_chains_standalone_taint_and_scanner_outputs(spark, monkeyp
     assert [(r.file, r.line, r.function, r.category, r.controllability, r.tainted) for r in alone] == [("a.c", 14, "parse_header", "taint", "high", ["n"])]
     assert ("runtime", 0, "CWE-416") in by and by["m.c", 2, "CWE-416"].function == "go" and ">>>    2 |" in by["m.c", 2, "CWE-416"].snippet
     assert sum(r.file == "" and r.tools == ["semgrep"] for r in done) == 40
+
+
+def test_flow_steps_carry_their_own_hints(spark):
+    text = "int one(int z) {\n  v = getenv(x);\n  printf(v);\n  system(v);\n}\n\nint parse_it(int q) {\n  printf(q);\n  t = tab[q];\n  system(q);\n}\n"
+    files = spark.createDataFrame([("a.c", text)], "file string, text string")
+    flows = {(r.line, r.sink): r.flow for r in taint.taint_hits(taint.tainted_functions(files)).collect()}
+    assert flows[4, "system"] == ["'v' becomes tainted at this line (environment)", "system reached with tainted data"]
+    assert flows[9, "array_index"] == ["'q' enters parse_it (network)", "tainted value used as index into 'tab'"]
+    done = {(r.line, r.cwe): r for r in pipeline.analyse(files).collect()}
+    assert done[4, "CWE-78"].dataflow == flows[4, "system"] and done[10, "CWE-78"].dataflow == ["'q' enters parse_it (network)", "system reached with tainted data"]

@@ -195,20 +195,23 @@ def _touched(text: Column) -> Column:
 
 
 def taint_hits(functions: DataFrame) -> DataFrame:
-    """(file, function, line, sink, cwe, tainted): sensitive calls with tainted arguments that matter.
+    """(file, function, line, sink, cwe, tainted, flow): sensitive calls with tainted arguments that matter.
+
+    flow describes the steps: each place where a name in the arguments became tainted, with the
+    hint of its own source, then the sink.
 
     Beside the calls of SINKS: array_index, a tainted index in an assigned value or an argument,
     and alloc_overflow, an allocation whose size multiplies a tainted name.
     """
     known = functions.withColumn("vars", F.transform("tainted", lambda t: t["var"]))
-    hit = lambda line, sink, cwe, names: F.struct(line.alias("line"), sink.alias("sink"), cwe.alias("cwe"), names.alias("tainted"))
+    hit = lambda line, sink, cwe, names, last: F.struct(line.alias("line"), sink.alias("sink"), cwe.alias("cwe"), names.alias("tainted"), last.alias("last"))
     at = F.create_map(*[F.lit(x) for k, (v, _) in SINKS.items() if v is not None for x in (k, v)])
     cwe = F.create_map(*[F.lit(x) for k, (_, c) in SINKS.items() for x in (k, c)])
     whole = [k for k, (v, _) in SINKS.items() if v is None]
 
     def called(c):
         numbered = F.filter(c["args"], lambda a, i: c["callee"].isin(whole) | F.coalesce(F.array_contains(F.try_element_at(at, c["callee"]), i), F.lit(False)))
-        return hit(c["line"], c["callee"], F.try_element_at(cwe, c["callee"]), F.array_distinct(F.filter(numbered, _touched)))
+        return hit(c["line"], c["callee"], F.try_element_at(cwe, c["callee"]), F.array_distinct(F.filter(numbered, _touched)), F.concat(c["callee"], F.lit(" reached with tainted data")))
 
     classic = F.filter(F.transform(F.filter("calls", lambda c: c["callee"].isin(list(SINKS))), called), lambda h: F.size(h["tainted"]) > 0)
     held = F.transform("assigns", lambda a: F.struct(a["value"].alias("text"), a["line"].alias("line")))
@@ -216,7 +219,7 @@ def taint_hits(functions: DataFrame) -> DataFrame:
 
     def indexed(e):
         pairs = F.arrays_zip(every(e["text"], r"(\w+)\s*\[\s*([^\]]+?)\s*\]", 1).alias("a"), every(e["text"], r"(\w+)\s*\[\s*([^\]]+?)\s*\]", 2).alias("i"))
-        used = F.transform(pairs, lambda p: hit(e["line"], F.lit("array_index"), F.lit("CWE-787"), F.array_intersect(_names(p["i"]), F.col("vars"))))
+        used = F.transform(pairs, lambda p: hit(e["line"], F.lit("array_index"), F.lit("CWE-787"), F.array_intersect(_names(p["i"]), F.col("vars")), F.concat(F.lit("tainted value used as index into '"), p["a"], F.lit("'"))))
         return F.filter(used, lambda h: F.size(h["tainted"]) > 0)
 
     alloc = r"(?i)\b(malloc|calloc|realloc|alloca)\s*\(([^;()]*)\)"
@@ -226,11 +229,20 @@ def taint_hits(functions: DataFrame) -> DataFrame:
     def sized(c):
         looked = F.slice(c["args"], 1, F.when(c["callee"] == "calloc", 2).otherwise(1))
         factors = F.flatten(F.transform(F.filter(looked, lambda a: has(a, r"\w+\s*\*\s*\w+")), lambda a: F.array_intersect(_names(a), F.col("vars"))))
-        return hit(c["line"], F.lit("alloc_overflow"), F.lit("CWE-120"), factors)
+        return hit(c["line"], F.lit("alloc_overflow"), F.lit("CWE-120"), factors, F.lit("allocation size derived from a tainted factor"))
 
     overflow = F.filter(F.transform(F.concat(outer, inner), sized), lambda h: F.size(h["tainted"]) > 0)
-    index = F.array_distinct(F.flatten(F.transform(F.concat(held, given), indexed)))
-    return known.select("file", "function", F.explode(F.concat(classic, index, overflow)).alias("h")).select("file", "function", "h.*")
+    seen = F.flatten(F.transform(F.concat(held, given), indexed))
+    index = F.filter("seen", lambda h, i: ~F.exists(F.slice("seen", 1, i), lambda b: (b["line"] == h["line"]) & (b["tainted"] == h["tainted"])))
+
+    def step(t):
+        said = F.when(t["line"] == 0, F.concat(F.lit("' enters "), "function")).otherwise("' becomes tainted at this line")
+        return F.concat(F.lit("'"), t["var"], said, F.lit(" ("), t["hint"], F.lit(")"))
+
+    named = F.array_distinct(F.flatten(F.transform("h.tainted", _names)))
+    steps = F.flatten(F.transform(named, lambda n: F.transform(F.filter("marks", lambda t: t["var"] == n), step)))
+    each = known.withColumn("seen", seen).select("file", "function", F.col("tainted").alias("marks"), F.explode(F.concat(classic, index, overflow)).alias("h"))
+    return each.select("file", "function", "h.line", "h.sink", "h.cwe", "h.tainted", F.concat(steps, F.array("h.last")).alias("flow"))
 
 
 def returns_taint(functions: DataFrame) -> DataFrame:
@@ -250,14 +262,14 @@ def seeds(files: DataFrame) -> DataFrame:
 
 
 def bind(findings: DataFrame, hits: DataFrame) -> DataFrame:
-    """Findings (file, line and more) with the taint that reaches their line: sink and tainted, null for none.
+    """Findings (file, line and more) with the taint that reaches their line: sink, tainted and flow, null for none.
 
     Of several hits on a line the least sink counts. A line lies in one function, so the join
     needs none; it comes before texts are fetched, so that only small rows are shuffled.
     """
-    best = hits.groupBy("file", "line").agg(F.min(F.struct("sink", "tainted")).alias("_t"))
+    best = hits.groupBy("file", "line").agg(F.min(F.struct("sink", "tainted", "flow")).alias("_t"))
     joined = findings.join(best, ["file", "line"], "left")
-    return joined.withColumns({"sink": F.col("_t.sink"), "tainted": F.col("_t.tainted")}).drop("_t")
+    return joined.withColumns({"sink": F.col("_t.sink"), "tainted": F.col("_t.tainted"), "flow": F.col("_t.flow")}).drop("_t")
 
 
 def controllability(tainted: Column, guarded: Column) -> Column:

@@ -51,9 +51,9 @@ def candidates(files: DataFrame, outputs: dict[str, DataFrame] | None = None, co
 
 
 def _alone(hits: DataFrame) -> DataFrame:
-    """Taint hits that no rule covers, as merged findings; their sink and tainted names are bound already."""
-    found = taint.standalone(hits, "sink", "tainted").withColumns({"nth": F.xxhash64("function", "tainted"), "notes": F.lit("")})
-    shaped = _shaped(found, len(rules.REGISTRY) + len(PARSERS), "sink", "tainted")
+    """Taint hits that no rule covers, as merged findings; their sink, tainted names and flow are bound already."""
+    found = taint.standalone(hits, "sink", "tainted", "flow").withColumns({"nth": F.xxhash64("function", "tainted"), "notes": F.lit("")})
+    shaped = _shaped(found, len(rules.REGISTRY) + len(PARSERS), "sink", "tainted", "flow")
     one = F.lit(1).cast("int")
     return shaped.withColumns({"fp": C.fingerprint(*[F.col(c) for c in ("file", "line", "function", "cwe", "title")]), "copies": one, "merged": one})
 
@@ -69,12 +69,11 @@ def analyse(files: DataFrame, outputs: dict[str, DataFrame] | None = None, confi
     config = config or Config()
     merged = C.merge(C.deduplicate(candidates(files, outputs, config)))
     hits = cut(taint.taint_hits(taint.tainted_functions(files)))
-    placed = structure.enrich(taint.bind(merged, hits).unionByName(_alone(hits)).drop("controllability"), files, config.around)
+    placed = structure.enrich(taint.bind(merged, hits).unionByName(_alone(hits)).withColumnRenamed("flow", "dataflow").drop("controllability"), files, config.around)
     alone = F.col("category") == taint.CATEGORY
     control = F.when(alone, "high").otherwise(taint.controllability(F.col("tainted"), F.col("guarded")))
     bound = placed.withColumns({"controllability": control, "vendor_source": vendored_hint(F.col("file"))}).drop("guarded")
-    flow = F.when(F.size("tainted") > 0, F.transform("tainted", lambda t: F.concat(t, F.lit(" reaches "), F.col("sink"), F.lit(" (network)"))))
-    applied = validate.apply_verdicts(validate.verdicts(bound.withColumn("flow", flow), config.strict)).drop("lines", "at", "flow")
+    applied = validate.apply_verdicts(validate.verdicts(bound.withColumn("flow", F.col("dataflow")), config.strict)).drop("lines", "at", "flow")
     reached = structure.reach(applied, files)
     n = F.size("tools")
     confidence = C.adjusted(F.col("confidence"), n, F.size("doubts"), F.when(alone, 0).otherwise(n), F.col("reachability"))
