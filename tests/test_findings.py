@@ -194,6 +194,16 @@ def test_summaries_reports_and_store(spark, tmp_path):
     assert store.union_versions(rows.select("id"), rows.select("id", "cwe")).count() == 8
 
 
+def test_merged_findings_unite_the_evidence_of_their_copies(spark):
+    base = dict(run_id=1, finding_id="F-1", title="T", category="c", cwe="CWE-120", severity="high", confidence=0.5, file_path="a.c", line=3, function_name="f", tools="x", reachability=None, controllability=None, status="new", notes=None)
+    rows = [base, base, base | {"title": "Other", "confidence": 0.9}, base | {"line": 9}, base | {"run_id": 2}, base | {"run_id": None}]
+    findings = spark.createDataFrame([(k, *r.values()) for k, r in enumerate(rows, 1)], FINDING)
+    given = [(1, "t", "s"), (1, "t", "s"), (2, "t", "s"), (2, "t", "u"), (3, "w", None), (5, "t", "s"), (6, "t", "z"), (99, "t", "q"), (None, "t", "q")]
+    evidence = spark.createDataFrame([(k, *e, None) for k, e in enumerate(given)], "id long, finding_id long, evidence_type string, evidence_source string, detail string")
+    got = {r.id: (r.n_evidence, r.merged) for r in correlate.ranked(findings, evidence).collect()}
+    assert got == {3: (3, 2), 4: (0, 1), 5: (1, 1)}
+
+
 def test_file_tree_and_profile(spark, tmp_path):
     for name, text in {"src/a b.c": "int x;\n", "src/B.CPP": "y", ".git/c.c": "z", "d.txt": "t"}.items():
         p = tmp_path / name

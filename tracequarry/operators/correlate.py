@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tracequarry.functions import clean
 from tracequarry.functions.regexes import has
 from tracequarry.operators.ordering import rank_within
+from tracequarry.session import cut
 
 # Fixed values
 SEVERITY_WEIGHT = {"critical": 4, "high": 3, "medium": 2, "low": 1}
@@ -189,8 +190,23 @@ def score(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
+def united_evidence(staged: DataFrame, merged: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence with the id of the merged finding that its own finding became part of.
+
+    A fingerprint holds file, line and weakness, so deduplication and merging keep a row in the
+    group of these. Evidence of findings that are in no run is left out.
+    """
+    group = ["run_id", "file", "line", "cwe"]
+    kept = merged.select(*group, F.col("id").alias("_kept"))
+    member = staged.select(*group, F.col("id").alias("finding_id"))
+    brought = evidence.where("finding_id is not null").select("finding_id", "evidence_type", "evidence_source").distinct()
+    return brought.join(member, "finding_id").join(kept, group).select(F.col("_kept").alias("finding_id"), "evidence_type", "evidence_source")
+
+
 def ranked(findings: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The whole way: staged findings deduplicated, merged, scored, ranked within their run and numbered."""
-    scored = score(merge(deduplicate(stage(findings).where("run_id is not null"))), evidence)
+    """The whole way: staged findings deduplicated, merged, scored by the evidence of all copies, ranked within their run and numbered."""
+    staged = stage(findings).where("run_id is not null")
+    merged = cut(merge(deduplicate(staged)))
+    scored = score(merged, united_evidence(staged, merged, evidence))
     placed = rank_within(scored, "run_id", [F.desc("priority"), F.asc("id")])
     return placed.withColumn("finding_no", F.format_string("F-%05d", "rank"))
