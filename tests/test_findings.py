@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,19 @@ def test_summaries_reports_and_store(spark, tmp_path):
     assert store.union_versions(rows.select("id"), rows.select("id", "cwe")).count() == 8
 
 
+def test_reports_list_all_findings_in_parts(spark):
+    rows = correlate.merge(correlate.deduplicate(staged(spark, *[{"line": k, "title": f"t{k}"} for k in range(60)], {"run_id": 2})))
+    evidence = spark.createDataFrame([], "id long, finding_id long, evidence_type string, evidence_source string, detail string")
+    ranked = ordering.rank_within(correlate.score(rows, evidence), "run_id", [F.desc("priority"), F.asc("id")]).withColumn("finding_no", F.format_string("F-%05d", "rank"))
+    parts = report.reports(ranked, listed=25).orderBy("part").collect()
+    assert [(r.part, r.format) for r in parts if r.run_id == 1 and r.format == "json"] == [(0, "json"), (1, "json"), (2, "json")]
+    text = lambda run, kind: "".join(r.text for r in parts if (r.run_id, r.format) == (run, kind))
+    whole = json.loads(text(1, "json"))
+    assert (whole["total"], [f["finding_no"] for f in whole["findings"]]) == (60, [f"F-{k:05d}" for k in range(1, 61)])
+    assert text(1, "markdown").count("\n## ") == 60 and text(1, "html").count("<tr>") == 60 and text(1, "html").endswith("</html>")
+    assert json.loads(text(2, "json"))["total"] == 1 and "".join(r.text for r in report.reports(ranked).where("run_id = 1 and format = 'markdown'").collect()) == text(1, "markdown")
+
+
 def test_merged_findings_unite_the_evidence_of_their_copies(spark):
     base = dict(run_id=1, finding_id="F-1", title="T", category="c", cwe="CWE-120", severity="high", confidence=0.5, file_path="a.c", line=3, function_name="f", tools="x", reachability=None, controllability=None, status="new", notes=None)
     rows = [base, base, base | {"title": "Other", "confidence": 0.9}, base | {"line": 9}, base | {"run_id": 2}, base | {"run_id": None}]

@@ -1,4 +1,4 @@
-"""Reports, one row per run and format: totals and the findings of the highest priority."""
+"""Reports, rows per run and format in parts: totals and all findings by rank."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tracequarry.operators.analytics import SEVERITIES, report_verdict, severity_distribution
 
-#: Findings that a report lists in full; the totals cover all.
-LISTED = 50
+#: Findings that a part of a report lists.
+LISTED = 500
 FORMATS = ("json", "markdown", "html")
 
 
@@ -19,22 +19,29 @@ def _escape(col):
 
 
 def reports(ranked: DataFrame, formats: tuple[str, ...] = FORMATS, listed: int = LISTED) -> DataFrame:
-    """(run_id, format, text) from ranked findings. Only the `listed` first of a run are gathered."""
+    """(run_id, format, part, text) from ranked findings, all of them; joined in order the parts of a report are its text.
+
+    A part, numbered from 0, lists `listed` findings, so no run is gathered in one group.
+    """
     totals = severity_distribution(ranked, "run_id")
-    shown = ranked.where(F.col("rank") <= listed).withColumns({"verdict": report_verdict(F.col("status"), F.col("notes")), "score": F.col("priority")})
+    part = F.floor((F.col("rank") - 1) / listed).cast("int")
+    shown = ranked.withColumns({"part": part, "verdict": report_verdict(F.col("status"), F.col("notes")), "score": F.col("priority")})
     row = F.struct("rank", "finding_no", "title", "severity", "cwe", "file", "line", F.col("confidence").cast("double").alias("confidence"), "score", "verdict")
-    joined = totals.join(shown.groupBy("run_id").agg(F.array_sort(F.collect_list(row)).alias("findings")), "run_id")
+    joined = totals.join(shown.groupBy("run_id", "part").agg(F.array_sort(F.collect_list(row)).alias("findings")), "run_id")
     place = lambda f: F.concat(f["file"], F.lit(":"), f["line"].cast("string"))
     item = lambda f: F.format_string("## %s %s\n- %s, %s, score %.1f, %s\n- %s", f["finding_no"], f["title"], f["severity"], f["cwe"], f["score"], f["verdict"], place(f))
     cell = lambda f: F.format_string("<tr><td>%s</td><td>%s</td><td>%s</td><td>%s</td></tr>", f["finding_no"], _escape(f["title"]), f["severity"], _escape(place(f)))
     counts = F.concat_ws(", ", *[F.concat(F.lit(f"{s} "), F.col(s).cast("string")) for s in SEVERITIES])
+    start, end = F.col("part") == 0, F.col("part") == F.floor((F.col("total") - 1) / listed)
+    within = lambda head, sep, body, tail: F.concat(F.when(start, head).otherwise(F.lit(sep)), body, F.when(end, tail).otherwise(""))
+    listing, whole = F.to_json("findings"), F.to_json(F.struct("run_id", "total", *SEVERITIES))
     text = {
-        "json": F.to_json(F.struct("run_id", "total", *SEVERITIES, "findings")),
-        "markdown": F.concat(F.format_string("# Run %d\n%d findings: ", "run_id", "total"), counts, F.lit("\n"), F.array_join(F.transform("findings", item), "\n")),
-        "html": F.concat(F.format_string("<html><body><h1>Run %d</h1><p>", "run_id"), counts, F.lit("</p><table>"), F.array_join(F.transform("findings", cell), ""), F.lit("</table></body></html>")),
+        "json": within(F.concat(F.regexp_replace(whole, r"\}$", ""), F.lit(',"findings":[')), ",", F.substring(listing, F.lit(2), F.length(listing) - 2), "]}"),
+        "markdown": within(F.concat(F.format_string("# Run %d\n%d findings: ", "run_id", "total"), counts, F.lit("\n")), "\n", F.array_join(F.transform("findings", item), "\n"), ""),
+        "html": within(F.concat(F.format_string("<html><body><h1>Run %d</h1><p>", "run_id"), counts, F.lit("</p><table>")), "", F.array_join(F.transform("findings", cell), ""), "</table></body></html>"),
     }
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("format"), text[f].alias("text")) for f in formats])).alias("r")
-    return joined.select("run_id", each).select("run_id", "r.*")
+    return joined.select("run_id", "part", each).select("run_id", "r.format", "part", "r.text")
 
 
 def write_reports(ranked: DataFrame, path: str, formats: tuple[str, ...] = FORMATS) -> None:
