@@ -241,3 +241,14 @@ def test_stream_counts_each_finding_once(spark, tmp_path):
     assert want == {(t(2024, 1, 1), "high", 2), (t(2024, 1, 2), None, 1)}
     stream.run_available(stream.severity_counts(stream.read_stream(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
     assert {(r.start, r.severity, r.findings) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_stream_of_many_files_out_of_time_order(spark, tmp_path):
+    t = datetime.datetime
+    batches = [[(1, t(2025, 2, 1), "high"), (2, t(2025, 2, 2), "low")], [(3, t(2023, 1, 5), "high"), (2, t(2025, 2, 2), "low")], [(4, t(2024, 6, 1), "low"), (1, t(2025, 2, 1), "high")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "id long, created_at timestamp_ntz, severity string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    want = {(t(2025, 2, 1), "high", 1), (t(2025, 2, 2), "low", 1), (t(2023, 1, 5), "high", 1), (t(2024, 6, 1), "low", 1)}
+    counts = stream.severity_counts(stream.read_stream(spark, str(tmp_path / "in"), 1))
+    stream.run_available(counts, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert {(r.start, r.severity, r.findings) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
