@@ -195,6 +195,16 @@ def test_summaries_reports_and_store(spark, tmp_path):
     assert store.union_versions(rows.select("id"), rows.select("id", "cwe")).count() == 8
 
 
+def test_evidence_has_markers_for_flows_and_chains(spark):
+    rows = [(1, '["x", "rule:y"]', '[{"variable": "v", "location": "a.c:1", "description": "d"}]', None), (2, "x", "[]", '[{"function": "main", "file": "", "line": 0}]'), (3, None, None, "")]
+    cells = [c.split()[0] for c in FINDING.split(", ")]
+    given = spark.createDataFrame(rows, "id long, tools string, dataflow string, call_chain string")
+    kinds = dict(c.split() for c in FINDING.split(", "))
+    full = given.withColumns({c: F.lit(None).cast(kinds[c]) for c in cells if c not in given.columns})
+    got = {(r.id, r.evidence_type, r.evidence_source) for r in correlate.evidence_of(correlate.stage(full)).collect()}
+    assert got == {(1, "static_analyzer", "x"), (1, "custom_rule", "rule:y"), (1, "dataflow", ""), (2, "static_analyzer", "x"), (2, "call_graph", "")}
+
+
 def test_reports_list_all_findings_in_parts(spark):
     rows = correlate.merge(correlate.deduplicate(staged(spark, *[{"line": k, "title": f"t{k}"} for k in range(60)], {"run_id": 2})))
     evidence = spark.createDataFrame([], "id long, finding_id long, evidence_type string, evidence_source string, detail string")

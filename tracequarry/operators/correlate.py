@@ -82,10 +82,12 @@ def stage(findings: DataFrame) -> DataFrame:
     """The findings table in one form: one row per id, enumerations, paths, weaknesses and tools normalised.
 
     Missing text is '', a missing line or confidence 0, a missing enumeration 'unknown'
-    (severity: 'medium', status: 'new'), a missing weakness CWE-0.
+    (severity: 'medium', status: 'new'), a missing weakness CWE-0. has_flow and has_chain tell of a
+    data flow and a call chain that aren't empty.
     """
     f = F.col
     text = lambda c: F.coalesce(F.regexp_replace(f(c), r"^\s+|\s+$", ""), F.lit(""))
+    listed = lambda c: (F.coalesce(F.size(F.from_json(c, "array<string>")), F.lit(0)) > 0) if c in findings.columns else F.lit(False)
     kind = lambda c, default="unknown": F.coalesce(clean.word(f(c)), F.lit(default))
     return findings.where("id is not null").dropDuplicates(["id"]).select(
         "id", "run_id", "finding_id", text("title").alias("title"), kind("category").alias("category"),
@@ -94,6 +96,7 @@ def stage(findings: DataFrame) -> DataFrame:
         F.coalesce(clean.posix_path(f("file_path")), F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"),
         text("function_name").alias("function"), clean.tool_list(f("tools")).alias("tools"), kind("reachability").alias("reachability"),
         kind("controllability").alias("controllability"), kind("status", "new").alias("status"), text("notes").alias("notes"),
+        listed("dataflow").alias("has_flow"), listed("call_chain").alias("has_chain"),
     )
 
 
@@ -165,13 +168,16 @@ def control_level(source: Column) -> Column:
 
 
 def evidence_of(findings: DataFrame) -> DataFrame:
-    """(id, evidence_type, evidence_source, detail): one row for each tool of a finding, rules apart."""
-    each = findings.select("id", F.explode("tools").alias("tool"))
-    rule = F.startswith("tool", F.lit("rule:"))
-    return each.select(
-        "id", F.when(rule, "custom_rule").otherwise("static_analyzer").alias("evidence_type"), F.col("tool").alias("evidence_source"),
-        F.concat(F.when(rule, "Matched by custom rule: ").otherwise("Detected by "), "tool").alias("detail"),
-    )
+    """(id, evidence_type, evidence_source, detail): one row for each tool of a finding, rules apart, one for a data flow, one for a call chain."""
+    row = lambda kind, source, detail: F.struct(kind.alias("evidence_type"), source.alias("evidence_source"), detail.alias("detail"))
+
+    def tool(t):
+        rule = F.startswith(t, F.lit("rule:"))
+        return row(F.when(rule, "custom_rule").otherwise("static_analyzer"), t, F.concat(F.when(rule, "Matched by custom rule: ").otherwise("Detected by "), t))
+
+    marker = lambda flag, kind, detail: F.when(F.col(flag), row(F.lit(kind), F.lit(""), F.lit(detail)))
+    markers = F.array_compact(F.array(marker("has_flow", "dataflow", "Dataflow path identified"), marker("has_chain", "call_graph", "Call chain identified")))
+    return findings.select("id", F.explode(F.concat(F.transform("tools", tool), markers)).alias("e")).select("id", "e.*")
 
 
 def score(findings: DataFrame, evidence: DataFrame) -> DataFrame:
