@@ -195,3 +195,16 @@ def test_flow_steps_carry_their_own_hints(spark):
     assert flows[9, "array_index"] == ["'q' enters parse_it (network)", "tainted value used as index into 'tab'"]
     done = {(r.line, r.cwe): r for r in pipeline.analyse(files).collect()}
     assert done[4, "CWE-78"].dataflow == flows[4, "system"] and done[10, "CWE-78"].dataflow == ["'q' enters parse_it (network)", "system reached with tainted data"]
+
+
+def test_places_of_all_rules_get_function_snippet_and_signature(spark, tmp_path):
+    from tracequarry.plans import code_queries as Q
+
+    text = "static int go(int n) {\n  read(fd, b, n);\n  strcpy(a, b);\n  strcpy(a, gets(b)); system(cmd);\n}\n\nsystem(cmd);\nq = 1;"
+    lines, places = text.split("\n"), (2, 3, 4, 7)
+    spark.createDataFrame([(7, text), (8, None), (9, "nothing")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = lambda query, column: sorted((r.file, r.line, r[column]) for r in query(spark, str(tmp_path)).collect())
+    numbered = lambda at: "\n".join(f"{'>>>' if k == at else '   '} {k:4d} | {t}" for k, t in enumerate(lines, 1))
+    assert got(Q.q_function_at, "function") == [("doc-7.c", k, "go" if k < 6 else "") for k in places]
+    assert got(Q.q_snippet, "snippet") == [("doc-7.c", k, numbered(k)) for k in places]
+    assert got(Q.q_signature, "signature") == [("doc-7.c", k, lines[0]) for k in places]

@@ -15,6 +15,7 @@ from tracequarry.plans.rule_queries import BODIES, CODE, WITH, _q, m, x
 from tracequarry.session import table
 from tracequarry.sources import code
 
+#: The rule whose hits the SQL takes as places; the queries take those of all rules.
 PLACES = "unchecked-return"
 
 
@@ -23,7 +24,8 @@ def _files(spark, sf_dir):
 
 
 def _places(spark, sf_dir):
-    return rules.rule_findings(_files(spark, sf_dir), [PLACES]).select("file", "line")
+    """Where any rule has a hit, each line once."""
+    return rules.rule_findings(_files(spark, sf_dir)).select("file", "line").distinct()
 
 
 def q_lines(spark, sf_dir):
