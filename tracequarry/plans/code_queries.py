@@ -15,8 +15,8 @@ from tracequarry.plans.rule_queries import BODIES, CODE, WITH, _q, m, x
 from tracequarry.session import table
 from tracequarry.sources import code
 
-#: The rule whose hits the SQL takes as places; the queries take those of all rules.
-PLACES = "unchecked-return"
+#: SQL for the places: every line on which any rule has a hit.
+PLACES = "select distinct file, line from (" + " union all ".join(f"select file, line from ({body})" for body in (BODIES[name] for name, _, _ in P.RULES)) + ")"
 
 
 def _files(spark, sf_dir):
@@ -267,14 +267,14 @@ QUERIES = {
     "q_functions": (q_functions, f"{WITH} select file, name, head, start, finish from functions"),
     "q_function_at": (
         q_function_at,
-        f"""{WITH}, places as ({BODIES[PLACES]}), hits as (
+        f"""{WITH}, places as ({PLACES}), hits as (
           select p.file, p.line, arg_max(f.finish, f.start) as finish, arg_max(f.name, f.start) as name from places p
           left join functions f on f.file = p.file and f.start <= p.line group by 1, 2)
           select file, line, case when finish >= line then name else '' end as function from hits""",
     ),
     "q_snippet": (
         q_snippet,
-        f"""{WITH}, places as ({BODIES[PLACES]}) select p.file, p.line, string_agg(printf('%s %4d | %s', case when n.line = p.line then '>>>' else '   ' end, n.line, n.t), chr(10) order by n.line) as snippet
+        f"""{WITH}, places as ({PLACES}) select p.file, p.line, string_agg(printf('%s %4d | %s', case when n.line = p.line then '>>>' else '   ' end, n.line, n.t), chr(10) order by n.line) as snippet
           from places p join every_line n on n.file = p.file and n.line between p.line - 15 and p.line + 15 group by 1, 2""",
     ),
     "q_call_edges": (
@@ -328,7 +328,7 @@ QUERIES = {
     ),
     "q_signature": (
         q_signature,
-        rf"""{WITH}, places as ({BODIES[PLACES]}), near as (
+        rf"""{WITH}, places as ({PLACES}), near as (
           select p.file, p.line, n.line as pos, regexp_replace(n.t, '^\s+|\s+$', '', 'g') as s from places p join every_line n on n.file = p.file and n.line between p.line - 29 and p.line),
           sigs as (select file, line, arg_max(s, pos) as signature from near where contains(s, '(') and {m('s', S.SIGNATURE)} group by 1, 2)
           select p.file, p.line, coalesce(signature, '') as signature from places p left join sigs h on h.file = p.file and h.line = p.line""",

@@ -67,9 +67,17 @@ best as (
 )"""
 
 
-def _scored(source: str) -> str:
+#: The evidence of every copy under the id of the finding that it was merged into.
+BROUGHT = """
+brought as (
+  select m.id as finding_id, e.evidence_type, e.evidence_source
+  from evidence e join keyed k on k.id = e.finding_id join merged m on m.run_id = k.run_id and m.file = k.file and m.line = k.line and m.cwe = k.cwe
+)"""
+
+
+def _scored(source: str, evidence: str = "evidence") -> str:
     return f"""
-counts as (select finding_id as fid, count(*) as n_evidence from (select distinct finding_id, evidence_type, evidence_source from evidence where finding_id is not null) group by 1),
+counts as (select finding_id as fid, count(*) as n_evidence from (select distinct finding_id, evidence_type, evidence_source from {evidence} where finding_id is not null) group by 1),
 s0 as (select s.*, coalesce(n_evidence, 0) as n_evidence, len(tools) as nt, cast(status = 'likely_false_positive' as int) as nd from {source} s left join counts on fid = id),
 s1 as (select *, case when nt >= 3 then least(confidence + 0.15, 1) when nt >= 2 then least(confidence + 0.10, 1) else confidence end as c1 from s0),
 s2 as (select *, case when nd > 0 then greatest(c1 - least(0.1 * nd, 0.3), 0) else c1 end as c2 from s1),
@@ -211,7 +219,8 @@ def _with(*parts: str) -> str:
 
 
 _SRC = "case " + " ".join(f"when regexp_matches(t, '{p}') then '{n}'" for n, p in C.INPUT_SOURCES.items()) + " else 'unknown' end"
-_FULL = _with(STAGED, DEDUPED, MERGED, _scored("merged"), RANKED)
+_FULL = _with(STAGED, DEDUPED, MERGED, BROUGHT, _scored("merged", "brought"), RANKED)
+_LISTED = lambda c: f"coalesce(json_array_length(case when json_valid({c}) then cast({c} as json) end), 0) > 0"
 QUERIES = {
     "q_stage": (q_stage, _with(STAGED) + f"select {_list(*STAGE_COLS)} from staged"),
     "q_fingerprint": (q_fingerprint, _with(STAGED, DEDUPED.replace(" where run_id is not null", "")) + "select id, fp from keyed"),
@@ -223,7 +232,10 @@ QUERIES = {
     "q_collect_evidence": (
         q_collect_evidence,
         _with(STAGED) + """select id, case when starts_with(tool, 'rule:') then 'custom_rule' else 'static_analyzer' end as evidence_type, tool as evidence_source,
-          case when starts_with(tool, 'rule:') then 'Matched by custom rule: ' else 'Detected by ' end || tool as detail from (select id, unnest(tools) as tool from staged)""",
+          case when starts_with(tool, 'rule:') then 'Matched by custom rule: ' else 'Detected by ' end || tool as detail from (select id, unnest(tools) as tool from staged)"""
+        + f"""
+          union all select distinct id, 'dataflow', '', 'Dataflow path identified' from findings where id is not null and {_LISTED('dataflow')}
+          union all select distinct id, 'call_graph', '', 'Call chain identified' from findings where id is not null and {_LISTED('call_chain')}""",
     ),
     "q_classify": (
         q_classify,
