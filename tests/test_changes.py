@@ -118,3 +118,60 @@ def test_empty_exports_and_very_long_values(spark):
     df = exports(spark, [(1, "f", 1, [{"dataflow": "x" * 300_000}]), (2, "f", 2, [{"dataflow": ["y"] * 20_000}])])
     assert [(r.field_name, r.change) for r in drift.schema_changes(df).collect()] == [("dataflow", "retyped")]
     assert drift.unified_table(df).agg(F.max(F.length("dataflow"))).first()[0] == 300_000
+
+
+def nested(depth, inner):
+    for k in range(depth):
+        inner = {f"n{k}": inner}
+    return inner
+
+
+def test_fields_at_any_depth(spark):
+    """Depths on both sides of every round of opening."""
+    for depth in (3, 4, 5, 8, 13):
+        df = exports(spark, [(1, "f", 1, [nested(depth, {"dataflow": "x"})]), (2, "f", 2, [nested(depth, {"dataflow": ["x"]})])])
+        got = [(r.field_name, r.change, r.before, r.after) for r in drift.schema_changes(df).collect()]
+        assert got == [("dataflow", "retyped", "string", "list of strings")], depth
+        assert {r.dataflow for r in drift.unified_table(df).collect()} == {"x"}
+        assert len(drift.unified_table(df).collect()) == 2
+
+
+def test_every_type_is_a_value(spark):
+    values = [5, "y", {"kind": "net"}, [1, "a"], [None], {}, True, None, [], ["a", None]]
+    df = exports(spark, [(k, "f", k, [{"vendor": v}]) for k, v in enumerate(values)])
+    got = [(r.file_id, r.change, r.before, r.after) for r in drift.schema_changes(df).orderBy("file_id").collect()]
+    assert got == [
+        (1, "retyped", "number", "string"),
+        (2, "retyped", "string", "object"),
+        (3, "retyped", "object", "mixed list"),
+        (5, "retyped", "mixed list", "object"),
+        (6, "retyped", "object", "boolean"),
+        (7, "removed", "vendor", None),
+        (9, "added", None, "vendor"),
+    ]
+    rows = {r.file_id: r for r in drift.unified_table(df).collect()}
+    assert (rows[0].vendor_source, rows[0].vendor_source_number) == ("5", 5.0)
+    assert rows[2].vendor_source_json == '{"kind":"net"}' and rows[3].vendor_source == '[1,"a"]'
+    assert set(rows) == {0, 1, 2, 3, 4, 5, 6, 9}
+
+
+def test_an_object_around_a_field_is_part_of_its_name(spark):
+    df = exports(spark, [(1, "f", 1, [{"dataflow": {"steps": ["a"], "n": 1}}]), (2, "f", 2, [{"dataflow": {"n": 1, "said": '"steps": 1'}}])])
+    got = {(r.change, r.before, r.after) for r in drift.schema_changes(df).collect()}
+    assert got == {("renamed", "dataflow.steps", "dataflow"), ("retyped", "list of strings", "object")}
+
+
+def test_types_that_change_places(spark):
+    a, b = {"attack_surface": "x", "x": {"attack_surface": True}}, {"attack_surface": True, "x": {"attack_surface": "x"}}
+    df = exports(spark, [(1, "f", 1, [a]), (2, "f", 2, [b])])
+    got = [(r.change, r.before, r.after) for r in drift.schema_changes(df).collect()]
+    assert got == [("retyped", "attack_surface string,x.attack_surface boolean", "attack_surface boolean,x.attack_surface string")]
+    both = drift.unified_table(df).where("file_id = 1").first()
+    assert both.attack_surface == "x" and [(m.path, m.text, m.tag) for m in both.attack_surface_more] == [("x.attack_surface", "true", "boolean")]
+
+
+def test_new_alternatives_show_unknown_names(spark):
+    df = exports(spark, [(1, "f", 1, [{"surface": "net", "n": 1}]), (2, "f", 2, [{"entry_area": "net", "n": "1"}, {"deep": {"flow": []}}]), (3, "g", 1, [{"z": 1}])])
+    got = {(r.file_id, r.path, r.tag, r.field_name) for r in drift.new_alternatives(df.unionAll(df)).collect()}
+    assert got == {(2, "entry_area", "string", None), (2, "n", "string", None), (2, "deep", "object", None)}
+    assert drift.new_alternatives(spark.createDataFrame([], EXPORTS)).count() == 0
