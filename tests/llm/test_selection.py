@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.compare import compare, connect
@@ -53,6 +54,52 @@ def test_ids_far_apart_and_next_to_each_other(spark):
         assert {r.id for r in got} == set(sorted(ids)[:n])
 
 
+def passes(monkeypatch):
+    """Counts the writes of `topn`: two before and after the passes each, one a pass."""
+    calls = []
+    real = topn.cut
+    monkeypatch.setattr(topn, "cut", lambda df: calls.append(1) or real(df))
+    return lambda: len(calls) - 3
+
+
+def test_codes_keep_the_order_of_numbers(spark):
+    numbers = [-math.inf, -1e308, -2.5, -1.0, -1e-300, -5e-324, 0.0, 5e-324, 2.2e-308, 1e-300, 0.1, 1.0, 1.0000000000000002, 2.5, 1e308, math.inf]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double")
+    rows = df.select("x", topn.ordered_bits(df.x).alias("c")).select("x", "c", topn.number_of(F.col("c")).alias("back")).orderBy("c").collect()
+    assert [r.x for r in rows] == [r.back for r in rows] == numbers and len({r.c for r in rows}) == len(numbers)
+    zero = spark.createDataFrame([(-0.0,), (0.0,)], "x double")
+    assert zero.select(topn.ordered_bits(F.col("x"))).distinct().count() == 1
+
+
+@pytest.mark.parametrize("scores", [[10.0 ** (-3 * k) for k in range(100)], [float(2**k) for k in range(0, 1000, 10)], [math.inf, -math.inf, 1e308, -1e308, 0.0] + [math.inf] * 40])
+def test_passes_are_bounded_whatever_the_scores(spark, monkeypatch, scores):
+    rows = [(run, k * (2**56 if run else 1), x, "", "", "", 0) for run in (0, 1) for k, x in enumerate(scores)]
+    count = passes(monkeypatch)
+    got = topn.top_n_per_group(spark.createDataFrame(rows, ROWS), "run_id", "priority_score", "id", 3).collect()
+    assert {tuple(r) for r in got} == best(rows, 3)
+    assert count() <= 22
+
+
+def test_groups_beyond_the_broadcast_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(topn, "BROADCAST_GROUPS", 5)
+    monkeypatch.setattr(topn, "HOT_ROWS", 40)
+    random.seed(8)
+    rows = [(0 if random.random() < 0.4 else random.randrange(60), k, float(random.randrange(12)), "", "", "", 0) for k in range(1500)]
+    got = topn.top_n_per_group(spark.createDataFrame(rows, ROWS), "run_id", "priority_score", "id", 4).collect()
+    assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == best(rows, 4)
+
+
+def test_many_groups_and_one_of_a_million_rows(spark):
+    """More groups than are broadcast, and a group of a million rows among them."""
+    small = spark.range(600_000).selectExpr("id div 3 as g", "id as i", "cast(id % 7 as double) as x")
+    large = spark.range(1_000_000).selectExpr("-1L as g", "id + 1000000 as i", "cast(id % 1000 as double) as x")
+    got = topn.top_n_per_group(small.unionAll(large), "g", "x", "i", 2).cache()
+    assert got.count() == 400_002
+    assert sorted(r.i for r in got.where("g = -1").collect()) == [1_000_999, 1_001_999]
+    window = small.selectExpr("g", "i", "row_number() over (partition by g order by x desc, i) as k").where("k <= 2").select("g", "i")
+    assert got.where("g >= 0").select("g", "i").exceptAll(window).count() == 0
+
+
 F_SCHEMA = "id long, run_id long, fingerprint string, confidence double, tools string, created_at timestamp_ntz, source_snippet string, model string, pattern int, p double"
 FP = "00112233445566aa"
 
