@@ -25,12 +25,11 @@ TAGS = ["string", "boolean", "list of strings", "list of objects", "number", "ob
 LEVELS = 3
 
 
-def type_tag(value: Column) -> Column:
-    """The branch of the union that a VARIANT belongs to; null for null and empty lists.
+def type_tag(kind: Column, value: Column) -> Column:
+    """The branch of the union that a VARIANT of this schema belongs to; null for null and empty lists.
 
     A list is one of strings or of objects if all its items but nulls are, else a mixed one.
     """
-    kind = F.schema_of_variant(value)
     return (
         F.when(kind == "STRING", F.lit("string"))
         .when(kind == "BOOLEAN", F.lit("boolean"))
@@ -44,18 +43,26 @@ def type_tag(value: Column) -> Column:
 
 
 def object_depth(lines: DataFrame, payload: str = "payload", least: int = LEVELS) -> int:
-    """How deep objects are nested in the lines at most, `least` if no deeper; one scan without parsing.
+    """How deep objects lie in objects in the lines at most, `least` if no deeper; one scan without parsing.
 
-    Braces outside strings are counted; objects in lists count too, so it may be more than needed.
+    Braces and brackets outside strings are followed where many nest; objects in lists do not
+    count, nor do lines that leave some open, since they can't be read.
     """
-    braces = F.regexp_replace(payload, r'"(?:[^"\\]|\\.)*+"|[^{}]', "")
-    left = braces
+    count = F.length(payload) - F.length(F.replace(payload, F.lit("{"), F.lit("")))
+    marks = F.regexp_replace(payload, r'"(?:[^"\\]|\\.)*+"|[^{}\[\]]', "")
+    left = F.translate(marks, "[]", "")
     for _ in range(least):
         left = F.replace(left, F.lit("{}"), F.lit(""))
-    step = lambda s, c: F.struct((s["now"] + F.when(c == "{", 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c == "{", 1).otherwise(-1)).alias("most"))
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    deep = F.when(left != "", F.aggregate(F.regexp_extract_all(braces, F.lit("([{}])"), F.lit(1)), zero, step, lambda s: s["most"])).otherwise(least)
-    return max(least, lines.agg(F.max(deep)).first()[0] or 0)
+
+    def step(s, c):
+        lists = s["lists"] + F.when(c == "[", 1).when(c == "]", -1).otherwise(0)
+        now = s["now"] + F.when(lists > 0, 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), lists.alias("lists"), F.greatest(s["most"], now).alias("most"))
+
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("lists"), F.lit(0).alias("most"))
+    followed = F.aggregate(F.split("marks", ""), zero, step, lambda s: F.when((s["now"] == 0) & (s["lists"] == 0), s["most"]))
+    nested = lines.where(count > least).select(marks.alias("marks"), left.alias("left")).where("left <> ''")
+    return max(least, nested.agg(F.max(followed)).first()[0] or 0)
 
 
 def json_leaves(lines: DataFrame, payload: str = "payload", wanted: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -81,8 +88,8 @@ def json_leaves(lines: DataFrame, payload: str = "payload", wanted: Callable[[Co
             arrays.append(F.flatten(F.transform(f"_l{depth}", inner)))
         levels = [F.col(f"_l{depth}") for depth in range(LEVELS)]
         found = F.concat(*[level if wanted is None else F.filter(level, lambda x: wanted(x["path"])) for level in levels])
-        each = opening.select(*keep, F.explode(found).alias("_x")).select(*keep, "_x.path", "_x.value").withColumn("tag", type_tag(F.col("value")))
-        each = each.where("tag is not null")
+        each = opening.select(*keep, F.explode(found).alias("_x")).select(*keep, "_x.path", "_x.value", F.schema_of_variant("_x.value").alias("_kind"))
+        each = each.withColumn("tag", type_tag(F.col("_kind"), F.col("value"))).drop("_kind").where("tag is not null")
         out = each if out is None else out.unionAll(each)
         if k + 1 < rounds:
             rest = F.filter(levels[-1], lambda x: F.startswith(F.schema_of_variant(x["value"]), F.lit("OBJECT")))
@@ -91,13 +98,19 @@ def json_leaves(lines: DataFrame, payload: str = "payload", wanted: Callable[[Co
     return out
 
 
+def _last_step(path: Column) -> Column:
+    return F.translate(F.lower(F.substring_index(path, ".", -1)), "_-", "")
+
+
 def canonical_field(path: Column, fields: dict[str, list[str]] = FIELDS) -> Column:
     """The field that a path names, by its last step; null for other paths."""
-    last = F.regexp_replace(F.lower(F.element_at(F.split(path, r"\."), -1)), "[_-]", "")
-    out = F.lit(None).cast("string")
-    for field, names in fields.items():
-        out = F.when(last.isin(names), F.lit(field)).otherwise(out)
-    return out
+    names = F.create_map(*[F.lit(x) for field, names in fields.items() for name in names for x in (name, field)])
+    return F.try_element_at(names, _last_step(path))
+
+
+def is_field(path: Column, fields: dict[str, list[str]] = FIELDS) -> Column:
+    """Whether a path names any of the fields."""
+    return _last_step(path).isin([name for names in fields.values() for name in names])
 
 
 def _around(field: Column, value: Column, fields: dict[str, list[str]]) -> Column:
@@ -116,7 +129,7 @@ def field_values(exports: DataFrame, fields: dict[str, list[str]] = FIELDS) -> D
     An object is a value only if it isn't around another one of the same field.
     """
     lines = exports.select("file_id", "line_no", "payload").where(F.col("file_id").isNotNull())
-    values = json_leaves(lines, wanted=lambda p: canonical_field(p, fields).isNotNull()).withColumn("field_name", canonical_field(F.col("path"), fields))
+    values = json_leaves(lines, wanted=lambda p: is_field(p, fields)).withColumn("field_name", canonical_field(F.col("path"), fields))
     return values.where((F.col("tag") != "object") | ~_around(F.col("field_name"), F.col("value"), fields))
 
 
