@@ -1,10 +1,10 @@
 """Cutting long texts into overlapping pieces at natural boundaries.
 
 Prefix sums of the tokens' lengths place every boundary of a text (paragraph, line, sentence,
-word) among its tokens, one sorted array a kind. A piece ends at the last boundary within the
-limit, of the strongest kind that leaves it long enough; the next one starts at a boundary
-that lies `overlap` tokens before that end at least. Where there is none, it is cut between
-tokens.
+word) among its tokens, one sorted array a kind. A piece ends at a boundary within the limit, of
+the strongest kind that leaves it long enough, and the next one starts exactly `overlap` tokens
+before that end. Of a kind's boundaries the last is taken for which that start is a boundary,
+too. Where there is none, it is cut between tokens.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ _ENDS = [
     re.compile(rb"\r\n|\n|\r"),
     re.compile(rb"[.!?;:][)\]\"']*(?=\s)|(?:" + _WIDE.encode() + rb")"),
 ]
+#: Characters of pieces after which they are handed on.
+_HELD = 4_000_000
 _OUT = "k long, piece int, start_token int, n_tokens int, shared int, boundary string, text string"
 
 
@@ -56,11 +58,19 @@ class Marked:
         k = np.searchsorted(self.bytes_at, where)
         return k[self.bytes_at[np.minimum(k, self.size)] == where]
 
-    def last(self, kind: int, least: int, most: int) -> int:
-        """The last boundary of the kind from `least` to `most`, or -1."""
+    @cached_property
+    def is_boundary(self) -> np.ndarray:
+        out = np.zeros(self.size + 1, bool)
+        for at in self.at:
+            out[at] = True
+        return out
+
+    def last(self, kind: int, least: int, most: int, overlap: int) -> int:
+        """The last boundary of the kind from `least` to `most` with another one `overlap` tokens before it, or -1."""
         at = self.at[kind]
-        i = int(np.searchsorted(at, most, "right")) - 1
-        return int(at[i]) if i >= 0 and at[i] >= least else -1
+        near = at[np.searchsorted(at, least, "left") : np.searchsorted(at, most, "right")]
+        good = np.flatnonzero(self.is_boundary[near - overlap])
+        return int(near[good[-1]]) if len(good) else -1
 
     def between(self, most: int) -> int:
         """The last token offset up to `most` that doesn't split a character."""
@@ -89,8 +99,9 @@ def cut_points(marked: Marked, limit: int, overlap: int, least_fill: float = 0.5
             return [*out, (start, marked.size, KINDS.index("paragraph"))]
         most, end, kind = start + limit, -1, 0
         while end < 0:
+            least = start + max(overlap + 1, int(limit * least_fill))
             for kind in range(len(marked.at)):
-                end = marked.last(kind, start + max(overlap + 1, int(limit * least_fill)), most)
+                end = marked.last(kind, least, most, overlap)
                 if end >= 0:
                     break
             else:
@@ -100,11 +111,14 @@ def cut_points(marked: Marked, limit: int, overlap: int, least_fill: float = 0.5
             if end - start + marked.grown(start, end) > limit:
                 most, end = end - 1, -1
         out.append((start, end, kind))
-        back = end - overlap
-        start = next(
-            (s for kind in range(len(marked.at)) if (s := marked.last(kind, max(start + 1, back - overlap), back)) >= 0),
-            marked.between(back),
-        ) if overlap else end
+        start = marked.between(end - overlap)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    types = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string()]
+    names = ["k", "piece", "start_token", "n_tokens", "shared", "boundary", "text"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def split_documents(
@@ -113,9 +127,8 @@ def split_documents(
     """(ident, piece, start_token, n_tokens, shared, boundary, text): texts of more tokens than `limit`, in pieces.
 
     Pieces are numbered from 0 and hold `limit` tokens at most; together they are the whole
-    text. shared: the tokens that a piece has in common with the one before, from `overlap` to
-    twice as many (fewer by less than a character's tokens if it had to be cut between
-    tokens). boundary: what the piece ends with: paragraph, line, sentence, word or cut (the
+    text. shared: the tokens that a piece has in common with the one before, exactly `overlap`
+    (more by less than a character's tokens where a character would be split). boundary: what the piece ends with: paragraph, line, sentence, word or cut (the
     text's own end is a paragraph). Texts within the limit, null and empty ones give no row
     or, with keep_short, one piece if they aren't empty. Each row is split by itself,
     so a text of any length needs memory in proportion to itself alone; texts are moved only
@@ -127,12 +140,10 @@ def split_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.encoder(path)
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 # A token has one byte at least, so shorter texts need no counting.
-                if not body or (not keep_short and len(body) * 4 <= limit):
-                    continue
-                if not keep_short and len(body.encode()) <= limit:
+                if not body or (not keep_short and (len(body) * 4 <= limit or len(body.encode()) <= limit)):
                     continue
                 marked = Marked(body, encoder)
                 if marked.size <= limit and not keep_short:
@@ -140,11 +151,11 @@ def split_documents(
                 before = 0
                 for i, (start, end, kind) in enumerate(cut_points(marked, limit, overlap)):
                     rows.append((key, i, start, end - start, before - start if i else 0, KINDS[kind], marked.text(start, end)))
-                    before = end
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            types = [pa.int64(), *[pa.int32()] * 4, pa.string(), pa.string()]
-            names = ["k", "piece", "start_token", "n_tokens", "shared", "boundary", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                    before, held = end, held + len(rows[-1][-1])
+                    if held > _HELD:
+                        yield _batch(rows)
+                        rows, held = [], 0
+            yield _batch(rows)
 
     slim = spread(docs.select(docs[ident].cast("long").alias("k"), docs[text].alias("t")))
     return slim.mapInArrow(run, _OUT).withColumnRenamed("k", ident)
