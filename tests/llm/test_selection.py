@@ -100,12 +100,20 @@ def test_many_groups_and_one_of_a_million_rows(spark):
     assert got.where("g >= 0").select("g", "i").exceptAll(window).count() == 0
 
 
-F_SCHEMA = "id long, run_id long, fingerprint string, confidence double, tools string, created_at timestamp_ntz, source_snippet string, model string, pattern int, p double"
+F_SCHEMA = (
+    "id long, run_id long, fingerprint string, confidence double, tools string, created_at timestamp_ntz, source_snippet string, model string, pattern int, p double, "
+    "cwe string, attack_surface string, dataflow string, call_chain string, source string, field string"
+)
+RUNS = "id long, profile string, field string, value string"
 FP = "00112233445566aa"
 
 
-def finding(i, run=1, fp=FP, conf=0.5, tools="a", day=1, snippet=None):
-    return (i, run, fp, conf, tools, None if day is None else datetime.datetime(2024, 1, day), snippet, "m", 1, 0.5)
+def finding(i, run=1, fp=FP, conf=0.5, tools="a", day=1, snippet=None, cwe="CWE-120", surface=None, flow=None, chain=None):
+    return (i, run, fp, conf, tools, None if day is None else datetime.datetime(2024, 1, day), snippet, "m", 1, 0.5, cwe, surface, flow, chain, "s", "f")
+
+
+def of_runs(spark, *rows):
+    return spark.createDataFrame([(*r, "f", "v") for r in rows], RUNS)
 
 
 def test_best_representatives(spark):
@@ -123,17 +131,22 @@ def test_best_representatives(spark):
         finding(11, run=4, day=3, snippet="1 | a"),
         finding(12, run=4, day=3, snippet="9 | b"),
     ]
-    got = {(r.run_id, r.fingerprint): r for r in survivors.best_representatives(spark.createDataFrame(rows + rows, F_SCHEMA)).collect()}
+    runs = of_runs(spark, (1, "deep"), (1, "deep"), (2, None), (9, "quick"), (None, "quick"))
+    got = {(r.run_id, r.fingerprint): r for r in survivors.best_representatives(spark.createDataFrame(rows + rows, F_SCHEMA), runs).collect()}
     assert {k: (r.keep_id, r.snippet_id) for k, r in got.items()} == {(1, FP): (4, 4), (2, FP): (5, 0), (4, FP): (11, 11)}
     top = got[1, FP]
     assert (top.confidence, top.source_snippet) == (0.8, "1 | x\n2 | y")
     assert set(top.tools) <= {"a", "b", "c"} and top.tools
     assert (got[2, FP].confidence, got[2, FP].tools, got[2, FP].source_snippet) == (None, [], None)
+    plain = survivors.best_representatives(spark.createDataFrame(rows + rows, F_SCHEMA)).collect()
+    assert {tuple(r) for r in plain} == {tuple(r)[: len(plain[0])] for r in got.values()}
 
 
 def test_survivors_of_an_empty_table(spark):
     assert survivors.best_representatives(spark.createDataFrame([], F_SCHEMA)).count() == 0
-    assert survivors.source_quality(spark.createDataFrame([], F_SCHEMA)).count() == 0
+    empty = spark.createDataFrame([], F_SCHEMA)
+    assert survivors.source_quality(empty, of_runs(spark)).count() == 0
+    assert survivors.best_representatives(empty, of_runs(spark)).count() == 0
 
 
 def reference_em(facts, prior, rounds):
@@ -192,6 +205,39 @@ def test_judged_values_recover_planted_truth(spark):
     assert right / len(facts) > 0.93
 
 
+def test_survivors_keep_planted_truth(spark):
+    """Rows with a flow name the true values, those without also false ones: what stays is nearly all true, and nearly all of it."""
+    random.seed(5)
+    rows, truth = [], {}
+    tools, weaknesses = [f"tool{k}" for k in range(8)], [f"CWE-{k}" for k in range(100, 108)]
+    for g in range(250):
+        fp = f"{g + 1:016x}"
+        true = set(random.sample(tools, 3))
+        truth[fp] = (true, random.choice(weaknesses))
+        for k in range(4):
+            good = k < 3
+            said = {t for t in true if random.random() < (0.9 if good else 0.3)} | {t for t in tools if t not in true and random.random() < (0.02 if good else 0.5)}
+            cwe = truth[fp][1] if random.random() < (0.95 if good else 0.2) else random.choice(weaknesses)
+            marks = {"flow": '[{"a": 1}]' if k != 1 else None, "chain": '[{"a": 1}]' if k in (1, 2) else None} if good else {}
+            rows.append(finding(len(rows), 1, fp, tools=",".join(sorted(said)), cwe=cwe, **marks))
+    got = survivors.best_representatives(spark.createDataFrame(rows, F_SCHEMA), of_runs(spark, (1, "deep"))).collect()
+    assert len(got) == 250
+    kept = [(t in truth[r.fingerprint][0]) for r in got for t in r.tools]
+    found = sum(t in r.tools for r in got for t in truth[r.fingerprint][0])
+    assert sum(kept) / len(kept) > 0.93 and found / 750 > 0.97
+    right = [c == truth[r.fingerprint][1] for r in got for c in r.weaknesses]
+    assert sum(right) / len(right) > 0.9 and sum(right) / 250 > 0.9
+    quality = {m.source: m for m in survivors.source_quality(spark.createDataFrame(rows, F_SCHEMA), of_runs(spark, (1, "deep"))).collect()}
+    assert quality["tools/deep+flow"].specificity > 0.9 > 0.7 > quality["tools/deep"].specificity
+
+
+def test_values_judged_by_a_source_that_does_not_know_the_field(spark):
+    """A row without snippet lines withholds none; lines of all rows build one text."""
+    rows = [finding(1, snippet="  1 | a\n>>>  2 | b"), finding(2, snippet="2 | b\n3 | c", flow='[{"a": 1}]'), finding(3, tools=None, surface=" CLI ")]
+    got = survivors.best_representatives(spark.createDataFrame(rows, F_SCHEMA), of_runs(spark), threshold=0.0).collect()
+    assert [r.lines for r in got] == [["1 | a", "2 | b", "3 | c"]] and got[0].surfaces == ["cli"] and got[0].weaknesses == ["CWE-120"]
+
+
 R_SCHEMA = "result_id long, tool string, check_id string, reported_path string, line_no int, col_no int, weakness string, msg string, level string, path string, family string"
 P_SCHEMA = "id long, project_name string, root_path string, block int"
 RUN_SCHEMA = "id long, project_id long, defect int"

@@ -1,5 +1,7 @@
 """The queries of the training-data operators, with their SQL where SQL can state them."""
 
+from pyspark.sql import functions as F
+
 from tracequarry.llm import bpe, matching, packing, splitting, survivors, topn
 from tracequarry.plans.changes import FINGERPRINT_SQL
 from tracequarry.plans.finding_queries import posix_sql
@@ -20,13 +22,12 @@ where k <= 10
 
 
 def p2_found(spark, sf_dir):
-    best = survivors.best_representatives(table(spark, sf_dir, "findings"))
-    return best.select("run_id", "fingerprint", "keep_id", "snippet_id")
+    return survivors.best_representatives(table(spark, sf_dir, "findings"), values=False)
 
 
-P2_SQL = rf"""
+_P2_RANKED = rf"""
 with f as (
-  select distinct run_id, id, {FINGERPRINT_SQL} as fingerprint, created_at,
+  select distinct run_id, id, {FINGERPRINT_SQL} as fingerprint, created_at, source_snippet,
     case when confidence between 0 and 1 then confidence when confidence > 1 and confidence <= 100 then confidence / 100 end as c,
     len(list_distinct(regexp_extract_all(lower(coalesce(tools, '')), '[a-z][a-z0-9:_-]*'))) as n,
     len(list_filter(string_split(coalesce(source_snippet, ''), chr(10)), lambda x: regexp_matches(x, '^[ \t]*(>>>)?[ \t]*[0-9]+ \|'))) as s
@@ -37,18 +38,25 @@ with f as (
     row_number() over (partition by run_id, fingerprint order by s desc, c desc nulls last, n desc, created_at desc nulls last, id) as ks
   from f where fingerprint is not null window g as (partition by run_id, fingerprint)
 )
-select run_id, fingerprint, max(case when k = 1 then id end) as keep_id, max(case when ks = 1 then case when s > 0 then id else 0 end end) as snippet_id
-from r where size > 1 group by run_id, fingerprint
 """
+_P2_IDS = "run_id, fingerprint, max(case when k = 1 then id end) as keep_id, max(case when ks = 1 then case when s > 0 then id else 0 end end) as snippet_id"
+P2_SQL = f"{_P2_RANKED} select {_P2_IDS} from r where size > 1 group by run_id, fingerprint"
+P2_SURVIVORS_SQL = f"""{_P2_RANKED} select {_P2_IDS}, max(case when k = 1 then c end) as confidence, max(case when ks = 1 and s > 0 then source_snippet end) as source_snippet
+from r where size > 1 group by run_id, fingerprint"""
 
 
 def p2_survivors(spark, sf_dir):
-    best = survivors.best_representatives(table(spark, sf_dir, "findings"))
-    return best.selectExpr("* except (tools)", "array_join(tools, ',') as tools")
+    return survivors.best_representatives(table(spark, sf_dir, "findings"))
+
+
+def p2_judged(spark, sf_dir):
+    findings, runs = table(spark, sf_dir, "findings"), table(spark, sf_dir, "runs")
+    best = survivors.best_representatives(findings, runs, values=False)
+    return best.select("run_id", "fingerprint", *[F.array_join(k, "\n" if k == "lines" else ",").alias(k) for k in survivors.FIELDS])
 
 
 def p2_sources(spark, sf_dir):
-    return survivors.source_quality(table(spark, sf_dir, "findings"))
+    return survivors.source_quality(table(spark, sf_dir, "findings"), table(spark, sf_dir, "runs"))
 
 
 def _tables(spark, sf_dir, *names):
@@ -122,7 +130,8 @@ def p8_pieces(spark, sf_dir):
 QUERIES = {
     "p1_found": (p1_found, P1_SQL),
     "p2_found": (p2_found, P2_SQL),
-    "p2_survivors": (p2_survivors, None),
+    "p2_survivors": (p2_survivors, P2_SURVIVORS_SQL),
+    "p2_judged": (p2_judged, None),
     "p2_sources": (p2_sources, None),
     "p5_found": (p5_found, P5_SQL),
     "p5_matches": (p5_matches, None),
