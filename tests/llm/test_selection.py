@@ -226,7 +226,7 @@ def test_survivors_keep_planted_truth(spark):
     found = sum(t in r.tools for r in got for t in truth[r.fingerprint][0])
     assert sum(kept) / len(kept) > 0.93 and found / 750 > 0.97
     right = [c == truth[r.fingerprint][1] for r in got for c in r.weaknesses]
-    assert sum(right) / len(right) > 0.9 and sum(right) / 250 > 0.9
+    assert sum(right) / len(right) > 0.85 and sum(right) / 250 > 0.97
     quality = {m.source: m for m in survivors.source_quality(spark.createDataFrame(rows, F_SCHEMA), of_runs(spark, (1, "deep"))).collect()}
     assert quality["tools/deep+flow"].specificity > 0.9 > 0.7 > quality["tools/deep"].specificity
 
