@@ -1,11 +1,13 @@
 """Scanner results tied to the findings that describe the same defect, without a shared key.
 
-Each attribute becomes a bit vector of fixed length from its q-grams. Pairs whose file names
-differ in at most `RADIUS` bits are found exactly by multi-index hashing: the vector is cut
-into RADIUS + 1 chunks, at least one of which such a pair has in common, and the chunk, the
-weakness family and the block of lines together are the key of an equi-join. Candidates are
-scored by field-weighted Dice similarity; the score is turned into a confidence by the rate at
-which the same search finds candidates for results moved to other lines.
+Each attribute becomes a bit vector of fixed length from its q-grams. Pairs of different file
+names within `RADIUS` bits of each other are found exactly by multi-index hashing: the vector is
+cut into RADIUS + 2 chunks, at least two of which such a pair has in common. Results then meet
+findings in equi-joins by name, weakness family and block of lines: those of the projects that
+a step of the path names, and one of each kind of all others, so that neither common names nor
+many projects make the pairs grow faster than the input. Candidates are scored by
+field-weighted Dice similarity; the score is turned into a confidence by the rate at which the
+same search finds candidates for results moved to other lines.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ REACH = 3
 #: Lines a block of the join key spans; a result looks into the one or two blocks in its reach.
 BLOCK = 16
 #: What each field's agreement counts.
-WEIGHTS = {"name": 4.0, "place": 2.0, "lines": 2.0, "weakness": 1.5, "tool": 0.5}
+WEIGHTS = {"name": 4.0, "place": 4.0, "project": 2.0, "lines": 2.0, "weakness": 1.5, "tool": 0.5}
 #: Lines that decoys are moved by, far beyond REACH.
 DECOY_SHIFT = 41
 _BINS = 100
@@ -80,8 +82,9 @@ def families(catalog: DataFrame) -> DataFrame:
 def defects(findings: DataFrame, runs: DataFrame, projects: DataFrame, catalog: DataFrame) -> DataFrame:
     """One row per project and fingerprint: path in the project, line, cwe, family and vectors.
 
-    Of the rows of a fingerprint each attribute is the least usable one, the tools are those of
-    the longest list. Rows meet once, by project and fingerprint, after partial aggregation.
+    Path, line and weakness are those of the least row that has all three usable, else the least
+    usable ones; the tools are those of the longest list. Rows meet once, by project and
+    fingerprint, after partial aggregation.
     """
     f = F.col
     owner = runs.select(f("id").alias("run_id"), "project_id").where("run_id is not null and project_id is not null").distinct()
@@ -98,7 +101,12 @@ def defects(findings: DataFrame, runs: DataFrame, projects: DataFrame, catalog:
         rows.where("fingerprint is not null")
         .join(broadcast_if_small(owner), "run_id")
         .groupBy("project_id", "fingerprint")
-        .agg(F.min("path").alias("path"), F.min("line").alias("line"), F.min("cwe").alias("cwe"), F.max(F.struct(F.length("tools").alias("n"), "tools"))["tools"].alias("tools"))
+        .agg(
+            F.min(F.when(f("path").isNotNull() & f("line").isNotNull() & f("cwe").isNotNull(), F.struct("path", "line", "cwe"))).alias("row"),
+            *[F.min(c).alias(c) for c in ("path", "line", "cwe")],
+            F.max(F.struct(F.length("tools").alias("n"), "tools"))["tools"].alias("tools"),
+        )
+        .select("project_id", "fingerprint", "tools", *[F.coalesce(f("row")[c], f(c)).alias(c) for c in ("path", "line", "cwe")])
         .dropna(subset=["path", "line", "cwe"])
         .join(families(catalog), "cwe")
         .join(broadcast_if_small(known.dropDuplicates(["project_id"])), "project_id", "left")
@@ -148,62 +156,109 @@ def reports(results: DataFrame, catalog: DataFrame) -> DataFrame:
     return _vectors(whole.dropna(subset=["path", "family"]), f("tool")).drop("tool", "told")
 
 
-def _chunks() -> Column:
-    """The RADIUS + 1 chunks of 32 bits of the name's vector."""
-    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.array(low("b_name0"), F.shiftrightunsigned("b_name0", 32), low("b_name1"), F.shiftrightunsigned("b_name1", 32))
+def named_projects(reports_: DataFrame, projects: DataFrame) -> DataFrame:
+    """(result_id, project_id): projects whose name, or whose root's last step, is a step of a result's path."""
+    f = F.col
+    roots = projects.select(f("id").alias("project_id"), F.regexp_extract(F.lower(F.trim("root_path")), "[^/]*$", 0).alias("step"))
+    known = projects.select(f("id").alias("project_id"), project_word(f("project_name")).alias("step")).unionAll(roots)
+    known = broadcast_if_small(cut(known.where("project_id is not null and step <> ''").distinct()))
+    steps = F.array_distinct(F.transform(F.slice(F.reverse(F.split("path", "/")), F.lit(2), F.size(F.split("path", "/"))), project_word))
+    return reports_.select("result_id", F.explode(steps).alias("step")).join(known, "step").select("result_id", "project_id").distinct()
 
 
-def dice(field: str) -> Column:
-    """Dice similarity of a field's two vectors; 0.5 (no evidence) where either is empty."""
-    a, b = F.col(f"r_{field}"), F.col(f"d_{field}")
-    both = F.bit_count(a) + F.bit_count(b)
-    return F.when((a == 0) | (b == 0), F.lit(0.5)).otherwise(2.0 * F.bit_count(a.bitwiseAND(b)) / both)
+def _chunks(a: str, b: str) -> list[Column]:
+    """The RADIUS + 2 chunks of the name's vector: two of 26 bits in either word, and what is left of both."""
+    part = lambda c, at: F.shiftrightunsigned(c, at).bitwiseAND(F.lit(2**26 - 1))
+    rest = F.shiftrightunsigned(a, 52).bitwiseOR(F.shiftleft(F.shiftrightunsigned(b, 52), 12))
+    return [part(a, 0), part(a, 26), part(b, 0), part(b, 26), rest]
+
+
+def near_names(reports_: DataFrame, defects_: DataFrame) -> DataFrame:
+    """(b_name0, b_name1, d0, d1): pairs of different names of results and of findings, RADIUS bits apart at most.
+
+    Such a pair is found by every two chunks that it shares and kept by the first two alone.
+    Names are few beside rows, so however many rows have a short name with empty chunks, it
+    meets the other short names once.
+    """
+    both = [(i, j) for i in range(RADIUS + 2) for j in range(i + 1, RADIUS + 2)]
+
+    def keyed(df: DataFrame, a: str, b: str) -> DataFrame:
+        chunks = _chunks(a, b)
+        keys = F.explode(F.array(*[F.struct(F.lit(k).alias("nth"), chunks[i].alias("x"), chunks[j].alias("y")) for k, (i, j) in enumerate(both)])).alias("k")
+        return df.select(a, b, keys).select(a, b, "k.*")
 
+    names = lambda df: df.select("b_name0", "b_name1").distinct()
+    r, d = keyed(names(reports_), "b_name0", "b_name1"), keyed(names(defects_).toDF("d0", "d1"), "d0", "d1")
+    same = [x == y for x, y in zip(_chunks("b_name0", "b_name1"), _chunks("d0", "d1"), strict=True)]
+    first = F.coalesce(*[F.when(same[i] & same[j], k) for k, (i, j) in enumerate(both)])
+    apart = F.bit_count(F.col("b_name0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("b_name1").bitwiseXOR(F.col("d1")))
+    return r.join(d, ["nth", "x", "y"]).where((apart <= RADIUS) & (F.col("nth") == first)).select("b_name0", "b_name1", "d0", "d1")
 
-def near_pairs(reports_: DataFrame, defects_: DataFrame) -> DataFrame:
+
+def near_pairs(reports_: DataFrame, defects_: DataFrame, *more: str, names: DataFrame | None = None) -> DataFrame:
     """(result_id, decoy, defect, away): pairs of a family at most REACH lines apart whose names differ in RADIUS bits at most.
 
-    Such a pair is found by every chunk that it shares and kept by the first alone. Only keys,
-    lines and the name's vector are shuffled. Each result is also sought as a decoy, moved by
+    `more` names columns in which both are equal, too; `names` may hold the near names of both
+    tables. Only keys and lines are shuffled. Each result is also sought as a decoy, moved by
     DECOY_SHIFT lines.
     """
     line = F.col("line")
     block = lambda x: F.floor(x / BLOCK).cast("int")
-    chunks = F.posexplode(_chunks()).alias("nth", "chunk")
     seek = F.explode(F.array(F.struct(F.lit(False).alias("decoy"), line.alias("at")), F.struct(F.lit(True).alias("decoy"), (line + DECOY_SHIFT).alias("at")))).alias("x")
+    names = broadcast_if_small(cut(near_names(reports_, defects_)) if names is None else names)
     r = (
-        reports_.select("result_id", "family", "b_name0", "b_name1", seek)
-        .select("result_id", "family", "x.*", F.col("b_name0").alias("r0"), F.col("b_name1").alias("r1"), "b_name0", "b_name1")
+        reports_.select("result_id", "family", "b_name0", "b_name1", "line", *more)
+        .join(names, ["b_name0", "b_name1"])
+        .select("result_id", "family", "d0", "d1", seek, *more)
+        .select("result_id", "family", "d0", "d1", "x.*", *more)
         .withColumn("block", F.explode(F.sequence(block(F.col("at") - REACH), block(F.col("at") + REACH))))
-        .select("result_id", "decoy", "family", "at", "block", "r0", "r1", chunks)
     )
-    d = defects_.select("defect", "family", "line", block(line).alias("block"), F.col("b_name0").alias("d0"), F.col("b_name1").alias("d1"), chunks)
-    x0, x1 = F.col("r0").bitwiseXOR(F.col("d0")), F.col("r1").bitwiseXOR(F.col("d1"))
-    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
-    first = F.when(low(x0) == 0, 0).when(F.shiftrightunsigned(x0, 32) == 0, 1).when(low(x1) == 0, 2).otherwise(3)
+    d = defects_.select("defect", "family", "line", block(line).alias("block"), F.col("b_name0").alias("d0"), F.col("b_name1").alias("d1"), *more)
     away = F.abs(F.col("at") - F.col("line"))
-    pairs = r.join(d, ["family", "block", "nth", "chunk"])
-    return pairs.where((away <= REACH) & (F.bit_count(x0) + F.bit_count(x1) <= RADIUS) & (F.col("nth") == first)).select("result_id", "decoy", "defect", away.alias("away"))
+    return r.join(d, ["d0", "d1", "family", "block", *more]).where(away <= REACH).select("result_id", "decoy", "defect", away.alias("away"))
+
+
+def kinds(defects_: DataFrame) -> DataFrame:
+    """Of defects that differ in project and fingerprint alone, which no score tells apart, the one that wins a tie."""
+    kind = ["path", "line", "family", "cwe", "b_tool", "b_name0", "b_name1"]
+    return defects_.groupBy(*kind).agg(F.max_by("defect", F.struct(-F.col("project_id"), "fingerprint")).alias("defect"))
+
+
+def dice(field: str) -> Column:
+    """Dice similarity of a field's two vectors; 0.5 (no evidence) where either is empty."""
+    a, b = F.col(f"r_{field}"), F.col(f"d_{field}")
+    both = F.bit_count(a) + F.bit_count(b)
+    return F.when((a == 0) | (b == 0), F.lit(0.5)).otherwise(2.0 * F.bit_count(a.bitwiseAND(b)) / both)
+
 
+def scored_pairs(reports_: DataFrame, defects_: DataFrame, owners: DataFrame) -> DataFrame:
+    """The near pairs with both sides' attributes and their field-weighted Dice score.
 
-def scored_pairs(reports_: DataFrame, defects_: DataFrame) -> DataFrame:
-    """The near pairs with both sides' attributes and their field-weighted Dice score."""
+    A result meets all defects of the projects that its path names (`owners`), and one of each
+    kind of all projects.
+    """
+    names = cut(near_names(reports_, defects_))
+    owned = near_pairs(reports_.join(owners, "result_id"), defects_, "project_id", names=names).withColumn("owned", F.lit(True))
+    other = near_pairs(reports_, kinds(defects_), names=names).withColumn("owned", F.lit(False))
     named = lambda df, side, keep: df.select(*keep, *[F.col(c).alias(f"{side}_{c.removeprefix('b_')}") for c in ("path", "cwe", "b_name0", "b_name1", "b_place", "b_tool")])
-    pairs = near_pairs(reports_, defects_).join(named(reports_, "r", ["result_id"]), "result_id").join(named(defects_, "d", ["defect", "project_id", "fingerprint", "project", "root"]), "defect")
+    owning = owners.select("result_id").distinct().withColumn("owning", F.lit(True))
+    told = named(reports_.join(owning, "result_id", "left"), "r", ["result_id", "owning"])
+    pairs = owned.unionAll(other).join(told, "result_id").join(named(defects_, "d", ["defect", "project_id", "fingerprint", "project", "root"]), "defect")
     ones = lambda a, b: F.bit_count(a) + F.bit_count(b)
     c = F.col
     shared = ones(c("r_name0").bitwiseAND(c("d_name0")), c("r_name1").bitwiseAND(c("d_name1")))
     fields = {
         "name": 2.0 * shared / (ones(c("r_name0"), c("r_name1")) + ones(c("d_name0"), c("d_name1"))),
         "place": dice("place"),
+        # No evidence where the result names no project.
+        "project": F.when(c("owned"), 1.0).when(c("owning"), 0.0).otherwise(0.5),
         # Dice of the two sets of lines within REACH, and of the sets {family} or {family, cwe}.
         "lines": F.greatest(F.lit(0.0), 1.0 - c("away") / (2 * REACH + 1)),
         "weakness": F.when(c("r_cwe").isNull(), 2.0 / 3).when(c("r_cwe") == c("d_cwe"), 1.0).otherwise(0.5),
         "tool": dice("tool"),
     }
     score = sum((w * fields[k] for k, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values())
-    return pairs.select("result_id", "decoy", "project_id", "fingerprint", "project", "root", "r_path", "d_path", F.round(score, 6).alias("score"))
+    return pairs.select("result_id", "decoy", "project_id", "fingerprint", "project", "root", "r_path", "d_path", F.round(score, 6).alias("score")).withColumn("same", same_file())
 
 
 def same_file() -> Column:
@@ -232,21 +287,24 @@ def match_results(results: DataFrame, findings: DataFrame, runs: DataFrame, proj
     """(result_id, project_id, fingerprint, score, confidence): the best match of each scanner result.
 
     Of a result's candidates that of the highest score stays, equal ones by project and
-    fingerprint. confidence: one less the share of chance matches among the matches of about
-    that score, as the decoys tell it, made never to fall as the score rises. With `exact`, candidates must be of the
+    fingerprint. confidence: the share of matches of about that score which are of the same
+    file of the same project, less the share that chance brings, as the decoys tell it, made
+    never to fall as the score rises. With `exact`, candidates must be of the
     same file of the same project. Results without a usable path, line or family, and
     fingerprints without one, match nothing; repeated rows count once; empty tables give an
     empty table.
     """
-    near = scored_pairs(cut(reports(results, catalog)), cut(defects(findings, runs, projects, catalog)))
+    reports_, defects_ = cut(reports(results, catalog)), cut(defects(findings, runs, projects, catalog))
+    near = scored_pairs(reports_, defects_, cut(named_projects(reports_, projects)))
     if exact:
-        near = near.where(same_file())
+        near = near.where("same")
     best = cut(
         near.groupBy("result_id", "decoy")
-        .agg(F.max_by(F.struct("project_id", "fingerprint", "score"), F.struct("score", (-F.col("project_id")).alias("p"), "fingerprint")).alias("m"))
+        .agg(F.max_by(F.struct("project_id", "fingerprint", "score", "same"), F.struct("score", (-F.col("project_id")).alias("p"), "fingerprint")).alias("m"))
         .select("result_id", "decoy", "m.*", F.floor(F.col("m.score") * _BINS).cast("int").alias("bin"))
     )
-    counts = best.groupBy("bin").agg(F.count_if("decoy"), F.count_if(~F.col("decoy"))).orderBy("bin").collect()
-    rates = pooled([(b, hits + 1.0, max(0.0, hits - decoys)) for b, decoys, hits in counts])
+    chance, found = F.count_if(F.col("decoy") & F.col("same")), F.count_if(~F.col("decoy") & F.col("same"))
+    counts = best.groupBy("bin").agg(F.count_if(~F.col("decoy")), found, chance).orderBy("bin").collect()
+    rates = pooled([(b, hits + 1.0, max(0.0, same - decoys)) for b, hits, same, decoys in counts])
     rate = results.sparkSession.createDataFrame(rates, "bin int, confidence double")
     return best.where(~F.col("decoy")).join(F.broadcast(rate), "bin").select("result_id", "project_id", "fingerprint", "score", "confidence")
