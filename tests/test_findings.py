@@ -38,6 +38,9 @@ def one(spark, expression, value, kind="string"):
         (clean.tool_list, None, []),
         (clean.posix_path, ".\\src\\..\\lib//x/./a.c", "lib/x/a.c"),
         (clean.posix_path, " ", None),
+        (clean.posix_path, "a/b/c/d/e/../../../../../x", "x"),
+        (clean.posix_path, "../../x/../y/.git/../z.c", "../../y/z.c"),
+        (clean.posix_path, "/../a/./..b/c..d/x", "/../a/..b/c..d/x"),
         (clean.word, "  High\t", "high"),
         (clean.source_lines, ">>>  3 | a\n    4 | b\nx\n12 | c\r\n-- | --", 3),
         (clean.source_lines, None, 0),
@@ -262,3 +265,24 @@ def test_stream_of_many_files_out_of_time_order(spark, tmp_path):
     counts = stream.severity_counts(stream.read_stream(spark, str(tmp_path / "in"), 1))
     stream.run_available(counts, str(tmp_path / "out"), str(tmp_path / "state"))
     assert {(r.start, r.severity, r.findings) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
+
+
+def test_checkpoints_on_a_cluster_need_a_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from tracequarry import session
+
+    unset = Fake(isEmpty=lambda: True)
+    context = Fake(master="spark://host:7077", _jsc=Fake(sc=lambda: Fake(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_folder(Fake(sparkContext=context, conf=Fake(get=lambda *_: None)))
+
+
+def test_a_hot_key_meets_a_table_too_large_to_broadcast(spark, monkeypatch):
+    from tracequarry import session
+
+    monkeypatch.setattr(session, "broadcast_if_small", lambda df: df)
+    rows = spark.createDataFrame([(k % 3 if k % 2 else 7, k) for k in range(200)], "run int, k int")
+    other = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "run int, said string")
+    got = session.join_on_hot_key(rows, other, "run", "k").collect()
+    assert len(got) == len({r.k for r in got}) == sum(1 for k in range(200) if k % 2 == 0 or k % 3 < 2)

@@ -122,6 +122,21 @@ def test_paths_against_breadth_first_search(spark):
             queue = deque(layer)
         want |= {(g, entry, n): (len(p) - 1, p) for n, p in best.items()}
     assert got == want
+    e, n = spark.createDataFrame(edges, "g int, src string, dst string"), spark.createDataFrame(entries, "g int, name string, nth int")
+    near = {}
+    for (g, _, node), (depth, _) in want.items():
+        near[g, node] = min(depth, near.get((g, node), depth))
+    assert {(r.g, r.node): r.depth for r in structure.reachable(e, n, "g").collect()} == near
+    chains = {}
+    for g, entry, _ in reversed(entries):
+        chains |= {(g, node): path for (h, start, node), (_, path) in want.items() if (h, start) == (g, entry)}
+    assert {(r.g, r.node): r.chain for r in structure.call_chains(e, n, "g").collect()} == chains
+
+
+def test_long_chains_are_followed_to_their_end(spark):
+    edges = [(1, f"n{k}", f"n{k + 1}") for k in range(80)] + [(1, "n80", "n0")]
+    e, n = spark.createDataFrame(edges, "g int, src string, dst string"), spark.createDataFrame([(1, "n0", 1)], "g int, name string, nth int")
+    assert {(r.node, r.depth) for r in structure.reachable(e, n, "g").collect()} == {(f"n{k}", k) for k in range(81)}
 
 
 def test_taint(spark):

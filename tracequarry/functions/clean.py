@@ -66,11 +66,12 @@ def source_lines(col: Column) -> Column:
 
 
 def posix_path(col: Column) -> Column:
-    """Forward slashes, no doubled slashes, no '.' steps, 'x/..' steps resolved (four levels)."""
+    """Forward slashes, no doubled slashes, no '.' steps, 'x/..' steps resolved however many there are."""
     path = F.regexp_replace(F.trim(col), r"\\", "/")
     path = F.regexp_replace(path, r"(?i)^file://+", "/")
     path = F.regexp_replace(path, r"/(?:\./|/)+", "/")
     path = F.regexp_replace(path, r"^(?:\./)+", "")
-    for _ in range(4):
-        path = F.regexp_replace(path, r"(^|/)[^/.][^/]*/\.\.(?:/|$)", "$1")
-    return _or_null(path)
+    up = lambda done, step: (step == "..") & ~F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit("")).isin("", "..")
+    walk = lambda done, step: F.when(up(done, step), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(step)))
+    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), walk)
+    return _or_null(F.when(F.contains(path, F.lit("/..")), F.array_join(steps, "/")).otherwise(path))

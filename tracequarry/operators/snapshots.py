@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.functions import clean
 from tracequarry.operators.ordering import neighbour, rank_within
+from tracequarry.session import cut, join_on_hot_key
 
 
 def snapshot_runs(runs: DataFrame) -> DataFrame:
@@ -39,13 +40,13 @@ def diff_snapshots(rows: DataFrame, snapshots: DataFrame, key: str, state: list[
     is windowed by its snapshot's index: a differing hash beside the row before is a change,
     a gap in the index a removal and a later addition. Snapshots without rows count, since
     the index runs over `snapshots`; null keys and rows of other runs never count. The work
-    is one shuffle by (project, key), so a run that holds most rows is spread over all tasks.
+    is one shuffle by (project, key), so a run that holds most rows is spread over all tasks;
+    the snapshots, a row a run, are broadcast, or beyond a bound met by run and part of the keys.
     """
     hashed = F.xxhash64(*[F.coalesce(c, F.lit("")) for c in state])
+    usable = rows.where(F.col(key).isNotNull() & F.col("run_id").isNotNull()).select("run_id", F.col(key), hashed.alias("h"), F.col(prefer).alias("p"))
     placed = (
-        rows.where(F.col(key).isNotNull() & F.col("run_id").isNotNull())
-        .select("run_id", F.col(key), hashed.alias("h"), F.col(prefer).alias("p"))
-        .join(snapshots, "run_id")
+        join_on_hot_key(usable, cut(snapshots), "run_id", key)
         .groupBy("project_id", F.col(key), "snap", "run_id", "next_run_id", "snaps")
         .agg(F.min_by("h", "p").alias("h"))
     )

@@ -157,35 +157,62 @@ def callers(edges: DataFrame, group: str) -> DataFrame:
     return edges.groupBy(group, F.col("dst").alias("function")).agg(F.array_sort(F.collect_set("src")).alias("callers"))
 
 
-def paths_from(edges: DataFrame, entries: DataFrame, group: str, max_depth: int = 64) -> DataFrame:
-    """(group, entry, node, depth, path): a shortest path from each entry to every node it reaches.
+#: Rounds of a closure after which what was reached is written as one table, so that plans stay short.
+ROUNDS = 8
 
-    Breadth first over all groups and entries at once: each round joins the frontier with the
-    edges and drops what was reached before; of equally short paths the least stays. The
-    frontier is written once a round, so a lost executor costs no more than a round.
+
+def _closure(edges: DataFrame, start: DataFrame, key: list[str], step, better: list[str]) -> DataFrame:
+    """`start` and everything that steps along the edges reach, however far: a row per key, the best by `better`.
+
+    Breadth first over all groups at once: each round joins the rows that are new or became
+    better with the edges (`step` turns a row and its edge into the next row) and keeps those
+    that beat what was reached before. Each round is written, so a lost executor costs no more
+    than a round; it ends when nothing gets better.
     """
-    edges = cut(edges.select(group, "src", "dst").distinct())
-    start = entries.select(group, F.col("name").alias("entry"), F.col("name").alias("node"), F.array("name").alias("path")).distinct()
-    reached = frontier = cut(start)
-    for _ in range(max_depth):
-        step = frontier.join(edges.withColumnRenamed("src", "node"), [group, "node"])
-        found = step.groupBy(group, "entry", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        frontier = cut(found.join(reached.select(group, "entry", "node"), [group, "entry", "node"], "left_anti").select(reached.columns))
+    least = F.min(F.struct(*better)).alias("_b")
+    reached = frontier = cut(start.groupBy(*key).agg(least).select(*key, "_b.*"))
+    for k in range(1, 2**31):
+        found = step(frontier.join(edges, [key[0], "node"])).groupBy(*key).agg(least)
+        known = reached.groupBy(*key).agg(least.alias("_old")) if k > 1 else reached.select(*key, F.struct(*better).alias("_old"))
+        fresh = found.join(known, key, "left").where("_old is null or _b < _old")
+        frontier = cut(fresh.select(*key, "_b.*"))
         if frontier.isEmpty():
             break
         reached = reached.unionAll(frontier)
-    return reached.select(group, "entry", "node", (F.size("path") - 1).alias("depth"), "path")
+        if k % ROUNDS == 0:
+            reached = cut(reached.groupBy(*key).agg(least).select(*key, "_b.*"))
+    return reached.groupBy(*key).agg(least).select(*key, "_b.*")
+
+
+def _outgoing(edges: DataFrame, group: str) -> DataFrame:
+    return cut(edges.select(group, F.col("src").alias("node"), "dst").distinct())
+
 
+def paths_from(edges: DataFrame, entries: DataFrame, group: str) -> DataFrame:
+    """(group, entry, node, depth, path): a shortest path from each entry to every node it reaches; of equally short ones the least.
 
-def reachable(edges: DataFrame, entries: DataFrame, group: str, max_depth: int = 64) -> DataFrame:
+    There are as many rows as entries times nodes; `reachable` and `call_chains` need one a node.
+    """
+    start = entries.select(group, F.col("name").alias("entry"), F.col("name").alias("node"), F.lit(0).alias("depth"), F.array("name").alias("path"))
+    step = lambda j: j.select(group, "entry", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("dst")).alias("path"))
+    return _closure(_outgoing(edges, group), start, [group, "entry", "node"], step, ["depth", "path"])
+
+
+def reachable(edges: DataFrame, entries: DataFrame, group: str) -> DataFrame:
     """(group, node, depth): every node that some entry reaches, with its least distance."""
-    return paths_from(edges, entries, group, max_depth).groupBy(group, "node").agg(F.min("depth").alias("depth"))
+    start = entries.select(group, F.col("name").alias("node"), F.lit(0).alias("depth"))
+    step = lambda j: j.select(group, F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"))
+    return _closure(_outgoing(edges, group), start, [group, "node"], step, ["depth"])
 
 
-def call_chains(paths: DataFrame, entries: DataFrame, group: str) -> DataFrame:
-    """(group, node, chain): the path from the first entry, in their order, that has one."""
-    ordered = paths.join(entries.select(group, F.col("name").alias("entry"), "nth"), [group, "entry"])
-    return ordered.groupBy(group, "node").agg(F.min_by("path", F.struct("nth", "entry")).alias("chain"))
+def call_chains(edges: DataFrame, entries: DataFrame, group: str) -> DataFrame:
+    """(group, node, chain): a shortest path from the first entry, in their order, that has one.
+
+    All nodes of such a path have the same first entry, so one path a node is carried along.
+    """
+    start = entries.select(group, F.col("name").alias("node"), "nth", F.lit(0).alias("depth"), F.array("name").alias("chain"))
+    step = lambda j: j.select(group, F.col("dst").alias("node"), "nth", (F.col("depth") + 1).alias("depth"), F.concat("chain", F.array("dst")).alias("chain"))
+    return _closure(_outgoing(edges, group), start, [group, "node"], step, ["nth", "depth", "chain"]).select(group, "node", "chain")
 
 
 def reach_level(chain_length: Column, function: Column) -> Column:
@@ -204,7 +231,7 @@ def reach(findings: DataFrame, files: DataFrame) -> DataFrame:
     """
     edges, entries = call_graph(files)
     entries = cut(entries)
-    found = cut(call_chains(paths_from(edges, entries, "files", 2**31 - 1), entries, "files"))
+    found = cut(call_chains(edges, entries, "files"))
     chains = broadcast_if_small(found.select(F.col("node").alias("function"), F.col("chain").alias("call_chain")))
     level = F.when(F.size("call_chain") > 0, reach_level(F.size("call_chain"), F.col("function"))).otherwise(F.col("reachability"))
     return findings.join(chains, "function", "left").withColumns({"reachability": level, "call_chain": F.coalesce("call_chain", F.array().cast("array<string>"))})

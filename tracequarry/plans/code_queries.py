@@ -83,7 +83,7 @@ def q_shortest_path(spark, sf_dir):
 
 def q_call_chains(spark, sf_dir):
     edges, entries = _graph(spark, sf_dir)
-    chains = S.call_chains(S.paths_from(edges, entries, "project_id"), entries, "project_id")
+    chains = S.call_chains(edges, entries, "project_id")
     return chains.select("project_id", "node", F.array_join("chain", " > ").alias("chain"), S.reach_level(F.size("chain"), F.col("node")).alias("level"))
 
 
@@ -258,6 +258,11 @@ _LEVEL = (
     + " or ".join(f"contains(lower(coalesce(function_name, '')), '{w}')" for w in S.REACH_WORDS)
     + " then 'high' else 'unknown' end"
 )
+_CHAIN_LEVEL = _LEVEL.replace("n > ", "len(c) > ").replace("coalesce(function_name, '')", "node")
+#: A shortest path from each entry to each node, of equally short ones the least.
+_WALK = """walk(project_id, entry, node, path) using key (project_id, entry, node) as (select project_id, name, name, [name] from entries
+  union select w.project_id, w.entry, e.dst, min(list_append(w.path, e.dst)) from walk w join edges e on e.project_id = w.project_id and e.src = w.node
+    where not exists (select 1 from recurring.walk r where r.project_id = w.project_id and r.entry = w.entry and r.node = e.dst) group by 1, 2, 3)"""
 _VENDOR = "[" + ", ".join(map(_q, code.VENDOR_DIRS)) + "]"
 _P = "lower(file_path)"
 _SUFFIX = f"regexp_extract({_P}, '\\.([^./]+)$', 1)"
@@ -287,12 +292,18 @@ QUERIES = {
     "q_callers": (q_callers, f"{_GRAPH} select project_id, dst as function, string_agg(src, ',' order by src) as callers from edges group by 1, 2"),
     "q_reachable": (
         q_reachable,
-        f"""{_GRAPH}, {_CHAIN_ENTRIES}, walk as (select project_id, name as node, 0 as depth from entries
-          union select w.project_id, e.dst, w.depth + 1 from walk w join edges e on e.project_id = w.project_id and e.src = w.node where w.depth < 40)
-          select project_id, node, min(depth) as depth from walk group by 1, 2""",
+        f"""{_GRAPH}, {_CHAIN_ENTRIES}, walk(project_id, node, depth) using key (project_id, node) as (select project_id, name, 0 from entries
+          union select w.project_id, e.dst, min(w.depth) + 1 from walk w join edges e on e.project_id = w.project_id and e.src = w.node
+            where not exists (select 1 from recurring.walk r where r.project_id = w.project_id and r.node = e.dst) group by 1, 2)
+          select project_id, node, depth from walk""",
+    ),
+    "q_shortest_path": (q_shortest_path, f"{_GRAPH}, {_CHAIN_ENTRIES}, {_WALK} select project_id, entry, node, cast(len(path) - 1 as int) as depth, array_to_string(path, ' > ') as path from walk"),
+    "q_call_chains": (
+        q_call_chains,
+        f"""{_GRAPH}, {_CHAIN_ENTRIES}, {_WALK}, firsts as (
+          select w.project_id, node, arg_min(path, nth) as c from walk w join entries n on n.project_id = w.project_id and n.name = w.entry group by 1, 2)
+          select project_id, node, array_to_string(c, ' > ') as chain, {_CHAIN_LEVEL} as level from firsts""",
     ),
-    "q_shortest_path": (q_shortest_path, None),
-    "q_call_chains": (q_call_chains, None),
     "q_reach_level": (q_reach_level, f"select id, {_LEVEL} as level from (select distinct id, function_name, coalesce(json_array_length(cast(call_chain as json)), 0) as n from findings where id is not null)"),
     "q_describe_chain": (
         q_describe_chain,

@@ -21,9 +21,9 @@ def posix_sql(col: str) -> str:
     path = rf"regexp_replace({path}, '(?i)^file://+', '/')"
     path = rf"regexp_replace({path}, '/(?:\./|/)+', '/', 'g')"
     path = rf"regexp_replace({path}, '^(?:\./)+', '')"
-    for _ in range(4):
-        path = rf"regexp_replace({path}, '(^|/)[^/.][^/]*/\.\.(?:/|$)', '\1', 'g')"
-    return f"nullif({path}, '')"
+    up = "case when b[1] = '..' and len(a) > 0 and a[-1] not in ('', '..') then a[:-2] else list_concat(a, b) end"
+    walked = f"array_to_string(list_reduce(list_transform(string_split(p, '/'), lambda s: [s]), lambda a, b: {up}), '/')"
+    return f"nullif(list_transform([{path}], lambda p: case when contains(p, '/..') then {walked} else p end)[1], '')"
 
 
 def tools_sql(col: str) -> str:

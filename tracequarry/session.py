@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.maxMetadataStringLength", "1000")
@@ -29,18 +32,28 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there.
 
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where
-    none is named, which is the case in local tests alone.
+    The folder is the session's spark.checkpoint.dir. Whether files of tables no longer used are
+    removed is the session's spark.cleaner.referenceTracking.cleanCheckpoints.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that all executors share."""
+    """The folder for checkpoints that all executors share.
+
+    Where none is set, a local session gets a temporary one, removed when Python ends; on a
+    cluster that is an error, as a folder of one machine would be lost with it.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -58,6 +71,23 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Copies of each row of a table too large to broadcast, so that a hot key on the other side is split.
+SALTS = 16
+
+
+def join_on_hot_key(rows: DataFrame, other: DataFrame, key: str, within: str, how: str = "inner") -> DataFrame:
+    """`rows` with what `other`, one row a key, says of `key`, of which one value may hold a third of all rows.
+
+    `other` is broadcast if counting shows it small; else rows of a key are split by `within`
+    over SALTS tasks, each with a copy of the key's row.
+    """
+    small = broadcast_if_small(other)
+    if small is not other:
+        return rows.join(small, key, how)
+    salted = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(within), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over at least as many tasks as there are cores, for costly work on rows of few large files.
 

@@ -29,9 +29,22 @@ def severity_counts(findings: DataFrame, window: str = "1 day") -> DataFrame:
 
 
 def run_available(counts: DataFrame, target: str, checkpoint: str) -> None:
-    """Runs the stream over what is there and writes the counts as Parquet; restarts go on from the checkpoint."""
+    """Runs the stream over what is there and writes the counts as Parquet; restarts go on from the checkpoint.
+
+    Each batch writes, under its number, only the windows whose counts it changed, late rows'
+    among them; a batch that is run again replaces its own. At the end they are merged.
+    """
+    changes, written = f"{checkpoint}/changes", []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{changes}/batch={number}")
+        written.append(number)
+
+    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{checkpoint}/query").trigger(availableNow=True).start().awaitTermination()
+    if written:
+        latest(counts.sparkSession, changes).write.mode("overwrite").parquet(target)
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
 
-    counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def latest(spark: SparkSession, changes: str, key: tuple[str, ...] = ("start", "severity"), value: str = "findings") -> DataFrame:
+    """The counts after the last batch: of each window what the latest batch that touched it says."""
+    return spark.read.parquet(changes).groupBy(*key).agg(F.max_by(value, "batch").alias(value))
