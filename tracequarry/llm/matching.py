@@ -46,22 +46,15 @@ def as_word(places: Column) -> Column:
     return F.coalesce(F.aggregate(places, F.lit(0).cast("long"), mark), F.lit(0).cast("long"))
 
 
-def _vectors(df: DataFrame, tools: Column) -> DataFrame:
-    """Adds the bit vectors of the file's name (128 bits), its folder and its tools (64 bits each)."""
-    name, place = F.regexp_extract("path", "[^/]*$", 0), F.regexp_extract("path", "([^/]+)/[^/]*$", 1)
-    return (
-        df.withColumns({"_name": _bare(name), "_place": _bare(place), "_tool": _bare(tools)})
-        .withColumn("_h", gram_places("_name", 128))
-        .withColumns(
-            {
-                "b_name0": as_word(F.filter("_h", lambda x: x < 64)),
-                "b_name1": as_word(F.filter("_h", lambda x: x >= 64)),
-                "b_place": as_word(gram_places("_place", 64)),
-                "b_tool": as_word(gram_places("_tool", 64)),
-            }
-        )
-        .drop("_h", "_name", "_place", "_tool")
-    )
+def _texts(df: DataFrame, tools: Column) -> DataFrame:
+    """Adds the bare file name, folder and tools, of which the vectors are made."""
+    return df.withColumns({"name": _bare(F.regexp_extract("path", "[^/]*$", 0)), "place": _bare(F.regexp_extract("path", "([^/]+)/[^/]*$", 1)), "tools": _bare(tools)})
+
+
+def _with_name_vector(df: DataFrame) -> DataFrame:
+    """Adds the bit vector of the file's name, 128 bits."""
+    half = lambda k: as_word(F.filter("_h", lambda x: x < 64 if k == 0 else x >= 64))
+    return df.withColumn("_h", gram_places("name", 128)).withColumns({"b_name0": half(0), "b_name1": half(1)}).drop("_h")
 
 
 def _bare_path(path: Column) -> Column:
@@ -80,7 +73,12 @@ def families(catalog: DataFrame) -> DataFrame:
 
 
 def defects(findings: DataFrame, runs: DataFrame, projects: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row per project and fingerprint: path in the project, line, cwe, family and vectors.
+    """`known_defects` with the vectors of their names."""
+    return _with_name_vector(known_defects(findings, runs, projects, catalog))
+
+
+def known_defects(findings: DataFrame, runs: DataFrame, projects: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row per project and fingerprint: path in the project, line, cwe, family and the texts of `_texts`.
 
     Path, line and weakness are those of the least row that has all three usable, else the least
     usable ones; the tools are those of the longest list. Rows meet once, by project and
@@ -115,7 +113,7 @@ def defects(findings: DataFrame, runs: DataFrame, projects: DataFrame, catalog:
     shaped = grouped.withColumn("path", path).withColumn(
         "path", F.when(F.startswith("path", root), F.substring(f("path"), F.length(root) + 1, F.length("path"))).otherwise(F.ltrim(f("path"), F.lit("/")))
     )
-    return _vectors(shaped.dropna(subset=["path"]), F.array_join(clean.tool_list(f("tools")), " ")).drop("tools").withColumn("defect", F.monotonically_increasing_id())
+    return _texts(shaped.dropna(subset=["path"]), F.array_join(clean.tool_list(f("tools")), " ")).withColumn("defect", F.monotonically_increasing_id())
 
 
 def told_families(rows: DataFrame) -> DataFrame:
@@ -140,7 +138,12 @@ def told_families(rows: DataFrame) -> DataFrame:
 
 
 def reports(results: DataFrame, catalog: DataFrame) -> DataFrame:
-    """One row per scanner result that has a file, a line and a family, with its vectors."""
+    """`usable_reports` with the vectors of their names."""
+    return _with_name_vector(usable_reports(results, catalog))
+
+
+def usable_reports(results: DataFrame, catalog: DataFrame) -> DataFrame:
+    """One row per scanner result that has a file, a line and a family, with the texts of `_texts`."""
     f = F.col
     quoted = r"'[^']*'|\([^)]*\)|\[[^\]]*\]"
     words = F.filter(F.array_distinct(F.split(F.lower(F.regexp_replace("msg", quoted, " ")), "[^a-z]+")), lambda w: F.length(w) > 1)
@@ -153,7 +156,7 @@ def reports(results: DataFrame, catalog: DataFrame) -> DataFrame:
         .select("result_id", _bare_path(f("reported_path")).alias("path"), f("line_no").alias("line"), "cwe", "family", "tool", words.alias("words"))
     )
     whole = rows.drop("words").join(told_families(rows), "result_id", "left").withColumn("family", F.coalesce("family", "told"))
-    return _vectors(whole.dropna(subset=["path", "family"]), f("tool")).drop("tool", "told")
+    return _texts(whole.dropna(subset=["path", "family"]), f("tool")).drop("tool", "told")
 
 
 def named_projects(reports_: DataFrame, projects: DataFrame) -> DataFrame:
@@ -174,7 +177,7 @@ def _chunks(a: str, b: str) -> list[Column]:
 
 
 def near_names(reports_: DataFrame, defects_: DataFrame) -> DataFrame:
-    """(b_name0, b_name1, d0, d1): pairs of different names of results and of findings, RADIUS bits apart at most.
+    """(name, d_name, alike): pairs of different names of results and of findings, RADIUS bits apart at most, and their Dice similarity.
 
     Such a pair is found by every two chunks that it shares and kept by the first two alone.
     Names are few beside rows, so however many rows have a short name with empty chunks, it
@@ -182,21 +185,24 @@ def near_names(reports_: DataFrame, defects_: DataFrame) -> DataFrame:
     """
     both = [(i, j) for i in range(RADIUS + 2) for j in range(i + 1, RADIUS + 2)]
 
-    def keyed(df: DataFrame, a: str, b: str) -> DataFrame:
-        chunks = _chunks(a, b)
+    def keyed(df: DataFrame, *names: str) -> DataFrame:
+        coded = _with_name_vector(df.select("name").distinct()).toDF(*names)
+        chunks = _chunks(*names[1:])
         keys = F.explode(F.array(*[F.struct(F.lit(k).alias("nth"), chunks[i].alias("x"), chunks[j].alias("y")) for k, (i, j) in enumerate(both)])).alias("k")
-        return df.select(a, b, keys).select(a, b, "k.*")
+        return cut(coded).select(*names, keys).select(*names, "k.*")
 
-    names = lambda df: df.select("b_name0", "b_name1").distinct()
-    r, d = keyed(names(reports_), "b_name0", "b_name1"), keyed(names(defects_).toDF("d0", "d1"), "d0", "d1")
-    same = [x == y for x, y in zip(_chunks("b_name0", "b_name1"), _chunks("d0", "d1"), strict=True)]
+    c = F.col
+    ones = lambda a, b: F.bit_count(a) + F.bit_count(b)
+    same = [x == y for x, y in zip(_chunks("r0", "r1"), _chunks("d0", "d1"), strict=True)]
     first = F.coalesce(*[F.when(same[i] & same[j], k) for k, (i, j) in enumerate(both)])
-    apart = F.bit_count(F.col("b_name0").bitwiseXOR(F.col("d0"))) + F.bit_count(F.col("b_name1").bitwiseXOR(F.col("d1")))
-    return r.join(d, ["nth", "x", "y"]).where((apart <= RADIUS) & (F.col("nth") == first)).select("b_name0", "b_name1", "d0", "d1")
+    apart = ones(c("r0").bitwiseXOR(c("d0")), c("r1").bitwiseXOR(c("d1")))
+    alike = 2.0 * ones(c("r0").bitwiseAND(c("d0")), c("r1").bitwiseAND(c("d1"))) / (ones(c("r0"), c("r1")) + ones(c("d0"), c("d1")))
+    pairs = keyed(reports_, "name", "r0", "r1").join(keyed(defects_, "d_name", "d0", "d1"), ["nth", "x", "y"])
+    return pairs.where((apart <= RADIUS) & (c("nth") == first)).select("name", "d_name", alike.alias("alike"))
 
 
 def near_pairs(reports_: DataFrame, defects_: DataFrame, *more: str, names: DataFrame | None = None) -> DataFrame:
-    """(result_id, decoy, defect, away): pairs of a family at most REACH lines apart whose names differ in RADIUS bits at most.
+    """(result_id, decoy, defect, away, alike): pairs of a family at most REACH lines apart whose names differ in RADIUS bits at most.
 
     `more` names columns in which both are equal, too; `names` may hold the near names of both
     tables. Only keys and lines are shuffled. Each result is also sought as a decoy, moved by
@@ -207,28 +213,22 @@ def near_pairs(reports_: DataFrame, defects_: DataFrame, *more: str, names: Data
     seek = F.explode(F.array(F.struct(F.lit(False).alias("decoy"), line.alias("at")), F.struct(F.lit(True).alias("decoy"), (line + DECOY_SHIFT).alias("at")))).alias("x")
     names = broadcast_if_small(cut(near_names(reports_, defects_)) if names is None else names)
     r = (
-        reports_.select("result_id", "family", "b_name0", "b_name1", "line", *more)
-        .join(names, ["b_name0", "b_name1"])
-        .select("result_id", "family", "d0", "d1", seek, *more)
-        .select("result_id", "family", "d0", "d1", "x.*", *more)
+        reports_.select("result_id", "family", "name", "line", *more)
+        .join(names, "name")
+        .select("result_id", "family", "d_name", "alike", seek, *more)
+        .select("result_id", "family", "d_name", "alike", "x.*", *more)
         .withColumn("block", F.explode(F.sequence(block(F.col("at") - REACH), block(F.col("at") + REACH))))
     )
-    d = defects_.select("defect", "family", "line", block(line).alias("block"), F.col("b_name0").alias("d0"), F.col("b_name1").alias("d1"), *more)
+    d = defects_.select("defect", "family", "line", block(line).alias("block"), F.col("name").alias("d_name"), *more)
     away = F.abs(F.col("at") - F.col("line"))
-    return r.join(d, ["d0", "d1", "family", "block", *more]).where(away <= REACH).select("result_id", "decoy", "defect", away.alias("away"))
+    return r.join(d, ["d_name", "family", "block", *more]).where(away <= REACH).select("result_id", "decoy", "defect", away.alias("away"), "alike")
 
 
 def kinds(defects_: DataFrame) -> DataFrame:
     """Of defects that differ in project and fingerprint alone, which no score tells apart, the one that wins a tie."""
-    kind = ["path", "line", "family", "cwe", "b_tool", "b_name0", "b_name1"]
-    return defects_.groupBy(*kind).agg(F.max_by("defect", F.struct(-F.col("project_id"), "fingerprint")).alias("defect"))
-
-
-def dice(field: str) -> Column:
-    """Dice similarity of a field's two vectors; 0.5 (no evidence) where either is empty."""
-    a, b = F.col(f"r_{field}"), F.col(f"d_{field}")
-    both = F.bit_count(a) + F.bit_count(b)
-    return F.when((a == 0) | (b == 0), F.lit(0.5)).otherwise(2.0 * F.bit_count(a.bitwiseAND(b)) / both)
+    kind = ["path", "line", "family", "cwe", "tools"]
+    best = F.max_by(F.struct("defect", "name"), F.struct(-F.col("project_id"), "fingerprint")).alias("best")
+    return defects_.groupBy(*kind).agg(best).select(*kind, "best.*")
 
 
 def scored_pairs(reports_: DataFrame, defects_: DataFrame, owners: DataFrame) -> DataFrame:
@@ -240,27 +240,33 @@ def scored_pairs(reports_: DataFrame, defects_: DataFrame, owners: DataFrame) ->
     names = cut(near_names(reports_, defects_))
     owned = near_pairs(reports_.join(owners, "result_id"), defects_, "project_id", names=names).withColumn("owned", F.lit(True))
     other = near_pairs(reports_, kinds(defects_), names=names).withColumn("owned", F.lit(False))
-    named = lambda df, side, keep: df.select(*keep, *[F.col(c).alias(f"{side}_{c.removeprefix('b_')}") for c in ("path", "cwe", "b_name0", "b_name1", "b_place", "b_tool")])
+    named = lambda df, side, keep: df.select(*keep, *[F.col(c).alias(f"{side}_{c}") for c in ("path", "cwe", "place", "tools")])
     owning = owners.select("result_id").distinct().withColumn("owning", F.lit(True))
     told = named(reports_.join(owning, "result_id", "left"), "r", ["result_id", "owning"])
     pairs = owned.unionAll(other).join(told, "result_id").join(named(defects_, "d", ["defect", "project_id", "fingerprint", "project", "root"]), "defect")
-    ones = lambda a, b: F.bit_count(a) + F.bit_count(b)
     c = F.col
-    shared = ones(c("r_name0").bitwiseAND(c("d_name0")), c("r_name1").bitwiseAND(c("d_name1")))
     fields = {
-        "name": 2.0 * shared / (ones(c("r_name0"), c("r_name1")) + ones(c("d_name0"), c("d_name1"))),
-        "place": dice("place"),
+        "name": c("alike"),
+        "place": dice("r_place", "d_place"),
         # No evidence where the result names no project.
         "project": F.when(c("owned"), 1.0).when(c("owning"), 0.0).otherwise(0.5),
         # Dice of the two sets of lines within REACH, and of the sets {family} or {family, cwe}.
         "lines": F.greatest(F.lit(0.0), 1.0 - c("away") / (2 * REACH + 1)),
         "weakness": F.when(c("r_cwe").isNull(), 2.0 / 3).when(c("r_cwe") == c("d_cwe"), 1.0).otherwise(0.5),
-        "tool": dice("tool"),
+        "tool": dice("r_tools", "d_tools"),
     }
     score = sum((w * fields[k] for k, w in WEIGHTS.items()), F.lit(0.0)) / sum(WEIGHTS.values())
     return pairs.select("result_id", "decoy", "project_id", "fingerprint", "project", "root", "r_path", "d_path", F.round(score, 6).alias("score")).withColumn("same", same_file())
 
 
+def dice(a: str, b: str) -> Column:
+    """Dice similarity of two texts' vectors of 64 bits; 0.5 (no evidence) where either is empty."""
+    x, y = as_word(gram_places(a, 64)), as_word(gram_places(b, 64))
+    alike = 2.0 * F.bit_count(x.bitwiseAND(y)) / (F.bit_count(x) + F.bit_count(y))
+    none = lambda c: F.col(c).isNull() | (F.col(c) == "^$")
+    return F.when(none(a) | none(b), 0.5).when(F.col(a) == F.col(b), 1.0).otherwise(alike)
+
+
 def same_file() -> Column:
     """Whether one path ends with the other at a step, what lies before it being the project."""
     r, d = F.concat(F.lit("/"), "r_path"), F.concat(F.lit("/"), "d_path")
@@ -294,7 +300,7 @@ def match_results(results: DataFrame, findings: DataFrame, runs: DataFrame, proj
     fingerprints without one, match nothing; repeated rows count once; empty tables give an
     empty table.
     """
-    reports_, defects_ = cut(reports(results, catalog)), cut(defects(findings, runs, projects, catalog))
+    reports_, defects_ = cut(usable_reports(results, catalog)), cut(known_defects(findings, runs, projects, catalog))
     near = scored_pairs(reports_, defects_, cut(named_projects(reports_, projects)))
     if exact:
         near = near.where("same")
