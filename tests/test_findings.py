@@ -281,7 +281,7 @@ def test_checkpoints_on_a_cluster_need_a_shared_folder():
 def test_a_hot_key_meets_a_table_too_large_to_broadcast(spark, monkeypatch):
     from tracequarry import session
 
-    monkeypatch.setattr(session, "broadcast_if_small", lambda df: df)
+    monkeypatch.setattr(session, "broadcast_if_small", lambda df, most: df)
     rows = spark.createDataFrame([(k % 3 if k % 2 else 7, k) for k in range(200)], "run int, k int")
     other = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "run int, said string")
     got = session.join_on_hot_key(rows, other, "run", "k").collect()

@@ -156,32 +156,40 @@ def functions_in(lines: Column) -> Column:
 
     A definition is a line that begins with words and NAME(...), its brace there or at the
     beginning of the next line; NAME is no control word. It ends with the line on which the
-    braces opened since are closed, or with the file.
+    braces opened since are closed, or with the file. All definitions are followed in one pass
+    with a running depth over the lines that hold braces or a head.
     """
-    opened = lambda x: F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit("")))
-    closed = lambda x: F.length(x) - F.length(F.replace(x, F.lit("}"), F.lit("")))
+    braces = lambda t: F.length(F.replace(t, F.lit("}"), F.lit(""))) - F.length(F.replace(t, F.lit("{"), F.lit("")))
 
-    def head(t, i):
+    def event(t, i):
         name, here = first(t, HEAD), first(t, HEAD, 2) != ""
         below = has(F.coalesce(F.get(lines, i + 1), F.lit("")), r"^\s*\{")
         likely = F.contains(t, F.lit("(")) & (F.contains(t, F.lit("{")) | below)
         brace = F.when(here, i + 1).when(below, i + 2)
         is_head = likely & (name != "") & ~name.isin(P.CONTROL_WORDS) & brace.isNotNull()
-        return F.when(is_head, F.struct(name.alias("name"), (i + 1).alias("head"), brace.alias("start")))
-
-    def whole(f):
-        step = lambda s, x: F.when(s["end"] > 0, s).otherwise(
-            F.struct(
-                (s["depth"] + opened(x) - closed(x)).cast("int").alias("depth"),
-                (s["n"] + 1).cast("int").alias("n"),
-                F.when(s["depth"] + opened(x) - closed(x) <= 0, s["n"] + 1).otherwise(F.lit(0)).cast("int").alias("end"),
-            )
-        )
-        zero = F.struct(F.lit(0).alias("depth"), (f["start"] - 1).cast("int").alias("n"), F.lit(0).alias("end"))
-        end = F.aggregate(F.slice(lines, f["start"], F.size(lines)), zero, step, lambda s: F.when(s["end"] > 0, s["end"]).otherwise(F.size(lines)))
-        return F.struct(f["name"].alias("name"), f["head"].cast("int").alias("head"), f["start"].cast("int").alias("start"), end.alias("end"))
-
-    return F.transform(F.array_compact(F.transform(lines, head)), whole)
+        head = F.when(is_head, F.struct(name.alias("name"), (i + 1).cast("int").alias("head"), brace.cast("int").alias("start")))
+        some = F.contains(t, F.lit("{")) | F.contains(t, F.lit("}")) | is_head
+        return F.when(some, F.struct((i + 1).cast("int").alias("n"), braces(t).cast("int").alias("net"), head.alias("f")))
+
+    events = F.array_compact(F.transform(lines, event))
+    # The state: the depth, functions still open with the depth they began at, those whose end is known.
+    kind = "array<struct<start: int, base: int, head: int, name: string>>"
+    zero = F.struct(F.lit(0).alias("depth"), F.array().cast(kind).alias("open"), F.array().cast("array<struct<head: int, name: string, start: int, end: int>>").alias("done"))
+
+    def step(s, e):
+        # A function counts from its brace on, which may be on the line after its head.
+        fresh = lambda f, base: F.struct(f["start"].alias("start"), base.cast("int").alias("base"), f["head"].alias("head"), f["name"].alias("name"))
+        started = F.when(e["f"].isNotNull(), F.concat(s["open"], F.array(fresh(e["f"], s["depth"] + F.when(e["f"]["start"] > e["n"], e["net"]).otherwise(0))))).otherwise(s["open"])
+        depth = (s["depth"] + e["net"]).cast("int")
+        over = lambda f: (f["start"] <= e["n"]) & (depth <= f["base"])
+        ended = F.transform(F.filter(started, over), lambda f: F.struct(f["head"], f["name"], f["start"], e["n"].alias("end")))
+        return F.struct(depth.alias("depth"), F.filter(started, lambda f: ~over(f)).alias("open"), F.when(F.size(ended) > 0, F.concat(s["done"], ended)).otherwise(s["done"]).alias("done"))
+
+    def finish(s):
+        rest = F.transform(s["open"], lambda f: F.struct(f["head"], f["name"], f["start"], F.size(lines).alias("end")))
+        return F.transform(F.array_sort(F.concat(s["done"], rest)), lambda f: F.struct(f["name"], f["head"], f["start"], f["end"]))
+
+    return F.aggregate(events, zero, step, finish)
 
 
 def race_condition(lines: Column) -> Column:
