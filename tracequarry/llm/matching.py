@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.functions import clean
-from tracequarry.session import broadcast_if_small, cut
+from tracequarry.session import broadcast_if_small, cut, join_on_hot_key
 
 RADIUS = 3
 REACH = 3
@@ -27,6 +27,8 @@ WEIGHTS = {"name": 4.0, "place": 4.0, "project": 2.0, "lines": 2.0, "weakness":
 #: Lines that decoys are moved by, far beyond REACH.
 DECOY_SHIFT = 41
 _BINS = 100
+#: Pairs of near names (some 100 bytes) up to which they are broadcast.
+BROADCAST_NAMES = 20_000
 
 
 def _bare(text: Column) -> Column:
@@ -211,10 +213,9 @@ def near_pairs(reports_: DataFrame, defects_: DataFrame, *more: str, names: Data
     line = F.col("line")
     block = lambda x: F.floor(x / BLOCK).cast("int")
     seek = F.explode(F.array(F.struct(F.lit(False).alias("decoy"), line.alias("at")), F.struct(F.lit(True).alias("decoy"), (line + DECOY_SHIFT).alias("at")))).alias("x")
-    names = broadcast_if_small(cut(near_names(reports_, defects_)) if names is None else names)
+    names = cut(near_names(reports_, defects_)) if names is None else names
     r = (
-        reports_.select("result_id", "family", "name", "line", *more)
-        .join(names, "name")
+        join_on_hot_key(reports_.select("result_id", "family", "name", "line", *more), names, "name", "result_id", most=BROADCAST_NAMES)
         .select("result_id", "family", "d_name", "alike", seek, *more)
         .select("result_id", "family", "d_name", "alike", "x.*", *more)
         .withColumn("block", F.explode(F.sequence(block(F.col("at") - REACH), block(F.col("at") + REACH))))
