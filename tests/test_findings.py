@@ -94,7 +94,9 @@ def test_scores(spark):
     assert p("medium", 0.4, "medium", "medium", 0) == 3.6
 
 
-def test_rank_within_matches_a_plain_sort(spark):
+@pytest.mark.parametrize("most", [0, 100, 500_000])
+def test_rank_within_matches_a_plain_sort(spark, monkeypatch, most):
+    monkeypatch.setattr(ordering, "WINDOW_ROWS", most)
     rows = [(k % 3 if k % 7 else None, k, (k * 37) % 10) for k in range(500)]
     got = {r.id: r.rank for r in ordering.rank_within(spark.createDataFrame(rows, "g int, id int, s int").repartition(5), "g", [F.desc("s"), F.asc("id")]).collect()}
     want = {}

@@ -8,12 +8,33 @@ from pyspark.sql import functions as F
 from tracequarry.session import broadcast_if_small, cut
 
 
+#: Rows of a group that one task sorts at most.
+WINDOW_ROWS = 500_000
+
+
 def rank_within(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """Adds `rank`, 1 for the first row of each group in a total order.
 
+    Groups of up to WINDOW_ROWS rows are numbered by a window, one shuffle by group; larger
+    ones, which a count finds, by many tasks (`ranked_by_range`). The rows are written once
+    before, as they are both counted and numbered.
+    """
+    rows = cut(df)
+    hot = cut(rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > WINDOW_ROWS).select("_g"))
+    numbered = lambda some: some.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+    if hot.isEmpty():
+        return numbered(rows)
+    is_hot = F.col(group).eqNullSafe(F.col("_g"))
+    small = broadcast_if_small(hot)
+    return numbered(rows.join(small, is_hot, "left_anti")).unionByName(ranked_by_range(rows.join(small, is_hot, "left_semi"), group, order))
+
+
+def ranked_by_range(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """The same for groups of any size.
+
     Rows are range-partitioned by group and order; each partition numbers its rows of a group,
-    and the counts of the partitions before it are added. The rows are written before, as
-    sampling the bounds reads them twice, and after, as the bounds may differ in every run.
+    and the counts of the partitions before it are added. They are written before, as sampling
+    the bounds reads them twice, and after, as the bounds may differ in every run.
     """
     ranged = cut(df).repartitionByRange(F.col(group).asc_nulls_first(), *order)
     rows = cut(ranged.withColumn("_part", F.spark_partition_id()))
