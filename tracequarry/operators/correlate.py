@@ -87,16 +87,19 @@ def stage(findings: DataFrame) -> DataFrame:
     """
     f = F.col
     text = lambda c: F.coalesce(F.regexp_replace(f(c), r"^\s+|\s+$", ""), F.lit(""))
-    listed = lambda c: (F.coalesce(F.size(F.from_json(c, "array<string>")), F.lit(0)) > 0) if c in findings.columns else F.lit(False)
+    listed = lambda c: (F.coalesce(F.json_array_length(c), F.lit(0)) > 0) if c in findings.columns else F.lit(False)
     kind = lambda c, default="unknown": F.coalesce(clean.word(f(c)), F.lit(default))
-    return findings.where("id is not null").dropDuplicates(["id"]).select(
+    # Long texts become flags before the shuffle by id, all else is normalised after it.
+    flags = [listed("dataflow").alias("has_flow"), listed("call_chain").alias("has_chain")]
+    once = findings.where("id is not null").select("*", *flags).dropDuplicates(["id"])
+    return once.select(
         "id", "run_id", "finding_id", text("title").alias("title"), kind("category").alias("category"),
         F.coalesce(clean.cwe(f("cwe")), F.lit("CWE-0")).alias("cwe"), kind("severity", "medium").alias("severity"),
         F.coalesce(clean.share(f("confidence")), F.lit(0.0)).cast("decimal(18,6)").alias("confidence"),
         F.coalesce(clean.posix_path(f("file_path")), F.lit("")).alias("file"), F.coalesce("line", F.lit(0)).alias("line"),
         text("function_name").alias("function"), clean.tool_list(f("tools")).alias("tools"), kind("reachability").alias("reachability"),
         kind("controllability").alias("controllability"), kind("status", "new").alias("status"), text("notes").alias("notes"),
-        listed("dataflow").alias("has_flow"), listed("call_chain").alias("has_chain"),
+        "has_flow", "has_chain",
     )
 
 
@@ -205,7 +208,7 @@ def united_evidence(staged: DataFrame, merged: DataFrame, evidence: DataFrame) -
     group = ["run_id", "file", "line", "cwe"]
     kept = merged.select(*group, F.col("id").alias("_kept"))
     member = staged.select(*group, F.col("id").alias("finding_id"))
-    brought = evidence.where("finding_id is not null").select("finding_id", "evidence_type", "evidence_source").distinct()
+    brought = evidence.where("finding_id is not null").select("finding_id", "evidence_type", "evidence_source")
     return brought.join(member, "finding_id").join(kept, group).select(F.col("_kept").alias("finding_id"), "evidence_type", "evidence_source")
 
 

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracequarry.operators import analytics as A
-from tracequarry.session import table
+from tracequarry.session import cut, table
 from tracequarry.sources import scanners as N
 
 COLUMNS = ["result_id", "title", "category", "cwe", "severity", "confidence", "file", "line", "function", "tool"]
 
 
-def _results(spark, sf_dir, tool: str) -> DataFrame:
-    rows = table(spark, sf_dir, "scanner_results").where("result_id is not null").dropDuplicates(["result_id"])
+def _once(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "scanner_results").where("result_id is not null").dropDuplicates(["result_id"])
+
+
+def _results(rows: DataFrame, tool: str) -> DataFrame:
     f = F.col
     return rows.where(N.tool_name(f("tool")) == tool).select(
         "result_id", F.coalesce("check_id", F.lit("")).alias("check"), F.coalesce("reported_path", F.lit("")).alias("path"), "line_no",
@@ -51,12 +54,13 @@ def native_output(rows: DataFrame, tool: str) -> DataFrame:
 def captured(spark, sf_dir) -> dict[str, DataFrame]:
     """The outputs that the queries below parse, by tool: results as their tools print them and all documents as logs."""
     logs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null").select("doc_id", F.col("text").alias("payload"))
-    return {tool: logs if tool == "sanitizer" else native_output(_results(spark, sf_dir, tool), tool) for tool in N.PARSERS}
+    rows = cut(_once(spark, sf_dir))
+    return {tool: logs if tool == "sanitizer" else native_output(_results(rows, tool), tool) for tool in N.PARSERS}
 
 
 def _query(tool: str):
     def query(spark, sf_dir):
-        return N.PARSERS[tool](native_output(_results(spark, sf_dir, tool), tool)).select(*COLUMNS)
+        return N.PARSERS[tool](native_output(_results(_once(spark, sf_dir), tool), tool)).select(*COLUMNS)
 
     return query
 
