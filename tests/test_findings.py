@@ -288,3 +288,23 @@ def test_a_hot_key_meets_a_table_too_large_to_broadcast(spark, monkeypatch):
     other = spark.createDataFrame([(0, "a"), (1, "b"), (7, "c")], "run int, said string")
     got = session.join_on_hot_key(rows, other, "run", "k").collect()
     assert len(got) == len({r.k for r in got}) == sum(1 for k in range(200) if k % 2 == 0 or k % 3 < 2)
+
+
+def test_second_pass_from_outside(spark):
+    rows = spark.createDataFrame([("F-1", "new", ["a"], ""), ("F-2", "new", [], "n"), ("F-3", "new", [], ""), ("F-4", "new", [], "")], "finding_no string, status string, doubts array<string>, notes string")
+    answers = spark.createDataFrame(
+        [('```json\n[{"id": "F-1", "verdict": "confirmed_fp", "reason": "guarded"}, {"id": "F-2", "verdict": "challenged", "reason": "bounded"}]\n```',), ('{"id": "F-3", "verdict": "maybe"}',), ("no",), (None,)],
+        "answer string",
+    )
+    got = {r.finding_no: (r.status, r.doubts, r.notes) for r in narrate.apply_challenges(rows, narrate.parse_challenges(answers)).collect()}
+    assert got == {
+        "F-1": ("likely_false_positive", ["a", "disproven from outside: guarded"], "disproven from outside: guarded"),
+        "F-2": ("new", ["challenged from outside: bounded"], "n | challenged from outside: bounded"),
+        "F-3": ("new", [], ""),
+        "F-4": ("new", [], ""),
+    }
+
+
+def test_bounds_in_either_notation(spark):
+    df = spark.createDataFrame([("64",), ("0x40",), ("",), ("0xffffffffffffffffff",), ("99999999999999999999",)], "t string")
+    assert [r[0] for r in df.select(validate.whole_number(F.col("t"))).collect()] == [64, 64, None, None, None]

@@ -59,6 +59,12 @@ def list_findings(findings: DataFrame, severity: str | None = None, limit: int =
     return kept.orderBy(F.desc("priority"), "run_id", "id").limit(limit)
 
 
+def latest_run(findings: DataFrame) -> DataFrame:
+    """The findings of the run with the greatest id."""
+    last = findings.agg(F.max("run_id").alias("run_id"))
+    return findings.join(F.broadcast(last), "run_id", "left_semi")
+
+
 def tool_status(results: DataFrame) -> DataFrame:
     """Results and files by tool."""
     return results.groupBy("tool").agg(F.count(F.lit(1)).alias("results"), F.countDistinct("file").alias("files"))

@@ -59,3 +59,43 @@ def apply_outside(findings: DataFrame, verdicts: DataFrame) -> DataFrame:
     lowered = F.least("confidence", F.coalesce(F.col("v.confidence_override").cast("decimal(18,6)"), F.col("confidence")))
     status = F.when(F.col("v.verdict") == "likely_fp", "likely_false_positive").otherwise(F.col("status"))
     return joined.withColumns({"confidence": lowered, "status": status}).drop("v")
+
+
+def payload(findings: DataFrame) -> Column:
+    """A finding as the JSON object that is handed out for a verdict. Reads the columns of staged and scored findings."""
+    return F.to_json(
+        F.struct(
+            F.col("id"), "title", "category", "cwe", F.initcap("severity").alias("severity"), F.col("confidence").cast("double").alias("confidence"), F.col("priority").alias("priority_score"),
+            "file", "line", "function", "tools", "reachability", "controllability",
+        )
+    )
+
+
+def parse_challenges(answers: DataFrame, text: str = "answer") -> DataFrame:
+    """(id, verdict, reason) of a second outside pass that tries to disprove findings: JSON lists or objects, also within a fenced block.
+
+    Verdicts other than confirmed_fp, challenged and survives are survives; unreadable answers give no row.
+    """
+    bare = F.regexp_extract(text, r"(?s)(\[.*\]|\{.*\})", 1)
+    listed = F.when(F.startswith(bare, F.lit("{")), F.concat(F.lit("["), bare, F.lit("]"))).otherwise(bare)
+    each = answers.select(F.explode(F.from_json(listed, "array<struct<id: string, verdict: string, reason: string>>")).alias("v")).where("v.id <> ''")
+    verdict = F.when(F.col("v.verdict").isin("confirmed_fp", "challenged"), F.col("v.verdict")).otherwise("survives")
+    return each.select("v.id", verdict.alias("verdict"), F.coalesce("v.reason", F.lit("")).alias("reason"))
+
+
+def apply_challenges(findings: DataFrame, challenges: DataFrame) -> DataFrame:
+    """Findings after the second pass by finding_no: disproven ones demoted, challenged ones noted with a doubt.
+
+    doubts and notes grow by what was said; findings without a challenge stay as they are.
+    """
+    given = challenges.groupBy("id").agg(F.min(F.struct("verdict", "reason")).alias("c"))
+    joined = findings.join(given.withColumnRenamed("id", "finding_no"), "finding_no", "left")
+    fp, doubted = F.col("c.verdict") == "confirmed_fp", F.col("c.verdict") == "challenged"
+    said = F.when(fp, F.concat(F.lit("disproven from outside: "), "c.reason")).when(doubted, F.concat(F.lit("challenged from outside: "), "c.reason"))
+    return joined.withColumns(
+        {
+            "status": F.when(fp, "likely_false_positive").otherwise(F.col("status")),
+            "doubts": F.when(said.isNotNull(), F.array_union("doubts", F.array(said))).otherwise(F.col("doubts")),
+            "notes": F.when(said.isNotNull(), F.concat_ws(" | ", F.when(F.col("notes") != "", F.col("notes")), said)).otherwise(F.col("notes")),
+        }
+    ).drop("c")

@@ -100,17 +100,26 @@ def enrich(findings: DataFrame, files: DataFrame, around: int = 15, window: int
     return joined.select("file", F.explode(F.transform("_f", told)).alias("_f")).select("file", "_f.*")
 
 
-def call_edges(files: DataFrame) -> DataFrame:
-    """(file, src, dst): calls in a function's body of other functions defined in the same file, each once."""
-    ready = with_lines(files).withColumn("fs", functions_in(F.col("lines"))).where(F.size("fs") > 1)
+def call_edges(files: DataFrame, cross_file: bool = False) -> DataFrame:
+    """(file, src, dst): calls in a function's body of other functions defined in the same file, each once.
+
+    With `cross_file` of functions defined in any of the files; the names called meet the names
+    defined, each once, in a join.
+    """
+    ready = with_lines(files).withColumn("fs", functions_in(F.col("lines"))).where(F.size("fs") > (0 if cross_file else 1))
     names = F.transform("fs", lambda f: f["name"])
 
     def calls(f):
         body = F.slice("lines", f["head"], f["end"] - f["head"] + 1)
-        called = F.flatten(F.transform(body, lambda t: every(t, CALL)))
-        return F.transform(F.array_except(F.array_intersect(called, names), F.array(f["name"])), lambda d: F.struct(f["name"].alias("src"), d.alias("dst")))
+        called = F.array_distinct(F.flatten(F.transform(body, lambda t: every(t, CALL))))
+        known = called if cross_file else F.array_intersect(called, names)
+        return F.transform(F.array_except(known, F.array(f["name"])), lambda d: F.struct(f["name"].alias("src"), d.alias("dst")))
 
-    return ready.select("file", F.explode(F.array_distinct(F.flatten(F.transform("fs", calls)))).alias("e")).select("file", "e.src", "e.dst")
+    edges = ready.select("file", F.explode(F.array_distinct(F.flatten(F.transform("fs", calls)))).alias("e")).select("file", "e.src", "e.dst")
+    if not cross_file:
+        return edges
+    defined = functions(files).select(F.col("name").alias("dst")).distinct()
+    return edges.join(broadcast_if_small(defined), "dst", "left_semi").select("file", "src", "dst")
 
 
 def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,14 +145,16 @@ def chain_edges(chains: DataFrame, group: str, chain: str) -> DataFrame:
     return chains.select(group, named.alias("n")).where(F.size("n") > 1).select(group, F.explode(pairs).alias("e")).select(group, "e.src", "e.dst").where("src <> dst").distinct()
 
 
-def entry_points(functions_: DataFrame, group: str = "file", most: int = 16, some: int = 8) -> DataFrame:
+def entry_points(functions_: DataFrame, group: str = "file", most: int = 16, some: int = 8, together: bool = False) -> DataFrame:
     """(group, name, nth): functions named main; else the first `most` whose names hint at an entry; else the first `some`.
 
+    With `together` main and all whose names hint at an entry; else the first `most`.
     functions_: group, name, ord (order of definition).
     """
     low = F.lower("name")
     hinted = F.greatest(*[F.contains(low, F.lit(h)) for h in ENTRY_HINTS])
-    kind = F.when(F.col("name") == "main", 0).when(hinted, 1).otherwise(2)
+    kind = F.when((F.col("name") == "main") | (hinted & F.lit(together)), 0).when(hinted, 1).otherwise(2)
+    some = most if together else some
     named = functions_.groupBy(group, "name").agg(F.min("ord").alias("ord")).withColumn("kind", kind)
     best = Window.partitionBy(group)
     nth = Window.partitionBy(group, "kind").orderBy("ord", "name")

@@ -26,7 +26,7 @@ LEAK_RELEASE = r"\b(?:free|realloc|fclose|freeaddrinfo)\s*\(\s*([A-Za-z_]\w*)\b"
 LEAK_LINE = r"\b(?:malloc|calloc|realloc|alloca)\s*\("
 DEREF = r"(?:^|[^&\w])([A-Za-z_]\w*)\s*(?:\[[^\]]*\]|\.|->)"
 ASSERTED = r"assert\s*\(\s*([A-Za-z_]\w*)\s*\)"
-CONST_BOUND = r"\b(?:for|while|if)\s*\([^;{}]{0,90}?\b[A-Za-z_]\w*\s*(?:<|<=)\s*(\d+)\b"
+CONST_BOUND = r"\b(?:for|while|if)\s*\([^;{}]{0,90}?\b[A-Za-z_]\w*\s*(?:<|<=)\s*(0x[0-9a-fA-F]+|\d+)\b"
 SIZEOF_BOUND = r"\b(?:for|while|if)\s*\([^;{}]{0,90}?\b[A-Za-z_]\w*\s*(?:<|<=)\s*sizeof\s*\(\s*[A-Za-z_]\w*\s*\)"
 FIXED_ARRAY = r"\b([A-Za-z_]\w*)\s*\[\s*\d+\s*\]\s*[=;{]"
 TITLE_POINTER = r"pointer '([A-Za-z_]\w*)' freed at line (\d+)"
@@ -186,7 +186,7 @@ def features(df: DataFrame, strict: bool = False) -> DataFrame:
     known = known.withColumns(
         {
             "array_var": _for("fits_array", F.coalesce(F.get(into, F.lit(0)), F.when(declared != "", declared))),
-            "const_bound": _for("const_bound", first(F.col("w80s"), CONST_BOUND).try_cast("long")),
+            "const_bound": _for("const_bound", whole_number(first(F.col("w80s"), CONST_BOUND))),
             "uaf_var": first(F.col("title"), TITLE_POINTER),
             "uaf_start": first(F.col("title"), TITLE_POINTER, 2).try_cast("int"),
             "risky_call": _for("probe_call", F.when(has(F.col("snippet"), RISKY), first(F.col("snippet"), RISKY)).otherwise(first(strip_comments(window(6)), RISKY))),
@@ -218,6 +218,11 @@ def features(df: DataFrame, strict: bool = False) -> DataFrame:
     return known.withColumns({name: _for(name, value) for name, value in late.items()})
 
 
+def whole_number(text: Column) -> Column:
+    """The number that digits, or 0x and hexadecimal ones, stand for; null for none and beyond 64 bits."""
+    return F.when(F.startswith(text, F.lit("0x")), F.when(F.length(text) <= 17, F.conv(F.substring(text, F.lit(3), F.lit(16)), 16, 10)).try_cast("long")).otherwise(text.try_cast("long"))
+
+
 def verdicts(df: DataFrame, strict: bool = False) -> DataFrame:
     """Adds `outcomes` (validator, verdict of each that knows the weakness) and `verdict`, the most cautious.
 

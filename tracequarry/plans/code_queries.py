@@ -49,6 +49,14 @@ def q_call_edges(spark, sf_dir):
     return S.call_edges(all_files(spark, sf_dir))
 
 
+def q_call_edges_cross(spark, sf_dir):
+    return S.call_edges(all_files(spark, sf_dir), cross_file=True)
+
+
+def q_entry_points_together(spark, sf_dir):
+    return S.entry_points(S.functions(all_files(spark, sf_dir)), together=True)
+
+
 def q_entry_points(spark, sf_dir):
     return S.entry_points(S.functions(_files(spark, sf_dir)))
 
@@ -287,6 +295,17 @@ QUERIES = {
         f"""{WITH_ALL}, calls as (select f.file, f.name as src, unnest({_all('n.t', S.CALL)}) as dst from functions f join every_line n on n.file = f.file and n.line between f.head and f.finish)
           select distinct c.file, c.src, c.dst from calls c join functions d on d.file = c.file and d.name = c.dst where c.src <> c.dst""",
     ),
+    "q_call_edges_cross": (
+        q_call_edges_cross,
+        f"""{WITH_ALL}, calls as (select f.file, f.name as src, unnest({_all('n.t', S.CALL)}) as dst from functions f join every_line n on n.file = f.file and n.line between f.head and f.finish)
+          select distinct file, src, dst from calls where src <> dst and dst in (select name from functions)""",
+    ),
+    "q_entry_points_together": (
+        q_entry_points_together,
+        f"""{WITH_ALL}, named as (select file, name, min(head) as ord, case when name = 'main' or {_HINTED} then 0 else 2 end as kind from functions group by 1, 2),
+          numbered as (select *, min(kind) over (partition by file) as best, row_number() over (partition by file, kind order by ord, name) as nth from named)
+          select file, name, cast(nth as int) as nth from numbered where kind = best and (kind = 0 or nth <= 16)""",
+    ),
     "q_entry_points": (q_entry_points, f"{WITH}, {_entries('select file, name, head as ord from functions', 'file')} select * from entries"),
     "q_chain_edges": (q_chain_edges, f"{_GRAPH} select * from edges"),
     "q_callers": (q_callers, f"{_GRAPH} select project_id, dst as function, string_agg(src, ',' order by src) as callers from edges group by 1, 2"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracequarry.operators import analytics as A
 from tracequarry.operators import correlate as C
+from tracequarry.operators import narrate
 from tracequarry.session import table
 
 _WORD = r"nullif(regexp_replace(lower({c}), '^\s+|\s+$', '', 'g'), '')"
@@ -210,6 +211,16 @@ def q_list_findings(spark, sf_dir):
     return A.list_findings(scored, "high").select("run_id", "id", "title", "priority")
 
 
+def q_latest_findings(spark, sf_dir):
+    scored = C.score(A.latest_run(_in_runs(spark, sf_dir)), table(spark, sf_dir, "evidence"))
+    return A.list_findings(scored, limit=100).select("run_id", "id", "title", "priority")
+
+
+def q_ai_payload(spark, sf_dir):
+    scored = C.score(_staged(spark, sf_dir), table(spark, sf_dir, "evidence"))
+    return scored.select("id", narrate.payload(scored).alias("payload"))
+
+
 def q_show_finding(spark, sf_dir):
     return _staged(spark, sf_dir).where("finding_id = 'F-00001'").select("run_id", "id", "title", "cwe", "severity")
 
@@ -268,5 +279,12 @@ QUERIES = {
     "q_report_verdict": (q_report_verdict, _with(STAGED) + "select id, case when status = 'likely_false_positive' then 'likely_fp' when starts_with(notes, 'structural validation:') then 'confirmed' else 'suspicious' end as verdict from staged"),
     "q_drop_fp": (q_drop_fp, _with(STAGED) + "select id, status from staged where status <> 'likely_false_positive'"),
     "q_list_findings": (q_list_findings, _with(STAGED, _scored("staged")) + "select run_id, id, title, priority from scored where run_id is not null and severity = 'high' order by priority desc, run_id, id limit 50"),
+    "q_latest_findings": (q_latest_findings, _with(STAGED, _scored("staged")) + "select run_id, id, title, priority from scored where run_id = (select max(run_id) from staged) order by priority desc, run_id, id limit 100"),
+    "q_ai_payload": (
+        q_ai_payload,
+        _with(STAGED, _scored("staged"))
+        + """select id, cast(to_json({'id': id, 'title': title, 'category': category, 'cwe': cwe, 'severity': upper(severity[1]) || severity[2:], 'confidence': cast(confidence as double), 'priority_score': priority,
+          'file': file, 'line': line, 'function': "function", 'tools': tools, 'reachability': reachability, 'controllability': controllability}) as varchar) as payload from scored""",
+    ),
     "q_show_finding": (q_show_finding, _with(STAGED) + "select run_id, id, title, cwe, severity from staged where finding_id = 'F-00001'"),
 }
