@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from tracequarry.functions import patterns as P
 from tracequarry.operators import correlate as C
 from tracequarry.operators import narrate, rules, taint
+from tracequarry.operators.analytics import SEVERITIES
 from tracequarry.plans import pipeline, report
 from tracequarry.plans.code_queries import _files
-from tracequarry.plans.finding_queries import STAGED, _ranked, _with
+from tracequarry.plans.finding_queries import _FULL, STAGED, _with
 from tracequarry.plans.rule_queries import BODIES, WITH, _q, all_files, m
 from tracequarry.plans.scanner_queries import captured
-from tracequarry.session import shared_folder, table
+from tracequarry.session import cut, shared_folder, table
 from tracequarry.streaming import findings as stream
 
 
@@ -47,7 +48,12 @@ def q_pipeline(spark, sf_dir):
 
 
 def q_reports(spark, sf_dir):
-    return report.reports(_ranked(spark, sf_dir))
+    findings, evidence = table(spark, sf_dir, "findings"), table(spark, sf_dir, "evidence")
+    ranked = cut(C.ranked(findings, evidence))
+    staged = C.stage(findings).where("run_id is not null")
+    texts = findings.where("id is not null").select("id", F.col("source_snippet").alias("snippet"), F.col("dataflow").alias("flow"), F.col("call_chain").alias("chain"))
+    kept = texts.join(ranked.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    return report.reports(ranked, evidence=C.united_evidence(staged, ranked, evidence), texts=kept)
 
 
 def q_narratives(spark, sf_dir):
@@ -73,6 +79,37 @@ def q_stream_severity(spark, sf_dir):
 
 _SEV = " || ', ' || ".join(f"'{s}=' || count(*) filter (severity = '{s}')" for s in ("critical", "high", "medium", "low"))
 _NAME = "case cwe " + " ".join(f"when '{k}' then '{v}'" for k, v in C.CWE_NAMES.items()) + " else 'Unknown CWE' end"
+_WEAKNESS = "case cwe " + " ".join(f"when '{k}' then '{v}'" for k, v in C.CWE_NAMES.items()) + " else 'Unknown CWE' end"
+_OBJECT = ", ".join(f"'{k}': {k if k != 'function' else chr(34) + k + chr(34)}" for k in report.FIELDS)
+_ESCAPED = lambda c: f"replace(replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;')"
+_SAID = " || ".join(f"case when {v} <> '' then chr(10) || '- {k}: ' || {v} else '' end" for k, v in (("tools", "array_to_string(tools, ', ')"), ("evidence", "array_to_string(evidence, ', ')"), ("flow", "flow"), ("chain", "chain"), ("notes", "notes")))
+_COUNTS = " || ', ' || ".join(f"'{s} ' || {s}" for s in SEVERITIES)
+_REPORTS = f"""{_FULL}, said as (select finding_id as fid, list_sort(list(distinct coalesce(evidence_type, '') || ':' || coalesce(evidence_source, ''))) as evidence from brought group by 1),
+texts as (select distinct id as tid, coalesce(source_snippet, '') as snippet, coalesce(dataflow, '') as flow, coalesce(call_chain, '') as chain from findings where id is not null),
+f as (
+  select * replace (cast(confidence as double) as confidence, coalesce(evidence, []) as evidence), priority as score, printf('F-%05d', rank) as finding_no, cast((rank - 1) // {report.LISTED} as int) as part, {_WEAKNESS} as weakness,
+    case when status = 'likely_false_positive' then 'likely_fp' when starts_with(notes, 'structural validation:') then 'confirmed' else 'suspicious' end as verdict
+  from ranked left join said on fid = id join texts on tid = id
+), parts as (
+  select run_id, part, string_agg(cast(to_json({{{_OBJECT}}}) as varchar), ',' order by rank) as js,
+    string_agg(printf('## %s %s%s- %s, %s %s, score %.1f, %s%s- %s:%d', finding_no, title, chr(10), severity, cwe, weakness, score, verdict, chr(10), file, line) || {_SAID}
+      || case when snippet <> '' then chr(10) || '```' || chr(10) || snippet || chr(10) || '```' else '' end, chr(10) order by rank) as md,
+    string_agg('<tr><td>' || concat_ws('</td><td>', finding_no, {_ESCAPED('title')}, severity, cwe, printf('%.1f', score), verdict, {_ESCAPED("file || ':' || line")}, '<pre>' || {_ESCAPED('snippet')} || '</pre>') || '</td></tr>', '' order by rank) as ht
+  from f group by 1, 2
+), totals as (
+  select run_id, {', '.join(f"count(*) filter (severity = '{s}') as {s}" for s in SEVERITIES)}, count(*) as total, count(*) filter (status = 'likely_false_positive') as demoted, count(*) filter (verdict = 'confirmed') as confirmed from f group by 1
+), cwes as (select run_id, list({{'cwe': cwe, 'findings': n}} order by cwe) as cwes from (select run_id, cwe, count(*) as n from f group by 1, 2) group by 1),
+whole as (
+  select *, part = 0 as start_, part = (total - 1) // {report.LISTED} as end_, {_COUNTS} as counts,
+    cast(to_json({{'run_id': run_id, 'total': total, {', '.join(f"'{s}': {s}" for s in SEVERITIES)}, 'demoted': demoted, 'confirmed': confirmed, 'cwes': cwes}}) as varchar) as head
+  from parts join totals using (run_id) join cwes using (run_id)
+)
+select run_id, 'json' as format, part, case when start_ then head[:-2] || ',"findings":[' else ',' end || js || case when end_ then ']}}' else '' end as text from whole
+union all select run_id, 'markdown', part, case when start_ then printf('# Run %d%s%d findings: ', run_id, chr(10), total) || counts || chr(10) || printf('%d demoted, %d confirmed; ', demoted, confirmed)
+  || array_to_string(list_transform(cwes, lambda c: printf('%s %d', c.cwe, c.findings)), ', ') || chr(10) else chr(10) end || md from whole
+union all select run_id, 'html', part, case when start_ then printf('<html><body><h1>Run %d</h1><p>', run_id) || counts || printf('; %d demoted, %d confirmed</p><table>', demoted, confirmed) else '' end
+  || ht || case when end_ then '</table></body></html>' else '' end from whole
+"""
 _HITS = " union all ".join(f"select {_q(name)} as rule from ({BODIES[name]})" for name, _, _ in P.RULES)
 _RULES = ", ".join(f"({k}, {_q(name)}, {_q(cwe)}, {_q(category)})" for k, (name, cwe, category) in enumerate(P.RULES))
 QUERIES = {
@@ -87,7 +124,7 @@ QUERIES = {
     "q_sink_match": (q_sink_match, None),
     "q_taint_standalone": (q_taint_standalone, None),
     "q_pipeline": (q_pipeline, None),
-    "q_reports": (q_reports, None),
+    "q_reports": (q_reports, _REPORTS),
     "q_narratives": (
         q_narratives,
         _with(STAGED)
