@@ -181,6 +181,26 @@ def test_pipeline(spark):
     assert pipeline.Config.of({"rules": ["toctou"], "unknown": 1}).rules == ["toctou"]
 
 
+PROJECTS = {
+    "copy.c": ("CWE-120", "void keep_name(const char *input, int user_data) {\n    char room[16];\n    memcpy(room, input, user_data);\n    puts(room);\n}"),
+    "after.c": ("CWE-416", "int main(void) {\n    struct item *it = malloc(sizeof(*it));\n    if (!it) return 1;\n    free(it);\n    return it->count;\n}"),
+    "twice.c": ("CWE-415", "int main(void) {\n    char *text = malloc(8);\n    free(text);\n    puts(\"gone\");\n    free(text);\n    return 0;\n}"),
+    "size.c": ("CWE-190", "char *make_grid(int rows, int width) {\n    size_t room = rows * width;\n    char *grid = malloc(room);\n    return grid;\n}"),
+    "null.c": ("CWE-476", "int main(void) {\n    struct item *it = malloc(sizeof(struct item));\n    it->count = 4;\n    return it->count;\n}"),
+    "clean.c": (None, "int add(int a, int b) {\n    return a + b;\n}"),
+}
+
+
+def test_what_each_project_shows_survives_the_pipeline(spark):
+    files = spark.createDataFrame([(f, text) for f, (_, text) in PROJECTS.items()], "file string, text string")
+    done = pipeline.analyse(files).collect()
+    left = {(r.file, r.cwe) for r in done if r.status != "likely_false_positive"}
+    assert {(f, cwe) for f, (cwe, _) in PROJECTS.items() if cwe} <= left
+    assert not [r for r in done if r.file == "clean.c"]
+    bound = next(r for r in done if r.file == "copy.c" and r.cwe == "CWE-120")
+    assert (bound.attack_surface, bound.taint_info) == ("network", "tainted sink memcpy at keep_name:3; tainted args: user_data; source: network")
+
+
 def test_pipeline_has_chains_standalone_taint_and_scanner_outputs(spark, monkeypatch):
     more = "static int deep(int n) {\n  strcpy(a, b);\n}\n\nint main(int argc) {\n  deep(argc);\n}\n\nint far(int z) {\n  strcpy(c, d);\n}\n"
     files = spark.createDataFrame([("a.c", SOURCE), ("m.c", more), ("b.c", "")], "file string, text string")

@@ -277,6 +277,20 @@ def controllability(tainted: Column, guarded: Column) -> Column:
     return F.when(tainted.isNull(), "unknown").when(guarded, "low").otherwise("high")
 
 
+def surface(tainted: Column) -> Column:
+    """The boundary that tainted data of a finding is taken to come from; '' without taint."""
+    return F.when(F.size(F.coalesce(tainted, F.array().cast("array<string>"))) > 0, "network").otherwise("")
+
+
+def told(guarded: Column) -> Column:
+    """What a bound finding says of its taint, '' without. Reads sink, function, line, tainted."""
+    said = F.concat(
+        F.lit("tainted sink "), "sink", F.lit(" at "), "function", F.lit(":"), F.col("line").cast("string"), F.lit("; tainted args: "), F.array_join("tainted", ", "),
+        F.lit("; source: "), surface(F.col("tainted")), F.when(guarded, " (guarded)").otherwise(""),
+    )
+    return F.when(F.col("tainted").isNotNull(), said).otherwise("")
+
+
 def standalone(hits: DataFrame, *more: str) -> DataFrame:
     """Hits that no rule covers, as findings of their own; `more` names columns of the hits to keep."""
     index = F.col("sink") == "array_index"

@@ -72,7 +72,9 @@ def analyse(files: DataFrame, outputs: dict[str, DataFrame] | None = None, confi
     placed = structure.enrich(taint.bind(merged, hits).unionByName(_alone(hits)).withColumnRenamed("flow", "dataflow").drop("controllability"), files, config.around)
     alone = F.col("category") == taint.CATEGORY
     control = F.when(alone, "high").otherwise(taint.controllability(F.col("tainted"), F.col("guarded")))
-    bound = placed.withColumns({"controllability": control, "vendor_source": vendored_hint(F.col("file"))}).drop("guarded")
+    bound = placed.withColumns(
+        {"controllability": control, "vendor_source": vendored_hint(F.col("file")), "attack_surface": taint.surface(F.col("tainted")), "taint_info": taint.told(F.col("guarded"))}
+    ).drop("guarded")
     applied = validate.apply_verdicts(validate.verdicts(bound.withColumn("flow", F.col("dataflow")), config.strict)).drop("lines", "at", "flow")
     reached = structure.reach(applied, files)
     n = F.size("tools")

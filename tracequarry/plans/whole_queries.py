@@ -44,7 +44,7 @@ def q_taint_standalone(spark, sf_dir):
 
 def q_pipeline(spark, sf_dir):
     done = pipeline.analyse(_files(spark, sf_dir), captured(spark, sf_dir))
-    return done.select("finding_no", "file", "line", "function", "cwe", "severity", F.col("confidence").cast("double").alias("confidence"), "priority", "verdict", "status", "reachability", "controllability", F.array_join("tools", ",").alias("tools"))
+    return done.select("finding_no", "file", "line", "function", "cwe", "severity", F.col("confidence").cast("double").alias("confidence"), "priority", "verdict", "status", "reachability", "controllability", "attack_surface", "taint_info", F.array_join("tools", ",").alias("tools"))
 
 
 def q_reports(spark, sf_dir):
