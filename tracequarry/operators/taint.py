@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +93,13 @@ _SCHEMA = (
 )
 
 
+_PARTS = {
+    "calls": pa.list_(pa.struct([("callee", pa.string()), ("args", pa.list_(pa.string())), ("line", pa.int32())])),
+    "assigns": pa.list_(pa.struct([("var", pa.string()), ("value", pa.string()), ("line", pa.int32())])),
+    "tainted": pa.list_(pa.struct([("var", pa.string()), ("line", pa.int32()), ("hint", pa.string())])),
+}
+
+
 def _items(inside: str) -> list[str]:
     """Comma-separated items, without the parentheses left over at their ends."""
     return [t for t in (item.strip().rstrip(") \t\r\n").lstrip("(").strip() for item in inside.split(",")) if t]
@@ -169,19 +176,21 @@ def tainted_functions(files: DataFrame) -> DataFrame:
     f = F.col("f")
     texts = ready.select("file", f["name"].alias("function"), f["head"].alias("head"), f["start"].alias("start"), F.get("lines", f["head"] - 1).alias("signature"), joined(f["start"], f["end"]).alias("body"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                inside = r.signature.partition("(")[2].rpartition(")")[0]
+            names, heads, starts, signatures, bodies = (batch.column(c).to_pylist() for c in ("function", "head", "start", "signature", "body"))
+            parts = []
+            for name, start, signature, body in zip(names, starts, signatures, bodies, strict=True):
+                inside = signature.partition("(")[2].rpartition(")")[0]
                 words = [_NAME.findall(p) for p in inside.split(",")]
                 params = [w[-1] for w in words if w and w[-1] != "void"]
-                brace = r.body.find("{") + 1
-                calls, assigns = take_apart(r.body[brace:], r.start + r.body.count("\n", 0, brace))
-                rows.append((r.file, r.function, r.head, calls, assigns, close_over(r.function, params, calls, assigns)))
-            yield pd.DataFrame(rows, columns=["file", "function", "head", "calls", "assigns", "tainted"])
+                brace = body.find("{") + 1
+                calls, assigns = take_apart(body[brace:], start + body.count("\n", 0, brace))
+                parts.append((calls, assigns, close_over(name, params, calls, assigns)))
+            columns = [pa.array([p[k] for p in parts], t) for k, t in enumerate(_PARTS.values())]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("function"), pa.array(heads, pa.int32()), *columns], names=["file", "function", "head", *_PARTS])
 
-    return texts.mapInPandas(run, _SCHEMA)
+    return texts.mapInArrow(run, _SCHEMA)
 
 
 def _names(text: Column) -> Column:
