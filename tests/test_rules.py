@@ -181,6 +181,12 @@ def test_pipeline(spark):
     assert pipeline.Config.of({"rules": ["toctou"], "unknown": 1}).rules == ["toctou"]
 
 
+def test_heads_with_scopes_and_templates(spark):
+    text = "void Foo::run(int n) {\n}\nstd::vector<int> made(int n)\n{\n}\nconst Map<K, V> &Box<T>::get(int a) const {\n}\nFoo::~Foo() {\n}\nint x = a < b ? f(1) : g(2);\nif (a < b) {\n}\n"
+    found = structure.functions(spark.createDataFrame([("a.cc", text)], "file string, text string")).orderBy("ord").collect()
+    assert [(r.name, r.head, r.end) for r in found] == [("run", 1, 2), ("made", 3, 5), ("get", 6, 7), ("Foo", 8, 9)]
+
+
 PROJECTS = {
     "copy.c": ("CWE-120", "void keep_name(const char *input, int user_data) {\n    char room[16];\n    memcpy(room, input, user_data);\n    puts(room);\n}"),
     "after.c": ("CWE-416", "int main(void) {\n    struct item *it = malloc(sizeof(*it));\n    if (!it) return 1;\n    free(it);\n    return it->count;\n}"),

@@ -9,7 +9,7 @@ from tracequarry.session import broadcast_if_small, cut
 
 
 #: Rows of a group that one task sorts at most.
-WINDOW_ROWS = 500_000
+WINDOW_ROWS = 200_000
 
 
 def rank_within(df: DataFrame, group: str, order: list[Column]) -> DataFrame:

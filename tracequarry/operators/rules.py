@@ -148,14 +148,14 @@ def null_deref(lines: Column) -> Column:
     return _each(rule)
 
 
-HEAD = r"^[ \t]*(?:[A-Za-z_][\w \t\*]*[ \t\*])?([A-Za-z_]\w*)[ \t]*\([^;{}]*\)\s*(?:const\s*)?(\{.*)?$"
+HEAD = r"^[ \t]*(?:[A-Za-z_][\w \t\*:<>&~,]*[ \t\*:&~])?([A-Za-z_]\w*)[ \t]*\([^;{}]*\)\s*(?:const\s*)?(\{.*)?$"
 
 
 def functions_in(lines: Column) -> Column:
     """array<struct<name, head, start, end>> of a file's function definitions, in order.
 
-    A definition is a line that begins with words and NAME(...), its brace there or at the
-    beginning of the next line; NAME is no control word. It ends with the line on which the
+    A definition is a line that begins with words (types, scopes with '::', templates) and
+    NAME(...), its brace there or at the beginning of the next line; NAME is no control word. It ends with the line on which the
     braces opened since are closed, or with the file. All definitions are followed in one pass
     with a running depth over the lines that hold braces or a head.
     """
