@@ -75,17 +75,18 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 SALTS = 16
 
 
-def join_on_hot_key(rows: DataFrame, other: DataFrame, key: str, within: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+def join_on_hot_key(rows: DataFrame, other: DataFrame, key: str | list[str], within: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """`rows` with what `other`, few rows a key, says of `key`, of which one value may hold a third of all rows.
 
     `other` is broadcast if counting shows `most` rows at most; else rows of a key are split by
     `within` over SALTS tasks, each with a copy of the key's rows.
     """
+    key = [key] if isinstance(key, str) else key
     small = broadcast_if_small(other, most)
     if small is not other:
         return rows.join(small, key, how)
     salted = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(within), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(within), F.lit(SALTS)).cast("int")).join(salted, [*key, "_salt"], how).drop("_salt")
 
 
 def spread(df: DataFrame) -> DataFrame:
