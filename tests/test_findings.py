@@ -223,6 +223,22 @@ def test_reports_list_all_findings_in_parts(spark):
     assert json.loads(text(2, "json"))["total"] == 1 and "".join(r.text for r in report.reports(ranked).where("run_id = 1 and format = 'markdown'").collect()) == text(1, "markdown")
 
 
+def test_reports_tell_what_is_known_and_a_failing_format_keeps_no_other(spark, tmp_path):
+    rows = correlate.merge(correlate.deduplicate(staged(spark, {"line": 3, "title": "<t>"}, {"line": 9, "title": "u"})))
+    schema = "id long, finding_id long, evidence_type string, evidence_source string, detail string"
+    evidence = spark.createDataFrame([(1, r.id, "tool", "semgrep", "") for r in rows.collect()] * 2, schema)
+    texts = spark.createDataFrame([(rows.orderBy("line").first().id, ">>> 3 | a < b", "[flow]", None)], "id long, snippet string, flow string, chain string")
+    ranked = ordering.rank_within(correlate.score(rows, evidence), "run_id", [F.asc("line")]).withColumn("finding_no", F.format_string("F-%05d", "rank"))
+    said = {r.format: r.text for r in report.reports(ranked, evidence=evidence, texts=texts).collect()}
+    whole = json.loads(said["json"])
+    first, second = whole["findings"]
+    assert (first["evidence"], first["snippet"], first["flow"], first["chain"]) == (["tool:semgrep"], ">>> 3 | a < b", "[flow]", "")
+    assert second["snippet"] == "" and whole["cwes"][0]["findings"] == 2 and (whole["demoted"], whole["confirmed"]) == (0, 0)
+    assert "- evidence: tool:semgrep" in said["markdown"] and "a < b" in said["markdown"] and "a &lt; b" in said["html"] and "&lt;t&gt;" in said["html"]
+    failed = report.write_reports(ranked, str(tmp_path), ("json", "nothing", "html"))
+    assert list(failed) == ["nothing"] and spark.read.parquet(str(tmp_path / "html")).count() == 1
+
+
 def test_merged_findings_unite_the_evidence_of_their_copies(spark):
     base = dict(run_id=1, finding_id="F-1", title="T", category="c", cwe="CWE-120", severity="high", confidence=0.5, file_path="a.c", line=3, function_name="f", tools="x", reachability=None, controllability=None, status="new", notes=None)
     rows = [base, base, base | {"title": "Other", "confidence": 0.9}, base | {"line": 9}, base | {"run_id": 2}, base | {"run_id": None}]
