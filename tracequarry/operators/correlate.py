@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from tracequarry.functions import clean
 from tracequarry.functions.regexes import has
 from tracequarry.operators.ordering import rank_within
-from tracequarry.session import cut
 
 # Fixed values
 SEVERITY_WEIGHT = {"critical": 4, "high": 3, "medium": 2, "low": 1}
@@ -189,33 +188,46 @@ def score(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     A status of likely_false_positive is one doubt.
     """
     counted = evidence.where("finding_id is not null").select("finding_id", "evidence_type", "evidence_source").distinct().groupBy("finding_id").agg(F.count(F.lit(1)).cast("int").alias("n_evidence"))
-    joined = findings.join(counted, findings["id"] == counted["finding_id"], "left").drop(counted["finding_id"])
+    return _scored(findings.join(counted, findings["id"] == counted["finding_id"], "left").drop(counted["finding_id"]))
+
+
+def _scored(counted: DataFrame) -> DataFrame:
     doubts = (F.col("status") == "likely_false_positive").cast("int")
     n = F.size("tools")
     return (
-        joined.withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
+        counted.withColumn("n_evidence", F.coalesce("n_evidence", F.lit(0)))
         .withColumn("confidence", adjusted(F.col("confidence"), n, doubts, F.col("n_evidence"), F.col("reachability")))
         .withColumns({"bucket": bucket(F.col("cwe")), "priority": priority(F.col("severity"), F.col("confidence"), F.col("reachability"), F.col("controllability"), n)})
     )
 
 
+#: What a merged finding is one of; a fingerprint holds all of it but the run.
+GROUP = ["run_id", "file", "line", "cwe"]
+
+
+def group_evidence(staged: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(run_id, file, line, cwe, n_evidence): different evidence of all findings of each merged group."""
+    member = staged.select(*GROUP, F.col("id").alias("finding_id"))
+    brought = evidence.where("finding_id is not null").select("finding_id", "evidence_type", "evidence_source").join(member, "finding_id")
+    return brought.select(*GROUP, "evidence_type", "evidence_source").distinct().groupBy(*GROUP).agg(F.count(F.lit(1)).cast("int").alias("n_evidence"))
+
+
 def united_evidence(staged: DataFrame, merged: DataFrame, evidence: DataFrame) -> DataFrame:
     """Evidence with the id of the merged finding that its own finding became part of.
 
     A fingerprint holds file, line and weakness, so deduplication and merging keep a row in the
     group of these. Evidence of findings that are in no run is left out.
     """
-    group = ["run_id", "file", "line", "cwe"]
-    kept = merged.select(*group, F.col("id").alias("_kept"))
-    member = staged.select(*group, F.col("id").alias("finding_id"))
+    kept = merged.select(*GROUP, F.col("id").alias("_kept"))
+    member = staged.select(*GROUP, F.col("id").alias("finding_id"))
     brought = evidence.where("finding_id is not null").select("finding_id", "evidence_type", "evidence_source")
-    return brought.join(member, "finding_id").join(kept, group).select(F.col("_kept").alias("finding_id"), "evidence_type", "evidence_source")
+    return brought.join(member, "finding_id").join(kept, GROUP).select(F.col("_kept").alias("finding_id"), "evidence_type", "evidence_source")
 
 
 def ranked(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     """The whole way: staged findings deduplicated, merged, scored by the evidence of all copies, ranked within their run and numbered."""
     staged = stage(findings).where("run_id is not null")
-    merged = cut(merge(deduplicate(staged)))
-    scored = score(merged, united_evidence(staged, merged, evidence))
-    placed = rank_within(scored, "run_id", [F.desc("priority"), F.asc("id")])
+    scored = _scored(merge(deduplicate(staged)).join(group_evidence(staged, evidence), GROUP, "left"))
+    sizes = findings.where("run_id is not null").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    placed = rank_within(scored, "run_id", [F.desc("priority"), F.asc("id")], sizes)
     return placed.withColumn("finding_no", F.format_string("F-%05d", "rank"))

@@ -12,16 +12,19 @@ from tracequarry.session import broadcast_if_small, cut
 WINDOW_ROWS = 200_000
 
 
-def rank_within(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+def rank_within(df: DataFrame, group: str, order: list[Column], sizes: DataFrame | None = None) -> DataFrame:
     """Adds `rank`, 1 for the first row of each group in a total order.
 
     Groups of up to WINDOW_ROWS rows are numbered by a window, one shuffle by group; larger
-    ones, which a count finds, by many tasks (`ranked_by_range`). The rows are written once
-    before, as they are both counted and numbered.
+    ones, which a count finds, by many tasks (`ranked_by_range`). sizes (group, n) may give
+    bounds of the groups' sizes that cost less to find; where they show no larger group,
+    nothing is written. Else the rows are written once, as they are both counted and numbered.
     """
+    numbered = lambda some: some.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
+    if sizes is not None and sizes.where(F.col("n") > WINDOW_ROWS).isEmpty():
+        return numbered(df)
     rows = cut(df)
     hot = cut(rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > WINDOW_ROWS).select("_g"))
-    numbered = lambda some: some.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("long"))
     if hot.isEmpty():
         return numbered(rows)
     is_hot = F.col(group).eqNullSafe(F.col("_g"))
