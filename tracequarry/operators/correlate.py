@@ -65,6 +65,10 @@ CONTROL_OF_SOURCE = {
 }
 
 
+#: What there is one merged finding of; a fingerprint holds all of it but the run.
+GROUP = ["run_id", "file", "line", "cwe"]
+
+
 def dec(value: str | int) -> Column:
     return F.lit(Decimal(str(value)))
 
@@ -77,8 +81,8 @@ def lookup(col: Column, values: dict, default) -> Column:
     return out
 
 
-def stage(findings: DataFrame) -> DataFrame:
-    """The findings table in one form: one row per id, enumerations, paths, weaknesses and tools normalised.
+def stage(findings: DataFrame, once: bool = True) -> DataFrame:
+    """The findings table in one form: one row per id (as often as it is there, without `once`), enumerations, paths, weaknesses and tools normalised.
 
     Missing text is '', a missing line or confidence 0, a missing enumeration 'unknown'
     (severity: 'medium', status: 'new'), a missing weakness CWE-0. has_flow and has_chain tell of a
@@ -90,8 +94,9 @@ def stage(findings: DataFrame) -> DataFrame:
     kind = lambda c, default="unknown": F.coalesce(clean.word(f(c)), F.lit(default))
     # Long texts become flags before the shuffle by id, all else is normalised after it.
     flags = [listed("dataflow").alias("has_flow"), listed("call_chain").alias("has_chain")]
-    once = findings.where("id is not null").select("*", *flags).dropDuplicates(["id"])
-    return once.select(
+    rows = findings.where("id is not null").select("*", *flags)
+    rows = rows.dropDuplicates(["id"]) if once else rows
+    return rows.select(
         "id", "run_id", "finding_id", text("title").alias("title"), kind("category").alias("category"),
         F.coalesce(clean.cwe(f("cwe")), F.lit("CWE-0")).alias("cwe"), kind("severity", "medium").alias("severity"),
         F.coalesce(clean.share(f("confidence")), F.lit(0.0)).cast("decimal(18,6)").alias("confidence"),
@@ -123,12 +128,12 @@ def deduplicate(staged: DataFrame) -> DataFrame:
 
 def merge(findings: DataFrame) -> DataFrame:
     """One finding per run, file, line and weakness: the most confident (first by id), tools united."""
-    base = F.struct(*[c for c in findings.columns if c not in ("run_id", "file", "line", "cwe", "tools")])
-    grouped = findings.groupBy("run_id", "file", "line", "cwe").agg(
+    base = F.struct(*[c for c in findings.columns if c not in (*GROUP, "tools")])
+    grouped = findings.groupBy(*GROUP).agg(
         F.max_by(base, F.struct("confidence", -F.col("id"))).alias("b"), _union("tools").alias("tools"), F.count(F.lit(1)).cast("int").alias("merged")
     )
     raised = F.least(F.col("confidence") + F.least(dec("0.1") * (F.col("merged") - 1), dec("0.25")), dec(1)).cast("decimal(18,6)")
-    return grouped.select("run_id", "file", "line", "cwe", "merged", "b.*", "tools").withColumn("confidence", raised)
+    return grouped.select(*GROUP, "merged", "b.*", "tools").withColumn("confidence", raised)
 
 
 def adjusted(confidence: Column, tools: Column, doubts: Column, evidence: Column, reachability: Column) -> Column:
@@ -201,10 +206,6 @@ def _scored(counted: DataFrame) -> DataFrame:
     )
 
 
-#: What a merged finding is one of; a fingerprint holds all of it but the run.
-GROUP = ["run_id", "file", "line", "cwe"]
-
-
 def group_evidence(staged: DataFrame, evidence: DataFrame) -> DataFrame:
     """(run_id, file, line, cwe, n_evidence): different evidence of all findings of each merged group."""
     member = staged.select(*GROUP, F.col("id").alias("finding_id"))
@@ -226,8 +227,9 @@ def united_evidence(staged: DataFrame, merged: DataFrame, evidence: DataFrame) -
 
 def ranked(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     """The whole way: staged findings deduplicated, merged, scored by the evidence of all copies, ranked within their run and numbered."""
-    staged = stage(findings).where("run_id is not null")
-    scored = _scored(merge(deduplicate(staged)).join(group_evidence(staged, evidence), GROUP, "left"))
+    every_row, staged = (stage(findings, once).where("run_id is not null") for once in (False, True))
+    # Copies are combined before each shuffle, as one file and line, or none, may hold very many of them.
+    scored = _scored(merge(deduplicate(staged)).join(group_evidence(every_row, evidence), GROUP, "left"))
     sizes = findings.where("run_id is not null").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
     placed = rank_within(scored, "run_id", [F.desc("priority"), F.asc("id")], sizes)
     return placed.withColumn("finding_no", F.format_string("F-%05d", "rank"))
